@@ -1,15 +1,644 @@
-"""The queries of the core and their SQL."""
+"""The queries of the core and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as tx
+from .operators import bpe, evaluate, ngrams, predict, prepare, retrieval, sketch
+from .session import ensure_checkpoint_dir, persisted, table
+from .streaming import counts as streaming
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+_RE = tx.PRETOKEN.replace("'", "''")
+_DOCS = f"docs AS (SELECT doc_id, lang, source, text, regexp_extract_all(text, '{_RE}') AS ws FROM documents WHERE text IS NOT NULL AND text <> '')"
+_POS = "pos AS (SELECT doc_id, unnest(generate_series(1, len(ws))) AS p, unnest(ws) AS w FROM docs)"
+_LAG = "lagged AS (SELECT doc_id, p, w AS w0, " + ", ".join(f"lag(w, {k}) OVER s AS w{k}" for k in (1, 2, 3, 4)) + " FROM pos WINDOW s AS (PARTITION BY doc_id ORDER BY p))"
+_CTX = {2: "w1", 3: "w2 || chr(31) || w1", 4: "w3 || chr(31) || w2 || chr(31) || w1", 5: "w4 || chr(31) || w3 || chr(31) || w2 || chr(31) || w1"}
+_GRAMS = "grams AS (" + " UNION ALL ".join(f"SELECT {k} AS ord, {c} AS ctx, w0 AS next FROM lagged WHERE w{k - 1} IS NOT NULL" for k, c in _CTX.items()) + ")"
+_COUNTS = f"{_DOCS}, {_POS}, {_LAG}, {_GRAMS}, counts AS (SELECT ord, ctx, next, count(*)::BIGINT AS cnt FROM grams GROUP BY ALL)"
+
+
+def _query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text IS NOT NULL AND text <> ''")
+
+
+def _counts(spark: SparkSession, d: str, orders: tuple[int, ...] = ngrams.ORDERS) -> DataFrame:
+    return ngrams.counts(ngrams.sequences_of(_docs(spark, d)), orders=orders)
+
+
+def _six(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+# ---- text
+
+
+@_query(f"WITH {_DOCS}, words AS (SELECT unnest(ws) AS word FROM docs) SELECT word, count(*)::BIGINT AS freq FROM words GROUP BY word")
+def word_freq(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.word_freqs(_docs(spark, d))
+
+
+@_query(
+    f"""WITH {_DOCS} SELECT doc_id, len(ws)::BIGINT AS n_tokens, len(list_distinct(ws))::BIGINT AS n_distinct, len(list_filter(ws, lambda x: x LIKE ' %'))::BIGINT AS n_spaces,
+        len(list_filter(ws, lambda x: x = chr(10)))::BIGINT AS n_breaks FROM docs"""
+)
+def doc_token_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d).select("doc_id", tx.pretokens(F.col("text")).alias("ws"))
+    size = lambda c: F.size(c).cast("long")
+    return rows.select(
+        "doc_id",
+        size("ws").alias("n_tokens"),
+        size(F.array_distinct("ws")).alias("n_distinct"),
+        size(F.filter("ws", lambda x: F.startswith(x, F.lit(" ")))).alias("n_spaces"),
+        size(F.filter("ws", lambda x: x == "\n")).alias("n_breaks"),
+    )
+
+
+@_query(
+    f"""WITH {_DOCS}, words AS (SELECT DISTINCT unnest(ws) AS w FROM docs), chars AS (SELECT DISTINCT unnest(regexp_split_to_array(w, '')) AS token FROM words)
+        SELECT (row_number() OVER (ORDER BY token) + 7)::BIGINT AS token_id, token FROM chars WHERE token <> ''"""
+)
+def char_vocab(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.char_vocab(_docs(spark, d).select(F.explode(F.array_distinct(tx.pretokens(F.col("text")))).alias("word")).distinct()).select(F.col("token_id").cast("long"), "token")
+
+
+@_query(f"WITH {_DOCS} SELECT doc_id, array_to_string(ws, '') = text AS lossless, len(ws) > 0 AS any_token FROM docs")
+def pretoken_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    ws = tx.pretokens(F.col("text"))
+    return _docs(spark, d).select("doc_id", (F.array_join(ws, "") == F.col("text")).alias("lossless"), (F.size(ws) > 0).alias("any_token"))
+
+
+# ---- count tables
+
+
+@_query(f"WITH {_COUNTS} SELECT * FROM counts")
+def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _counts(spark, d)
+
+
+@_query(f"WITH {_COUNTS} SELECT ctx, next, cnt FROM counts WHERE ord = 2")
+def bigram_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _counts(spark, d, (2,)).select("ctx", "next", "cnt")
+
+
+@_query(f"WITH {_COUNTS} SELECT ord, count(DISTINCT ctx)::BIGINT AS contexts, count(*)::BIGINT AS associations, sum(cnt)::BIGINT AS observations FROM counts GROUP BY ord")
+def ngram_stats(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.stats(_counts(spark, d))
+
+
+@_query(f"WITH {_COUNTS} SELECT * FROM counts WHERE cnt >= 2")
+def prune_min2(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.prune(_counts(spark, d), 2)
+
+
+@_query(
+    f"""WITH {_COUNTS}, t AS (SELECT ord, x.t, (SELECT count(*) FROM counts c WHERE c.ord = o.ord AND c.cnt >= x.t) AS n FROM (SELECT DISTINCT ord FROM counts) o, (SELECT unnest(generate_series(2, 99)) AS t) x),
+        best AS (SELECT o.ord, CASE WHEN o.n <= 20000 THEN 0 ELSE coalesce((SELECT min(t.t) FROM t WHERE t.ord = o.ord AND t.n <= 20000), 99) END AS threshold FROM (SELECT ord, count(*) AS n FROM counts GROUP BY ord) o)
+        SELECT counts.* FROM counts JOIN best USING (ord) WHERE cnt >= threshold"""
+)
+def evict_budget(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.evict(persisted(_counts(spark, d)), 20_000)
+
+
+def _half(spark: SparkSession, d: str, code: bool) -> DataFrame:
+    own = F.col("source").startswith("code_") | F.col("source").startswith("personal_")
+    return ngrams.counts(ngrams.sequences_of(_docs(spark, d).where(own if code else ~own)), orders=(2, 3))
+
+
+_HALVES = (
+    f"WITH {_DOCS}, {_POS}, {_LAG}, src AS (SELECT doc_id, source LIKE 'code\\_%' ESCAPE '\\' OR source LIKE 'personal\\_%' ESCAPE '\\' AS code FROM docs), grams AS ("
+    + " UNION ALL ".join(f"SELECT code, {k} AS ord, {_CTX[k]} AS ctx, w0 AS next FROM lagged JOIN src USING (doc_id) WHERE w{k - 1} IS NOT NULL" for k in (2, 3))
+    + "), halves AS (SELECT code, ord, ctx, next, count(*)::BIGINT AS cnt FROM grams WHERE code IS NOT NULL GROUP BY ALL)"
+)
+
+
+@_query(_HALVES + " SELECT ord, ctx, next, sum(cnt)::BIGINT AS cnt FROM halves GROUP BY ALL")
+def merge_models(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.merged(_half(spark, d, True), _half(spark, d, False))
+
+
+@_query(
+    _HALVES
+    + """, o AS (SELECT * FROM halves WHERE code), n AS (SELECT * FROM halves WHERE NOT code)
+        SELECT ord, ctx, next, coalesce(o.cnt, 0)::BIGINT AS old_cnt, coalesce(n.cnt, 0)::BIGINT AS new_cnt FROM o FULL JOIN n USING (ord, ctx, next) WHERE coalesce(o.cnt, 0) <> coalesce(n.cnt, 0)"""
+)
+def model_diff(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.difference(_half(spark, d, True), _half(spark, d, False))
+
+
+@_query(_HALVES + " SELECT ord, ctx, next, cnt * 3 AS cnt FROM halves WHERE code")
+def epoch_scaled_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.scaled(_half(spark, d, True), 3)
+
+
+@_query(_HALVES + " SELECT ord, ctx, next, floor(cnt * 0.5)::BIGINT AS cnt FROM halves WHERE code AND floor(cnt * 0.5) > 0")
+def decayed_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.scaled(_half(spark, d, True), 0.5)
+
+
+@_query(f"WITH {_COUNTS} SELECT ord, least(floor(log2(cnt)), 15)::BIGINT AS bucket, count(*)::BIGINT AS associations FROM counts GROUP BY ALL")
+def quantised_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.quantised(_counts(spark, d)).groupBy("ord", F.col("bucket").cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("associations"))
+
+
+@_query(
+    f"""WITH {_COUNTS}, b AS (SELECT * FROM counts WHERE ord = 2), l AS (SELECT ctx, sum(cnt) AS l FROM b GROUP BY ctx), r AS (SELECT next, sum(cnt) AS r FROM b GROUP BY next), t AS (SELECT sum(cnt) AS t FROM b)
+        SELECT ctx, next, cnt, round(log2(cnt * t::DOUBLE / (l * r)), 6) AS pmi FROM b JOIN l USING (ctx) JOIN r USING (next), t"""
+)
+def bigram_pmi(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.pmi(persisted(_counts(spark, d, (2,)))).withColumn("pmi", _six("pmi"))
+
+
+_LINES = "lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS line, len(regexp_extract_all(x, '" + _RE + "')) AS n FROM (SELECT doc_id, unnest(generate_series(1, len(l))) AS i, unnest(l) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)), LATERAL (SELECT regexp_replace(raw, '^[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}\\x{0b}]+|[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}\\x{0b}]+$', '', 'g') AS x) WHERE x <> '')"
+
+
+@_query(
+    f"""WITH RECURSIVE {_LINES}, fold AS (SELECT doc_id, line, n, 0 AS chunk, CASE WHEN n >= 512 THEN 0 ELSE n END AS cur, n >= 512 AS full_ FROM lines WHERE line = 1
+        UNION ALL SELECT l.doc_id, l.line, l.n, f.chunk + CASE WHEN f.full_ THEN 1 ELSE 0 END, CASE WHEN f.cur + l.n >= 512 THEN 0 ELSE f.cur + l.n END, f.cur + l.n >= 512 FROM fold f JOIN lines l ON l.doc_id = f.doc_id AND l.line = f.line + 1)
+        SELECT doc_id AS doc, chunk::BIGINT AS chunk, sum(n)::BIGINT AS n_tokens FROM fold GROUP BY ALL HAVING sum(n) >= 5"""
+)
+def chunk_sizes(spark: SparkSession, d: str) -> DataFrame:
+    chunks = ngrams.chunks(table(spark, d, "documents").where("text IS NOT NULL"), "doc_id")
+    return chunks.select("doc", F.col("chunk").cast("long").alias("chunk"), F.size("tokens").cast("long").alias("n_tokens"))
+
+
+# ---- prediction
+
+
+@_query(
+    f"""WITH {_COUNTS}, ranked AS (SELECT ctx, next, round(cnt / sum(cnt) OVER (PARTITION BY ctx), 6) AS prob, row_number() OVER (PARTITION BY ctx ORDER BY cnt DESC, next)::BIGINT AS rank FROM counts WHERE ord = 2)
+        SELECT * FROM ranked WHERE rank <= 5"""
+)
+def mle_top_next(spark: SparkSession, d: str) -> DataFrame:
+    top = ngrams.mle(_counts(spark, d, (2,)), 5)
+    return top.select("ctx", "next", _six("prob").alias("prob"), F.col("rank").cast("long").alias("rank"))
+
+
+@_query(f"WITH {_COUNTS}, r AS (SELECT *, row_number() OVER (PARTITION BY ord, ctx ORDER BY cnt DESC, next) AS k FROM counts) SELECT ord, ctx, next, cnt FROM r WHERE k = 1")
+def greedy_next(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.best_next(_counts(spark, d))
+
+
+def _prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The held-out prompts as pre-tokens, at most their first 40: a generation goes on from the start of an item."""
+    items = table(spark, d, "generation_sample").where("prompt IS NOT NULL AND prompt <> ''")
+    return items.select("sample_id", tx.pretokens(F.col("prompt")).alias("tokens"))
+
+
+_PROMPTS = f"prompts AS (SELECT sample_id, regexp_extract_all(prompt, '{_RE}') AS t FROM generation_sample WHERE prompt IS NOT NULL AND prompt <> '')"
+_INTERPOLATED = (
+    f"{_COUNTS}, {_PROMPTS}, asked AS (SELECT sample_id, k AS ord, array_to_string(t[len(t) - k + 2:], chr(31)) AS ctx FROM prompts, (SELECT unnest([2, 3, 4, 5]) AS k) WHERE len(t) >= k - 1), "
+    "totals AS (SELECT ord, ctx, sum(cnt) AS total FROM counts GROUP BY ALL), "
+    "mixed AS (SELECT sample_id, next AS token, sum(CASE ord WHEN 2 THEN 0.05::DOUBLE WHEN 3 THEN 0.15::DOUBLE WHEN 4 THEN 0.30::DOUBLE ELSE 0.50::DOUBLE END * cnt / total) AS prob FROM asked JOIN counts USING (ord, ctx) JOIN totals USING (ord, ctx) GROUP BY ALL), "
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(prob, 12) DESC, token)::BIGINT AS rank FROM mixed)"
+)
+
+
+def _interpolated(spark: SparkSession, d: str) -> DataFrame:
+    return predict.interpolated(_prompts(spark, d), persisted(_counts(spark, d)), "sample_id")
+
+
+@_query(f"WITH {_INTERPOLATED} SELECT sample_id, token, round(prob, 6) AS prob, rank FROM ranked WHERE rank <= 10")
+def interpolated_next(spark: SparkSession, d: str) -> DataFrame:
+    return _interpolated(spark, d).where("rank <= 10").select("sample_id", "token", _six("prob").alias("prob"), F.col("rank").cast("long").alias("rank"))
+
+
+_SAMPLER = predict.Sampler()
+_ADJUSTED = (
+    _INTERPOLATED
+    + """, pen AS (SELECT r.sample_id, token, rank, pow(CASE WHEN list_contains(p.t[greatest(len(p.t) - 19, 1):], token) THEN prob / 1.1::DOUBLE ELSE prob END, 1 / 0.8::DOUBLE) AS prob FROM ranked r JOIN prompts p USING (sample_id)),
+    kept AS (SELECT sample_id, token, prob, prob / sum(prob) OVER (PARTITION BY sample_id) AS share, row_number() OVER (PARTITION BY sample_id ORDER BY round(prob, 12) DESC, token) AS rank FROM pen WHERE rank <= 40),
+    cut AS (SELECT *, sum(share) OVER (PARTITION BY sample_id ORDER BY rank ROWS UNBOUNDED PRECEDING) - share AS before FROM kept),
+    fin AS (SELECT sample_id, token, rank, prob / sum(prob) OVER (PARTITION BY sample_id) AS prob FROM cut WHERE round(before, 12) < 0.95 OR rank = 1),
+    cum AS (SELECT *, sum(prob) OVER (PARTITION BY sample_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum FROM fin)"""
+)
+
+
+def _adjusted(spark: SparkSession, d: str) -> DataFrame:
+    recent = _prompts(spark, d).select("sample_id", F.slice("tokens", F.greatest(F.lit(1), F.size("tokens") - 19), 20).alias("recent"))
+    return predict.adjusted(_interpolated(spark, d).join(recent, "sample_id"), _SAMPLER, "sample_id", F.col("recent"))
+
+
+@_query(f"WITH {_ADJUSTED} SELECT sample_id, token, round(prob, 6) AS prob, rank::BIGINT AS rank FROM cum")
+def sampling_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Repetition penalty, temperature, top-k and top-p."""
+    return _adjusted(spark, d).select("sample_id", "token", _six("prob").alias("prob"), F.col("rank").cast("long").alias("rank"))
+
+
+@_query(
+    f"""WITH {_ADJUSTED}, u AS (SELECT sample_id, ('0x' || substr(md5(sample_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM prompts),
+        p AS (SELECT sample_id, coalesce(min(CASE WHEN round(cum, 12) >= round(u, 12) THEN rank END), max(rank)) AS rank FROM cum JOIN u USING (sample_id) GROUP BY sample_id)
+        SELECT sample_id, token FROM cum JOIN p USING (sample_id, rank)"""
+)
+def sampled_draw(spark: SparkSession, d: str) -> DataFrame:
+    """One draw for each prompt, by a digest of its id."""
+    u = F.conv(F.substring(F.md5(F.col("sample_id").cast("string")), 1, 8), 16, 10).cast("long") / 4294967296.0
+    return predict.drawn(_adjusted(spark, d), "sample_id", u)
+
+
+@_query()
+def greedy_generation(spark: SparkSession, d: str) -> DataFrame:
+    """Eight tokens from each prompt; checked against a plain loop in the tests."""
+    out = predict.greedy_chain(_prompts(spark, d), persisted(_counts(spark, d)), 8, "sample_id")
+    return out.select("sample_id", F.array_join("generated", "").alias("generated"), F.size("generated").cast("long").alias("n_tokens"))
+
+
+_SCORED = (
+    f"{_COUNTS}, {_PROMPTS}, tests AS (SELECT sample_id, i AS pos, t[i] AS next, t, k AS ord, array_to_string(t[i - k + 1:i - 1], chr(31)) AS ctx FROM prompts, LATERAL (SELECT unnest(generate_series(5, len(t))) AS i), (SELECT unnest([2, 3, 4, 5]) AS k)), "
+    "totals AS (SELECT ord, ctx, sum(cnt) AS total FROM counts GROUP BY ALL), "
+    "p AS (SELECT sample_id, pos, sum(CASE ord WHEN 2 THEN 0.05::DOUBLE WHEN 3 THEN 0.15::DOUBLE WHEN 4 THEN 0.30::DOUBLE ELSE 0.50::DOUBLE END * coalesce(cnt, 0) / coalesce(total, 1)) AS p FROM tests LEFT JOIN counts USING (ord, ctx, next) LEFT JOIN totals USING (ord, ctx) GROUP BY ALL), "
+    "s AS (SELECT sample_id, exp(-avg(ln(CASE WHEN p > 0 THEN p ELSE 1e-10::DOUBLE END))) AS perplexity, avg((p > 0)::INT) AS coverage FROM p GROUP BY sample_id)"
+)
+
+
+@_query(f"WITH {_SCORED} SELECT sample_id, CASE WHEN coverage >= 0.5 THEN round(perplexity, 3) END AS perplexity, round(coalesce(coverage, 0), 6) AS coverage FROM prompts LEFT JOIN s USING (sample_id)")
+def perplexity_coverage(spark: SparkSession, d: str) -> DataFrame:
+    out = evaluate.scores(_prompts(spark, d), persisted(_counts(spark, d)), "sample_id")
+    return out.select("sample_id", F.round("perplexity", 3).alias("perplexity"), _six("coverage").alias("coverage"))
+
+
+@_query(
+    r"""WITH g AS (SELECT sample_id, regexp_replace(generated, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t FROM generation_sample)
+        SELECT sample_id, coalesce(octet_length(encode(t)) >= 3 AND length(regexp_replace(t, '\P{L}', '', 'g')) / octet_length(encode(t)) >= 0.1
+        AND (length(t) - length(replace(t, substr(t, 1, 1), ''))) / octet_length(encode(t)) <= 0.8, false) AS sane FROM g"""
+)
+def generation_sanity(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "generation_sample").select("sample_id", evaluate.is_sane(F.col("generated")).alias("sane"))
+
+
+_PHASE = r"lower(trim(regexp_replace(regexp_replace(name, '[^\p{L}\p{N}() _-]', '', 'g'), ' +', ' ', 'g')))"
+
+
+def _phase(c: str) -> Column:
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}() _-]", ""), " +", " ")))
+
+
+@_query(
+    f"""WITH e AS (SELECT run_id, {_PHASE} AS phase, epoch, min(latest_perplexity) AS ppl FROM phase_progress WHERE name IS NOT NULL AND epoch IS NOT NULL GROUP BY ALL),
+        l AS (SELECT *, lag(ppl) OVER w AS before, row_number() OVER w AS k FROM e WINDOW w AS (PARTITION BY run_id, phase ORDER BY epoch)),
+        x AS (SELECT *, CASE WHEN k = 1 THEN NULL WHEN before IS NOT NULL AND ppl IS NOT NULL THEN (ppl - before) / before ELSE -1.0::DOUBLE END AS delta FROM l)
+        SELECT run_id, phase, epoch, round(delta, 6) AS delta, ppl IS NOT NULL AND coalesce(abs(delta) < 0.01, false) AS converged FROM x"""
+)
+def convergence_flags(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "phase_progress").where("name IS NOT NULL AND epoch IS NOT NULL")
+    epochs = rows.groupBy("run_id", _phase("name").alias("phase"), "epoch").agg(F.min("latest_perplexity").alias("ppl"))
+    return evaluate.convergence(epochs, ["run_id", "phase"], "epoch", "ppl").select("run_id", "phase", "epoch", _six("delta").alias("delta"), "converged")
+
+
+# ---- byte-pair encoding
+
+_PAIRS = f"{_DOCS}, words AS (SELECT w, count(*) AS c FROM (SELECT unnest(ws) AS w FROM docs) GROUP BY w), syms AS (SELECT c, regexp_split_to_array(w, '') AS s FROM words)"
+MERGES = 20
+
+
+@_query(f"WITH {_PAIRS}, p AS (SELECT c, unnest(list_transform(range(1, len(s)), lambda i: [s[i], s[i + 1]])) AS p FROM syms) SELECT p[1] AS l, p[2] AS r, sum(c)::BIGINT AS n FROM p GROUP BY ALL")
+def bpe_pair_counts(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.pair_counts(bpe.word_freqs(_docs(spark, d)))
+
+
+_BPE = f"""{_PAIRS}, bpe(k, w, syms, c, l, r, pc) AS (
+  SELECT 0, w, regexp_split_to_array(w, ''), c, NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT FROM words
+  UNION ALL
+  SELECT k + 1, w, list_transform(list_filter(string_split(replace(chr(1) || array_to_string(syms, chr(2) || chr(1)) || chr(2), chr(1) || bl || chr(2) || chr(1) || br || chr(2), chr(1) || bl || br || chr(2)), chr(1)),
+    lambda x: x <> ''), lambda x: replace(x, chr(2), '')), c, bl, br, bc
+  FROM bpe, (SELECT p[1] AS bl, p[2] AS br, sum(c)::BIGINT AS bc FROM (SELECT unnest(list_transform(range(1, len(syms)), lambda i: [syms[i], syms[i + 1]])) AS p, c FROM bpe) GROUP BY p ORDER BY bc DESC, bl, br LIMIT 1) best
+  WHERE k < {MERGES})"""
+
+
+def _merges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    freqs = persisted(bpe.word_freqs(_docs(spark, d)))
+    return freqs, bpe.learn_merges(freqs, MERGES)
+
+
+@_query(f"WITH RECURSIVE {_BPE} SELECT DISTINCT k::BIGINT AS rank, l, r, l || r AS merged, pc AS n FROM bpe WHERE k > 0")
+def bpe_merges(spark: SparkSession, d: str) -> DataFrame:
+    return _merges(spark, d)[1].select(F.col("rank").cast("long").alias("rank"), "l", "r", "merged", "n")
+
+
+@_query(f"WITH RECURSIVE {_BPE} SELECT w AS word, array_to_string(syms, ' + ') AS pieces FROM bpe WHERE k = {MERGES}")
+def bpe_encode_words(spark: SparkSession, d: str) -> DataFrame:
+    freqs, merges = _merges(spark, d)
+    return bpe.encode_words(freqs.select("word"), merges).select("word", F.array_join("pieces", " + ").alias("pieces"))
+
+
+@_query(f"WITH RECURSIVE {_BPE}, enc AS (SELECT w, len(syms) AS n FROM bpe WHERE k = {MERGES}) SELECT doc_id, sum(n)::BIGINT AS n_tokens FROM (SELECT doc_id, unnest(ws) AS w FROM docs) JOIN enc USING (w) GROUP BY doc_id")
+def bpe_doc_tokens(spark: SparkSession, d: str) -> DataFrame:
+    freqs, merges = _merges(spark, d)
+    pieces = bpe.encode_words(freqs.select("word"), merges).select("word", F.size("pieces").cast("long").alias("n"))
+    per_doc = tx.words(_docs(spark, d), "doc_id").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("c"))
+    return per_doc.join(pieces, "word").groupBy("doc_id").agg(F.sum(F.col("c") * F.col("n")).alias("n_tokens"))
+
+
+@_query("SELECT doc_id, true AS same FROM documents WHERE text IS NOT NULL AND text <> ''")
+def bpe_decode_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    freqs, merges = _merges(spark, d)
+    vocab = bpe.vocabulary(freqs, merges)
+    docs = _docs(spark, d)
+    back = bpe.decode(bpe.encode(docs, "doc_id", merges, vocab), "doc_id", vocab).withColumnRenamed("text", "back")
+    return docs.join(back, "doc_id", "left").select("doc_id", F.coalesce(F.col("back") == F.col("text"), F.lit(False)).alias("same"))
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{t}')" for i, t in enumerate(bpe.SPECIALS)) + ") v(token_id, token)")
+def special_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.special_tokens(spark).select(F.col("token_id").cast("long").alias("token_id"), "token")
+
+
+# ---- sketch
+
+_CMS = "keys AS (SELECT user_id::VARCHAR AS key, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY ALL), cells AS (SELECT key, n, r AS row, ('0x' || substr(md5(key || ':' || r), 1, 8))::BIGINT % 4096 AS bucket FROM keys, (SELECT unnest([0, 1, 2, 3]) AS r)), cms AS (SELECT row, bucket, sum(n)::BIGINT AS cnt FROM cells GROUP BY ALL)"
+
+
+def _cms(spark: SparkSession, d: str) -> DataFrame:
+    return sketch.build(table(spark, d, "events"), F.col("user_id"), width=4096)
+
+
+@_query(f"WITH {_CMS} SELECT row, bucket, cnt FROM cms")
+def cms_build(spark: SparkSession, d: str) -> DataFrame:
+    return _cms(spark, d)
+
+
+@_query(f"WITH {_CMS} SELECT key::BIGINT AS user_id, min(cms.cnt)::BIGINT AS estimate, any_value(n)::BIGINT AS truth FROM cells JOIN cms USING (row, bucket) GROUP BY key")
+def cms_estimate(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events")
+    truth = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("truth"))
+    return sketch.estimate(_cms(spark, d), events, F.col("user_id"), width=4096).withColumnRenamed("key", "user_id").join(truth, "user_id").select("user_id", "estimate", "truth")
+
+
+@_query(f"WITH {_CMS} SELECT row, bucket, floor(cnt * 0.5)::BIGINT AS cnt FROM cms")
+def cms_decay(spark: SparkSession, d: str) -> DataFrame:
+    return sketch.decayed(_cms(spark, d), 0.5)
+
+
+# ---- retrieval: the items' prompts, from the first words on, are the stated queries
+
+_WS = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{0b}]+"
+_LATEST = "store AS (SELECT id, max(stored_at) AS stored_at, arg_max(content, (stored_at IS NOT NULL, stored_at, coalesce(content, ''))) AS content FROM snippet WHERE id IS NOT NULL GROUP BY id)"
+
+
+def _store(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "snippet").where("id IS NOT NULL").select("id", "content", "stored_at")
+    return retrieval.latest(rows, "id", F.col("stored_at").isNotNull(), F.col("stored_at"))
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "generation_sample").where("prompt IS NOT NULL").select("sample_id", "prompt")
+
+
+@_query("WITH " + _LATEST + " SELECT id, coalesce(length(content), -1)::BIGINT AS n_chars, stored_at FROM store")
+def snippet_upsert(spark: SparkSession, d: str) -> DataFrame:
+    return _store(spark, d).select("id", F.coalesce(F.char_length("content"), F.lit(-1)).cast("long").alias("n_chars"), "stored_at")
+
+
+_SEARCH = (
+    _LATEST
+    + f""", q AS (SELECT sample_id, list_filter(regexp_split_to_array(lower(prompt), '{_WS}'), lambda t: t <> '') AS t FROM generation_sample WHERE prompt IS NOT NULL),
+    hits AS (SELECT sample_id, id, content, len(list_filter(t, lambda x: contains(lower(content), x))) / len(t) AS score FROM q, store WHERE len(t) > 0 AND content IS NOT NULL),
+    top AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, id)::BIGINT AS rank FROM hits WHERE score > 0)"""
+)
+
+
+@_query(f"WITH {_SEARCH} SELECT sample_id, id, round(score, 6) AS score, rank FROM top WHERE rank <= 5")
+def rag_search(spark: SparkSession, d: str) -> DataFrame:
+    hits = retrieval.search(_store(spark, d), _asked(spark, d), "sample_id", "prompt", "id", "content", 5)
+    return hits.select("sample_id", "id", _six("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@_query(f"WITH {_SEARCH} SELECT sample_id, id, round(score, 6) AS score, md5(content) AS digest FROM top WHERE rank <= 3")
+def rag_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    store = persisted(_store(spark, d))
+    hits = retrieval.search(store, _asked(spark, d), "sample_id", "prompt", "id", "content", 3)
+    return retrieval.retrieve(store, hits, "id").select("sample_id", "id", _six("score").alias("score"), F.md5("content").alias("digest"))
+
+
+@_query("SELECT DISTINCT id FROM snippet WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM snippet WHERE content IS NULL AND id IS NOT NULL)")
+def rag_remove(spark: SparkSession, d: str) -> DataFrame:
+    """The store without every id that ever held no content."""
+    rows = table(spark, d, "snippet").where("id IS NOT NULL")
+    return retrieval.removed(rows.select("id").distinct(), rows.where("content IS NULL"), "id")
+
+
+@_query(
+    "WITH "
+    + _LATEST
+    + r""", d AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS t FROM store WHERE content IS NOT NULL),
+    dd AS (SELECT id, t, len(t) AS len FROM d WHERE len(t) > 0), n AS (SELECT count(*) AS docs, avg(len) AS mean FROM dd),
+    q AS (SELECT DISTINCT sample_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(prompt), '[^\p{L}\p{N}]+'), lambda t: t <> ''))) AS term FROM generation_sample WHERE prompt IS NOT NULL),
+    tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len, unnest(t) AS term FROM dd) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    s AS (SELECT sample_id, id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))) AS score FROM q JOIN tf USING (term) JOIN df USING (term), n GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY round(score, 9) DESC, id)::BIGINT AS rank FROM s)
+    SELECT sample_id, id, round(score, 5) AS score, rank FROM r WHERE rank <= 5"""
+)
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    hits = retrieval.bm25(persisted(_store(spark, d)), _asked(spark, d), "sample_id", "prompt", "id", "content", 5)
+    return hits.select("sample_id", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+# ---- preparation
+
+_TRIM = lambda c: f"regexp_replace({c}, '^{_WS}|{_WS}$', '', 'g')"
+_TEXTS = "texts AS (" + " UNION ALL ".join(f"SELECT dataset, row_id, {k} AS k, {c} AS value FROM download_twi WHERE dataset = '{name}'" for name, cs in prepare.DATASET_COLUMNS.items() for k, c in enumerate(cs)) + ")"
+_CLEAN = f"clean AS (SELECT dataset, row_id, k, {_TRIM('value')} AS value FROM texts WHERE value IS NOT NULL)"
+
+
+@_query(f"WITH {_TEXTS}, {_CLEAN}, o AS (SELECT dataset, value, min((row_id, k)) AS o, count(*)::BIGINT AS copies FROM clean WHERE value <> '' GROUP BY ALL) SELECT dataset, value, o[1] AS row_id, o[2]::BIGINT AS k, copies FROM o")
+def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    texts = prepare.dataset_texts(table(spark, d, "download_twi"), "row_id", "dataset")
+    return prepare.exact_dedup(texts, "dataset", value="value", order=["row_id", "k"]).withColumn("k", F.col("k").cast("long"))
+
+
+@_query(
+    f"""WITH {_TEXTS}, l AS (SELECT dataset, {_TRIM('x')} AS line FROM (SELECT dataset, unnest(string_split(regexp_replace(value, '\\r\\n|\\r', chr(10), 'g'), chr(10))) AS x FROM texts WHERE value IS NOT NULL))
+        SELECT dataset, count(*)::BIGINT AS lines, sum(length(line))::BIGINT AS chars, count(DISTINCT line)::BIGINT AS different FROM l WHERE length(line) > 2 GROUP BY dataset"""
+)
+def clean_lines(spark: SparkSession, d: str) -> DataFrame:
+    texts = prepare.dataset_texts(table(spark, d, "download_twi"), "row_id", "dataset")
+    lines = prepare.clean_lines(texts, "dataset", value="value")
+    return lines.groupBy("dataset").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.char_length("line").cast("long")).alias("chars"), F.countDistinct("line").alias("different"))
+
+
+@_query(
+    f"""WITH u AS (SELECT row_id, field, {_TRIM('text')} AS text FROM (SELECT row_id, 'instruction' AS field, instruction AS text FROM download_twi UNION ALL SELECT row_id, 'output', output FROM download_twi))
+        SELECT row_id, field, text FROM u WHERE length(text) > 5"""
+)
+def unpivot_text(spark: SparkSession, d: str) -> DataFrame:
+    return prepare.unpivot_text(table(spark, d, "download_twi"), "row_id", ["instruction", "output"])
+
+
+@_query(
+    f"""WITH c AS (SELECT row_id, 0 AS pos, question AS v, answer AS w FROM download_twi WHERE question IS NOT NULL OR answer IS NOT NULL UNION ALL SELECT row_id, 1, answer, NULL FROM download_twi WHERE question IS NOT NULL OR answer IS NOT NULL)
+        SELECT row_id, pos::BIGINT AS pos, {_TRIM('coalesce(v, w)')} AS text FROM c WHERE length({_TRIM('coalesce(v, w)')}) > 5"""
+)
+def conversation_flatten(spark: SparkSession, d: str) -> DataFrame:
+    """Questions and answers as conversations of two messages; a message without a value has its content."""
+    rows = table(spark, d, "download_twi").where("question IS NOT NULL OR answer IS NOT NULL")
+    message = lambda v, c: F.struct(v.alias("value"), c.alias("content"))
+    made = rows.select("row_id", F.array(message(F.col("question"), F.col("answer")), message(F.col("answer"), F.lit(None).cast("string"))).alias("conversations"))
+    return prepare.flatten_conversations(made, "row_id", "conversations").select("row_id", F.col("pos").cast("long").alias("pos"), "text")
+
+
+def _stripped_sql(c: str) -> str:
+    for pattern, by in prepare.MARKUP_STEPS:
+        replacement = "chr(10)" if by == "\n" else "'" + by.replace("$1", "\\1") + "'"
+        c = f"regexp_replace({c}, '" + pattern.replace("'", "''") + f"', {replacement}, 'g')"
+    return c
+
+
+@_query(f"SELECT doc_id, {_stripped_sql('text')} AS article FROM documents WHERE text IS NOT NULL")
+def markup_strip(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", prepare.markup_stripped(F.col("text")).alias("article"))
+
+
+@_query(
+    f"""WITH a AS (SELECT doc_id, {_stripped_sql('text')} AS a FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(generate_series(0, len(l) - 1))::BIGINT AS pos, {_TRIM('unnest(l)')} AS line
+        FROM (SELECT doc_id, string_split(a, chr(10)) AS l FROM a WHERE NOT starts_with(a, '#REDIRECT') AND length(a) >= 100))
+        SELECT doc_id, pos, line FROM l WHERE length(line) > 20 AND substr(line, 1, 1) NOT IN ('*', '|', '!', '{{')"""
+)
+def article_lines(spark: SparkSession, d: str) -> DataFrame:
+    return prepare.article_lines(table(spark, d, "documents").where("text IS NOT NULL"), "doc_id", "text").withColumn("pos", F.col("pos").cast("long"))
+
+
+_CODE = (
+    f"f AS (SELECT DISTINCT ON (file_id) file_id, lower(language) AS language, content FROM download_code), u AS (SELECT file_id, language, replace(replace(content, '\\n', chr(10)), '\\t', chr(9)) AS content FROM f WHERE language IN ('python', 'typescript', 'javascript', 'rust') AND length({_TRIM('content')}) >= 50), "
+    "g AS (SELECT *, string_split(content, chr(10)) AS l FROM u), code AS (SELECT file_id, language, content, len(l)::BIGINT AS n_lines FROM g WHERE len(l) BETWEEN 3 AND 5000 AND NOT ("
+    + " OR ".join(f"contains(lower(array_to_string(l[1:5], chr(10))), '{m}')" for m in prepare.GENERATED_MARKERS)
+    + "))"
+)
+
+
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    return prepare.code_filtered(table(spark, d, "download_code").dropDuplicates(["file_id"]), "language", "content")
+
+
+@_query(f"WITH {_CODE} SELECT file_id, language, n_lines, md5(content) AS digest FROM code")
+def code_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _code(spark, d).select("file_id", "language", F.col("n_lines").cast("long").alias("n_lines"), F.md5("content").alias("digest"))
+
+
+@_query(f"WITH {_CODE}, r AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY file_id)::BIGINT AS rn FROM code) SELECT language, rn, file_id FROM r WHERE rn <= 20")
+def top_n_per_key(spark: SparkSession, d: str) -> DataFrame:
+    return prepare.top_n(_code(spark, d), "language", 20, "file_id").select("language", F.col("rn").cast("long").alias("rn"), "file_id")
+
+
+@_query(r"SELECT lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)) AS ext, count(*)::BIGINT AS files FROM download_code WHERE regexp_extract(path, '\.([A-Za-z0-9]+)$', 1) <> '' GROUP BY ALL")
+def ending_counts(spark: SparkSession, d: str) -> DataFrame:
+    return prepare.ending_counts(F.col("path"), table(spark, d, "download_code"))
+
+
+@_query(
+    """WITH s AS (SELECT source, doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS lines, octet_length(encode(text)) AS bytes FROM documents WHERE text IS NOT NULL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lines DESC, doc_id) AS k FROM s)
+        SELECT source, count(*)::BIGINT AS files, sum(lines)::BIGINT AS lines, sum(bytes)::BIGINT AS bytes, string_agg(CASE WHEN k <= 3 THEN doc_id::VARCHAR END, ',' ORDER BY k) AS largest FROM r GROUP BY source"""
+)
+def corpus_status(spark: SparkSession, d: str) -> DataFrame:
+    return prepare.corpus_status(table(spark, d, "documents"), "source", "doc_id", "text")
+
+
+@_query(
+    f"""WITH l AS (SELECT doc_id, list_transform(CASE WHEN ends_with(text, chr(10)) THEN list_slice(string_split(text, chr(10)), 1, -2) ELSE string_split(text, chr(10)) END, lambda x: regexp_replace(x, '\\r$', '')) AS l FROM documents WHERE text <> ''),
+        n AS (SELECT doc_id, l, greatest(10, least(500, floor(len(l) * 0.05)))::INT AS n FROM l),
+        t AS (SELECT doc_id, list_filter(l[greatest(1, len(l) - n + 1):], lambda x: {_TRIM('x')} <> '') AS t FROM n)
+        SELECT doc_id, md5(array_to_string(t, chr(10))) AS digest, len(t)::BIGINT AS n_lines FROM t WHERE len(t) > 0"""
+)
+def holdout_tail(spark: SparkSession, d: str) -> DataFrame:
+    return prepare.tail_lines(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.md5("tail").alias("digest"), F.col("n_lines").cast("long").alias("n_lines"))
+
+
+@_query(
+    f"""WITH l AS (SELECT source, doc_id, unnest(generate_series(0, len(l) - 1))::BIGINT AS pos, {_TRIM('unnest(l)')} AS line FROM (SELECT source, doc_id, string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) AS k FROM l WHERE octet_length(encode(line)) > 3) SELECT source, doc_id, pos, line FROM r WHERE k <= 100"""
+)
+def tokenizer_sample(spark: SparkSession, d: str) -> DataFrame:
+    return prepare.tokenizer_sample(table(spark, d, "documents"), "source", "doc_id", "text", 100).withColumn("pos", F.col("pos").cast("long"))
+
+
+@_query(f"WITH {_CODE} SELECT language, row_number() OVER (PARTITION BY language ORDER BY file_id)::BIGINT AS pos, md5('<|file|> ' || file_id || chr(10) || content || chr(10) || '<|endfile|>' || chr(10)) AS digest FROM code")
+def combined_corpus(spark: SparkSession, d: str) -> DataFrame:
+    out = prepare.combined(_code(spark, d), "language", ["file_id"], "content", F.col("file_id").cast("string"))
+    return out.select("language", F.col("pos").cast("long").alias("pos"), F.md5("text").alias("digest"))
+
+
+@_query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY updated_at DESC, tokens_trained DESC, name DESC, epoch DESC) AS k FROM phase_progress WHERE run_id IS NOT NULL AND updated_at IS NOT NULL AND name IS NOT NULL AND tokens_trained IS NOT NULL AND epoch IS NOT NULL)
+        SELECT run_id, name, updated_at, tokens_trained, CASE WHEN len(perplexity_history) > 1 AND perplexity_history[-1] < perplexity_history[-2] THEN '↓' WHEN len(perplexity_history) > 1 AND perplexity_history[-1] > perplexity_history[-2] THEN '↑' ELSE '→' END AS trend,
+        repeat('█', floor(CASE WHEN total_files > 0 THEN least(1.0, files_processed / total_files) ELSE 0 END * 28)::INT) || repeat('░', 28 - floor(CASE WHEN total_files > 0 THEN least(1.0, files_processed / total_files) ELSE 0 END * 28)::INT) AS bar FROM r WHERE k = 1"""
+)
+def progress_monitor(spark: SparkSession, d: str) -> DataFrame:
+    """The last report of each run, with its trend and bar."""
+    rows = table(spark, d, "phase_progress").dropna(subset=["run_id", "updated_at", "name", "tokens_trained", "epoch"])
+    last = rows.groupBy("run_id").agg(F.max_by(F.struct("name", "updated_at", "tokens_trained", "perplexity_history", "files_processed", "total_files"), F.struct("updated_at", "tokens_trained", "name", "epoch")).alias("r")).select("run_id", "r.*")
+    return last.select("run_id", "name", "updated_at", "tokens_trained", tx.trend(F.col("perplexity_history")).alias("trend"), tx.bar(F.col("files_processed"), F.col("total_files")).alias("bar"))
+
+
+# ---- streaming
+
+
+@_query(f"WITH {_COUNTS} SELECT * FROM counts WHERE ord <= 3")
+def stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts gathered by a stream over the files of documents, equal to those of one batch."""
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    out = f"{root}/stream-{spark._jvm.java.util.UUID.randomUUID()}"
+    batch = table(spark, d, "documents")
+    schema = ", ".join(f"{n} {t}" for n, t in batch.dtypes)
+    # A stream reads folders: that of the table, or the one beside which its single file stands.
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
+    docs = reader.option("pathGlobFilter", "*.parquet").parquet(f"{d}/documents.parquet") if folder else reader.option("pathGlobFilter", "documents.parquet").parquet(d)
+    streaming.count_stream(docs.where("text IS NOT NULL AND text <> ''"), f"{out}/counts", f"{out}/log", orders=(2, 3)).start().awaitTermination()
+    return streaming.counted(spark, f"{out}/counts")
+
+
+@_query("SELECT date_trunc('hour', ts) AS win_start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    return streaming.event_windows(table(spark, d, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 4))
+
+
+# ---- relational
+
+
+@_query(
+    """SELECT n_name, c_mktsegment, count(*)::BIGINT AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, c_mktsegment)"""
+)
+def orders_rollup(spark: SparkSession, d: str) -> DataFrame:
+    joined = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.rollup("n_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def customers_without_orders(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@_query(
+    """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*)::BIGINT AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL"""
+)
+def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
