@@ -22,18 +22,27 @@ def weight(order: Column, weights: dict[int, float] | None = None) -> Column:
     return F.create_map(*[F.lit(x) for pair in (weights or WEIGHTS).items() for x in pair])[order]
 
 
+def shares(table: DataFrame) -> DataFrame:
+    """ord, ctx, next, p: the share of each token after its context."""
+    return table.join(totals(table), ["ord", "ctx"]).select("ord", "ctx", "next", (F.col("cnt") / F.col("total")).alias("p"))
+
+
+def _mixed(queries: DataFrame, known: DataFrame, query_id: str, tokens: str) -> DataFrame:
+    asked = suffix_contexts(queries.select(query_id, tokens), tokens)
+    return asked.join(known, ["ord", "ctx"]).groupBy(query_id, F.col("next").alias("token")).agg(F.sum(weight(F.col("ord")) * F.col("p")).alias("prob"))
+
+
+def _ranked(mixed: DataFrame, query_id: str) -> DataFrame:
+    return mixed.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc(F.round("prob", 12)), "token")))
+
+
 def interpolated(queries: DataFrame, table: DataFrame, query_id: str, tokens: str = "tokens") -> DataFrame:
     """query_id, token, prob, rank: the weighted sum of the shares of each order whose context is known.
 
     Weights are not scaled where an order has no context. Only contexts that are asked for are looked up, so the table is never ranked.
     """
-    asked = suffix_contexts(queries.select(query_id, tokens), tokens)
-    wanted = asked.select("ord", "ctx").distinct()
-    known = table.join(wanted, ["ord", "ctx"], "left_semi")
-    shares = known.join(totals(known), ["ord", "ctx"]).select("ord", "ctx", "next", (F.col("cnt") / F.col("total")).alias("p"))
-    mixed = asked.join(shares, ["ord", "ctx"]).groupBy(query_id, F.col("next").alias("token")).agg(F.sum(weight(F.col("ord")) * F.col("p")).alias("prob"))
-    ranked = Window.partitionBy(query_id).orderBy(F.desc(F.round("prob", 12)), "token")
-    return mixed.withColumn("rank", F.row_number().over(ranked))
+    wanted = suffix_contexts(queries.select(query_id, tokens), tokens).select("ord", "ctx").distinct()
+    return _ranked(_mixed(queries, shares(table.join(wanted, ["ord", "ctx"], "left_semi")), query_id, tokens), query_id)
 
 
 @dataclass(frozen=True)
@@ -90,15 +99,16 @@ def generate(prompts: DataFrame, table: DataFrame, steps: int, query_id: str, sa
     Contexts are the last 4 tokens; the penalty looks at the last RECENT. Each step is one look-up join over all prompts; the state is written to the shared checkpoint folder, so plans don't grow.
     """
     sampler = sampler or Sampler()
+    known = persisted(shares(table))
     state = prompts.select(query_id, "tokens", F.array().cast("array<string>").alias("generated"), F.lit(False).alias("done"))
     for step in range(steps):
         live = state.where("NOT done")
-        ranked = interpolated(live, table, query_id)
+        mixed = _mixed(live, known, query_id, "tokens")
         if sampler.greedy:
-            chosen = ranked.where("rank = 1").select(query_id, "token")
+            chosen = mixed.groupBy(query_id).agg(F.min(F.struct((-F.round("prob", 12)).alias("less"), "token"))["token"].alias("token"))
         else:
             seen = live.select(query_id, F.slice("tokens", F.greatest(F.lit(1), F.size("tokens") - recent + 1), recent).alias("recent"))
-            filtered = adjusted(ranked.join(seen, query_id), sampler, query_id, F.col("recent"))
+            filtered = adjusted(_ranked(mixed, query_id).join(seen, query_id), sampler, query_id, F.col("recent"))
             draw = F.pmod(F.xxhash64(query_id, F.lit(seed + step)), F.lit(1 << 53)) / float(1 << 53)
             chosen = drawn(filtered, query_id, draw)
         after = state.join(chosen, query_id, "left")
