@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     """One row for each key, that of the greatest order: an upsert. Ties go to the greatest row."""
@@ -36,7 +38,7 @@ def search(store: DataFrame, queries: DataFrame, query_id: str, query: str, key:
     wanted = each.select("term").distinct()
     if (n := wanted.count()) > 100_000:
         raise ValueError(f"{n} terms are too many for one pass: search the queries in blocks")
-    found = store.select(key, F.lower(content).alias("lower")).where("lower IS NOT NULL").join(F.broadcast(wanted), F.contains("lower", "term")).select(key, "term")
+    found = spread(store.select(key, F.lower(content).alias("lower"))).where("lower IS NOT NULL").join(F.broadcast(wanted), F.contains("lower", "term")).select(key, "term")
     scored = each.join(found, "term").groupBy(query_id, key).agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import bpe, evaluate, ngrams, predict, prepare, retrieval, sketch
-from .session import ensure_checkpoint_dir, persisted, table
+from .session import ensure_checkpoint_dir, persisted, spread, table
 from .streaming import counts as streaming
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,7 +45,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text IS NOT NULL AND text <> ''")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source")).where("text IS NOT NULL AND text <> ''")
 
 
 def _counts(spark: SparkSession, d: str, orders: tuple[int, ...] = ngrams.ORDERS) -> DataFrame:
@@ -425,7 +425,7 @@ _SEARCH = (
 
 @_query(f"WITH {_SEARCH} SELECT sample_id, id, round(score, 6) AS score, rank FROM top WHERE rank <= 5")
 def rag_search(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.search(_store(spark, d), _asked(spark, d), "sample_id", "prompt", "id", "content", 5)
+    hits = retrieval.search(persisted(_store(spark, d)), _asked(spark, d), "sample_id", "prompt", "id", "content", 5)
     return hits.select("sample_id", "id", _six("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
