@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +19,10 @@ from .common import spread
 
 #: Words of a shingle, and the similarity from which two files are copies of each other.
 SHINGLE, SIMILAR = 5, 0.8
-#: MinHash values in so many bands of so many rows; two files of similarity 0.8 share a band with a probability of 0.9997.
-BANDS, ROWS = 16, 4
+#: Bands, and the MinHash values in each over plain and over masked shingles. Two files of similarity 0.8 (0.9 when masked) share a band with a probability of 0.999, two of 0.4 with one of 0.08.
+BANDS, ROWS, MASKED_ROWS = 32, 6, 2
+#: Bits of a sketch of one-bit MinHash values, and the similarity by it under which a pair isn't compared: five standard deviations under SIMILAR.
+SKETCH_BITS, SKETCHED = 256, 0.6
 #: Tokens below which a file is too short to tell a copy from a coincidence.
 LEAST_TOKENS = 30
 #: A family of statements has at least so many members in a file, and families make a file generated if they hold this share of its statements.
@@ -121,8 +124,8 @@ def kinds(text: str, lexed: list[tuple[str, str, int]]) -> tuple[bool, bool, boo
     return generated, minified, data
 
 
-_A = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_B = np.random.default_rng(12).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_A = np.random.default_rng(11).integers(1, 1 << 63, SKETCH_BITS, dtype=np.uint64) | np.uint64(1)
+_B = np.random.default_rng(12).integers(0, 1 << 63, SKETCH_BITS, dtype=np.uint64)
 
 
 def shingle_hashes(words: list[str]) -> np.ndarray:
@@ -138,22 +141,27 @@ def shingle_hashes(words: list[str]) -> np.ndarray:
     return np.unique(out >> np.uint64(32))
 
 
-def band_hashes(shingles: np.ndarray) -> np.ndarray:
-    """Of each band, a hash of its MinHash values."""
-    lowest = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def lowest_hashes(shingles: np.ndarray, n: int) -> np.ndarray:
+    """N MinHash values of a set of shingles."""
+    lowest = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 4096):
-        part = shingles[i : i + 4096, None] * _A + _B
+        part = shingles[i : i + 4096, None] * _A[:n] + _B[:n]
         part ^= part >> np.uint64(31)
         lowest = np.minimum(lowest, (part * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0))
-    bands = lowest.reshape(BANDS, ROWS)
-    out = np.zeros(BANDS, np.uint64)
-    for k in range(ROWS):
+    return lowest
+
+
+def band_hashes(lowest: np.ndarray, rows: int) -> np.ndarray:
+    """Of each band, a hash of its number and MinHash values."""
+    bands = lowest[: BANDS * rows].reshape(BANDS, rows)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for k in range(rows):
         out = (out ^ bands[:, k]) * np.uint64(0x94D049BB133111EB)
         out ^= out >> np.uint64(32)
     return out
 
 
-PROFILE = "generated boolean, minified boolean, data boolean, n_tokens int, form string, bands array<long>, shingles array<int>"
+PROFILE = "generated boolean, minified boolean, data boolean, n_tokens int, form long, bands array<long>, sketch array<long>, shingles array<int>"
 
 
 def profile(text: str | None) -> tuple:
@@ -166,12 +174,15 @@ def profile(text: str | None) -> tuple:
     generated, minified, data = kinds(text, lexed)
     body = [(kind, token) for kind, token, _ in lexed if kind not in REMARKS]
     if len(body) < LEAST_TOKENS:
-        return generated, minified, data, len(body), None, [], []
+        return generated, minified, data, len(body), None, [], [], []
     words = [token for _, token in body]
     plain = shingle_hashes(words)
-    masked = band_hashes(shingle_hashes([_masked(*x) for x in body]))
-    both = (masked * np.uint64(0x9E3779B97F4A7C15)) ^ band_hashes(plain)
-    return generated, minified, data, len(body), f"{zlib.crc32(chr(10).join(words).encode()):08x}{len(words)}:{int(both[0]):x}", both.view(np.int64).tolist(), plain.astype(np.uint32).view(np.int32).tolist()
+    lowest = lowest_hashes(plain, SKETCH_BITS)
+    masked = lowest_hashes(shingle_hashes([_masked(*x) for x in body]), BANDS * MASKED_ROWS)
+    bands = (band_hashes(masked, MASKED_ROWS) * np.uint64(0x9E3779B97F4A7C15)) ^ band_hashes(lowest, ROWS)
+    sketch = np.packbits(((lowest >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    form = xxhash.xxh3_64_intdigest("\n".join(words)) - (1 << 63)
+    return generated, minified, data, len(body), form, bands.view(np.int64).tolist(), sketch.tolist(), plain.astype(np.uint32).view(np.int32).tolist()
 
 
 def profiles(files: DataFrame, id_column: str, text_column: str, keep: list[str]) -> DataFrame:
@@ -200,38 +211,50 @@ def _similarity(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
+def _sketched(a: str, b: str) -> Column:
+    """The similarity of two forms by their sketches: bits agree by chance in half of the cases."""
+    differ = sum((F.bit_count(F.element_at(a, k).bitwiseXOR(F.element_at(b, k))) for k in range(1, SKETCH_BITS // 64 + 1)), F.lit(0))
+    return 1 - 2 * differ / SKETCH_BITS
+
+
 def copied(known: DataFrame) -> DataFrame:
     """id of the files of which another repository holds a copy: the same tokens but for comments and white space, or SIMILAR shingles of tokens.
 
     Files of the same tokens become one form first. Forms that share a band are compared with the first of their bucket; those that aren't like it, with all others of the bucket.
-    A null repository is no repository: it makes no copy another's.
+    Pairs pass their sketches before their shingles are fetched. A null repository is no repository: it makes no copy another's.
     """
     rows = known.where("form IS NOT NULL AND repo IS NOT NULL")
-    forms = rows.groupBy("form").agg(F.min("repo").alias("low"), F.max("repo").alias("high"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
-    forms = persisted(forms)
+    forms = persisted(
+        rows.groupBy("form").agg(F.min("repo").alias("low"), F.max("repo").alias("high"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles"))
+    )
     sure = forms.where("low <> high").select("form")
 
-    members = forms.select("form", "low", "high", F.posexplode("bands").alias("band", "hash")).select("form", "low", "high", F.struct("band", "hash").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("form").alias("first"), F.count(F.lit(1)).alias("n"), F.min("low").alias("least"), F.max("high").alias("most"))
-    buckets = persisted(buckets.where("n > 1 AND least <> most"))
-    inside = persisted(joined_evenly(members, buckets, "bucket", F.col("n")))
-    texts = forms.select("form", "low", "high", "shingles")
+    # A repository stands for a form as a hash, or 0 for forms of several: two forms of one repository are no copies of each other.
+    where = F.when(F.col("low") == F.col("high"), F.xxhash64("low")).otherwise(F.lit(0).cast("long")).alias("where")
+    members = forms.select("form", where, "sketch", F.explode("bands").alias("bucket"))
+    firsts = members.groupBy("bucket").agg(F.min(F.struct("form", "where", "sketch")).alias("f"), F.count(F.lit(1)).alias("n"), F.min("where").alias("least"), F.max("where").alias("most"))
+    buckets = persisted(
+        firsts.where("n > 1 AND (least <> most OR least = 0)").select("bucket", "n", F.col("f.form").alias("other"), F.col("f.where").alias("other_where"), F.col("f.sketch").alias("other_sketch"))
+    )
+    inside = persisted(joined_evenly(members, buckets, "bucket", F.col("n")).drop("n"))
+    apart = (F.col("form") != F.col("other")) & ((F.col("where") != F.col("other_where")) | (F.col("where") == 0))
+    near = _sketched("sketch", "other_sketch") >= SKETCHED
+    texts = forms.select("form", "shingles")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """The pairs (form, other) that are similar and not both of one same repository."""
-        one = texts.select("form", F.col("low").alias("l1"), F.col("high").alias("h1"), F.col("shingles").alias("s1"))
-        two = texts.select(F.col("form").alias("other"), F.col("low").alias("l2"), F.col("high").alias("h2"), F.col("shingles").alias("s2"))
-        # One form may be the first of very many: its pairs are spread over its bucket's members, and joined evenly.
-        counts = persisted(pairs.groupBy("other").agg(F.count(F.lit(1)).alias("n")))
-        others = persisted(two.join(counts, "other"))
-        compared = joined_evenly(pairs.join(one, "form"), others, "other", F.col("n"))
-        return compared.where((F.least("l1", "l2") != F.greatest("h1", "h2")) & (_similarity("s1", "s2") >= SIMILAR)).select("form", "other")
-
-    first = persisted(alike(inside.where("form <> first").select("form", F.col("first").alias("other")).distinct()))
+        """The pairs (form, other) whose shingles are similar."""
+        pairs = persisted(pairs.select("form", "other").distinct())
+        # One form may be the first of very many, so its pairs are joined evenly.
+        counts = pairs.groupBy("other").agg(F.count(F.lit(1)).alias("n"))
+        others = persisted(texts.select(F.col("form").alias("other"), F.col("shingles").alias("s2")).join(counts, "other"))
+        compared = joined_evenly(pairs.join(texts, "form"), others, "other", F.col("n"))
+        return compared.where(_similarity("shingles", "s2") >= SIMILAR).select("form", "other")
+
+    first = persisted(alike(inside.where(apart & near)))
     found = first.select("form").union(first.select("other")).distinct()
-    left = inside.join(found, "form", "left_anti").where("form <> first")
-    others = inside.select("bucket", F.col("form").alias("other"))
-    rest = alike(left.select("bucket", "form").join(others, "bucket").where("form <> other").select("form", "other").distinct())
+    left = inside.join(found, "form", "left_anti").where("form <> other").select("bucket", "form", "where", "sketch")
+    others = inside.select("bucket", F.col("form").alias("other"), F.col("where").alias("other_where"), F.col("sketch").alias("other_sketch"))
+    rest = persisted(alike(left.join(others, "bucket").where(apart & near)))
     forms_found = sure.union(found).union(rest.select("form")).union(rest.select("other")).distinct()
     return rows.join(forms_found, "form", "left_semi").select("id")
 
