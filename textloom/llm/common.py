@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import spread
 
-def spread(df: DataFrame) -> DataFrame:
-    """DF over at least as many partitions as there are cores: only where the files are fewer, as for one small file, are rows moved."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+__all__ = ["label", "spread"]
 
 
 def label(column: Column, missing: str = "(none)") -> Column:

@@ -43,6 +43,8 @@ _ITEM_ALWAYS = re.compile(r"[^\S\n]*[*•▪◦·‣]\s+\S")
 _ITEM = re.compile(r"[^\S\n]*(?:[-–+]|\(?\d{1,3}[.)]|\(?[^\W\d_]\))\s+\S")
 _HEAD = re.compile(r"#{1,6}\s+\S")
 _TOKEN = re.compile(r"\S+")
+_QUOTE = re.compile(r"[" + re.escape("".join(QUOTES) + CLOSERS.replace("'", "").replace("’", "")) + "]")
+_STOP = re.compile(rf"[{re.escape(END_MARKS)}]+|[{re.escape(''.join(QUOTES))}\"]")
 _EDGE = "“”«»‹›„\"'‘’()[]{}<>,;:!?…*_`"
 
 
@@ -362,18 +364,18 @@ class Segmenter:
         out: dict[int, int] = {}
         stack: list[int] = []
         straight: list[int] = []
-        for i in range(start, end):
-            c = text[i]
+        for m in _QUOTE.finditer(text, start, end):
+            i, c = m.start(), m[0]
             if c in QUOTES:
                 stack.append(i)
-            elif c in CLOSERS and c not in "\"'’" and stack:
+            elif c == '"':
+                straight.append(i)
+            else:
                 for k in range(len(stack) - 1, -1, -1):
                     if QUOTES[text[stack[k]]] == c:
                         out[stack[k]] = i
                         del stack[k:]
                         break
-            elif c == '"':
-                straight.append(i)
         if len(straight) % 2 == 0:
             out |= dict(zip(straight[::2], straight[1::2]))
         return out
@@ -381,11 +383,11 @@ class Segmenter:
     @staticmethod
     def _next_stop(text: str, at: int, end: int, closing: dict[int, int]) -> tuple[str, int, int] | None:
         """The next quotation or bracket, or run of end marks outside of any."""
-        for i in range(at, end):
-            if i in closing and closing[i] < end:
-                return "quote", i, closing[i] + 1
-            if text[i] in END_MARKS:
-                return "mark", i, _END.match(text, i, end).end()
+        for m in _STOP.finditer(text, at, end):
+            if m[0][0] in END_MARKS:
+                return "mark", *m.span()
+            if m.start() in closing:
+                return "quote", m.start(), closing[m.start()] + 1
         return None
 
     @staticmethod
