@@ -107,6 +107,11 @@ def cased(text: str) -> bool:
     return upper > 0 and lower > 0.5 * upper
 
 
+def running_text(text: str, parts: list[tuple[bool, int, int]]) -> str:
+    """The paragraphs that hold an end mark: headings may be capitalised where the sentences aren't. The whole text where there are none."""
+    return "\n".join(text[a:b] for prose, a, b in parts if prose and _END.search(text, a, b)) or text
+
+
 def caseless_script(text: str) -> bool:
     """Whether most words begin with letters that have no case."""
     firsts = [m[0] for m in re.finditer(r"\b[^\W\d_]", text)]
@@ -131,10 +136,12 @@ def counted(text: str, code: bool) -> tuple[Counter, Counter]:
     """
     events: Counter = Counter()
     pairs: Counter = Counter()
-    letterless = caseless_script(text)
-    if not letterless and not cased(text):
+    parts = list(blocks(text, code))
+    running = running_text(text, parts)
+    letterless = caseless_script(running)
+    if not letterless and not cased(running):
         return events, pairs
-    for prose, start, end in blocks(text, code):
+    for prose, start, end in parts:
         if not prose:
             continue
         tokens = _TOKEN.findall(text, start, end)
@@ -305,9 +312,10 @@ class Segmenter:
         if not text or not text.strip():
             return []
         out: list[tuple[int, int]] = []
-        capitals = cased(text)
+        parts = list(blocks(text, code))
+        capitals = not code and cased(running_text(text, parts))
         known = self.language(text, lang) if not code else self.none
-        for prose, start, end in blocks(text, code):
+        for prose, start, end in parts:
             if prose:
                 cuts = [start, *self._cuts(text, start, end, known, capitals), end]
                 spans = zip(cuts, cuts[1:])
