@@ -186,7 +186,7 @@ def test_copies_against_brute_force(spark, monkeypatch):
             k += 1
     rows += [(k, "r1", "x = 1\n"), (k + 1, "r2", "x = 1\n"), (k + 2, "r1", None), (k + 3, "r2", ""), rows[0]]
     rows += [(1000 + i, f"h{i % 40}", "# note\n" * (i % 3) + base[0]) for i in range(60)]
-    shingles = {i: set(source_files.profile(t)[6]) for i, _, t in rows}
+    shingles = {i: set(source_files.file_shingles(t)) if source_files.profile(t)[4] is not None else set() for i, _, t in rows}
     repos = {i: r for i, r, _ in rows}
 
     def alike(a, b):

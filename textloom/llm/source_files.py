@@ -161,11 +161,11 @@ def band_hashes(lowest: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-PROFILE = "generated boolean, minified boolean, data boolean, n_tokens int, form long, bands array<long>, sketch array<long>, shingles array<int>"
+PROFILE = "generated boolean, minified boolean, data boolean, n_tokens int, form long, bands array<long>, sketch array<long>"
 
 
 def profile(text: str | None) -> tuple:
-    """What one file tells: its kinds, and for the search of copies a hash of its tokens, the bands and its shingles.
+    """What one file tells: its kinds, and for the search of copies a hash of its tokens, the bands and a sketch.
 
     A band joins the hashes of the same band over identifier-masked and over plain shingles: files share it only if both their form and their wording are alike.
     """
@@ -174,7 +174,7 @@ def profile(text: str | None) -> tuple:
     generated, minified, data = kinds(text, lexed)
     body = [(kind, token) for kind, token, _ in lexed if kind not in REMARKS]
     if len(body) < LEAST_TOKENS:
-        return generated, minified, data, len(body), None, [], [], []
+        return generated, minified, data, len(body), None, [], []
     words = [token for _, token in body]
     plain = shingle_hashes(words)
     lowest = lowest_hashes(plain, SKETCH_BITS)
@@ -182,7 +182,12 @@ def profile(text: str | None) -> tuple:
     bands = (band_hashes(masked, MASKED_ROWS) * np.uint64(0x9E3779B97F4A7C15)) ^ band_hashes(lowest, ROWS)
     sketch = np.packbits(((lowest >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
     form = xxhash.xxh3_64_intdigest("\n".join(words)) - (1 << 63)
-    return generated, minified, data, len(body), form, bands.view(np.int64).tolist(), sketch.tolist(), plain.astype(np.uint32).view(np.int32).tolist()
+    return generated, minified, data, len(body), form, bands.view(np.int64).tolist(), sketch.tolist()
+
+
+def file_shingles(text: str | None) -> list[int]:
+    """The shingles of a file's tokens."""
+    return shingle_hashes([token for kind, token, _ in tokens(unescaped(text or "")) if kind not in REMARKS]).astype(np.uint32).view(np.int32).tolist()
 
 
 def profiles(files: DataFrame, id_column: str, text_column: str, keep: list[str]) -> DataFrame:
@@ -217,44 +222,62 @@ def _sketched(a: str, b: str) -> Column:
     return 1 - 2 * differ / SKETCH_BITS
 
 
-def copied(known: DataFrame) -> DataFrame:
+#: Forms up to this number (8 MB of numbers) are broadcast to find their files again; more of them are joined by a shuffle.
+FEW_FORMS = 1_000_000
+
+
+def _shingled(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """form, shingles of the files whose id WANTED (id, form) holds: their contents are read again, so that shingles of all files needn't be kept or moved."""
+    chosen = files.join(F.broadcast(wanted) if wanted.count() <= FEW_FORMS else wanted, "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"form": batch["form"], "shingles": [file_shingles(t) for t in batch["text"]]})
+
+    # A file delivered twice under its id gives its form twice.
+    return chosen.select("form", "text").mapInPandas(run, "form long, shingles array<int>").groupBy("form").agg(F.first("shingles").alias("shingles"))
+
+
+def copied(known: DataFrame, files: DataFrame) -> DataFrame:
     """id of the files of which another repository holds a copy: the same tokens but for comments and white space, or SIMILAR shingles of tokens.
 
     Files of the same tokens become one form first. Forms that share a band are compared with the first of their bucket; those that aren't like it, with all others of the bucket.
-    Pairs pass their sketches before their shingles are fetched. A null repository is no repository: it makes no copy another's.
+    Pairs pass their sketches before their shingles are made. A null repository is no repository: it makes no copy another's.
     """
     rows = known.where("form IS NOT NULL AND repo IS NOT NULL")
     forms = persisted(
-        rows.groupBy("form").agg(F.min("repo").alias("low"), F.max("repo").alias("high"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles"))
+        rows.groupBy("form").agg(F.min("id").alias("id"), F.min("repo").alias("low"), F.max("repo").alias("high"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
     sure = forms.where("low <> high").select("form")
 
     # A repository stands for a form as a hash, or 0 for forms of several: two forms of one repository are no copies of each other.
     where = F.when(F.col("low") == F.col("high"), F.xxhash64("low")).otherwise(F.lit(0).cast("long")).alias("where")
-    members = forms.select("form", where, "sketch", F.explode("bands").alias("bucket"))
-    firsts = members.groupBy("bucket").agg(F.min(F.struct("form", "where", "sketch")).alias("f"), F.count(F.lit(1)).alias("n"), F.min("where").alias("least"), F.max("where").alias("most"))
-    buckets = persisted(
-        firsts.where("n > 1 AND (least <> most OR least = 0)").select("bucket", "n", F.col("f.form").alias("other"), F.col("f.where").alias("other_where"), F.col("f.sketch").alias("other_sketch"))
-    )
+    members = forms.select("form", where, F.explode("bands").alias("bucket"))
+    firsts = members.groupBy("bucket").agg(F.min("form").alias("other"), F.count(F.lit(1)).alias("n"), F.min("where").alias("least"), F.max("where").alias("most"))
+    buckets = persisted(firsts.where("n > 1 AND (least <> most OR least = 0)").select("bucket", "n", "other"))
     inside = persisted(joined_evenly(members, buckets, "bucket", F.col("n")).drop("n"))
-    apart = (F.col("form") != F.col("other")) & ((F.col("where") != F.col("other_where")) | (F.col("where") == 0))
-    near = _sketched("sketch", "other_sketch") >= SKETCHED
-    texts = forms.select("form", "shingles")
+    sketches = forms.select("form", where, "sketch")
+    others = sketches.select(F.col("form").alias("other"), F.col("where").alias("other_where"), F.col("sketch").alias("other_sketch"))
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """The pairs (form, other) whose shingles are similar."""
-        pairs = persisted(pairs.select("form", "other").distinct())
+        """The pairs (form, other) of different repositories whose sketches, and then shingles, are similar."""
+        pairs = persisted(pairs.select("form", "other").where("form <> other").distinct())
         # One form may be the first of very many, so its pairs are joined evenly.
-        counts = pairs.groupBy("other").agg(F.count(F.lit(1)).alias("n"))
-        others = persisted(texts.select(F.col("form").alias("other"), F.col("shingles").alias("s2")).join(counts, "other"))
-        compared = joined_evenly(pairs.join(texts, "form"), others, "other", F.col("n"))
+        counts = persisted(pairs.groupBy("other").agg(F.count(F.lit(1)).alias("n")))
+        near = joined_evenly(pairs.join(sketches, "form"), others.join(counts, "other"), "other", F.col("n"))
+        near = near.where(((F.col("where") != F.col("other_where")) | (F.col("where") == 0)) & (_sketched("sketch", "other_sketch") >= SKETCHED))
+        near = persisted(near.select("form", "other"))
+        wanted = near.select("form").union(near.select("other")).distinct().join(forms.select("form", "id"), "form")
+        texts = persisted(_shingled(files, wanted))
+        counts = near.groupBy("other").agg(F.count(F.lit(1)).alias("n"))
+        seconds = persisted(texts.select(F.col("form").alias("other"), F.col("shingles").alias("s2")).join(counts, "other"))
+        compared = joined_evenly(near.join(texts, "form"), seconds, "other", F.col("n"))
         return compared.where(_similarity("shingles", "s2") >= SIMILAR).select("form", "other")
 
-    first = persisted(alike(inside.where(apart & near)))
+    first = persisted(alike(inside))
     found = first.select("form").union(first.select("other")).distinct()
-    left = inside.join(found, "form", "left_anti").where("form <> other").select("bucket", "form", "where", "sketch")
-    others = inside.select("bucket", F.col("form").alias("other"), F.col("where").alias("other_where"), F.col("sketch").alias("other_sketch"))
-    rest = persisted(alike(left.join(others, "bucket").where(apart & near)))
+    left = inside.join(found, "form", "left_anti").where("form <> other").select("bucket", "form")
+    rest = persisted(alike(left.join(inside.select("bucket", F.col("form").alias("other")), "bucket")))
     forms_found = sure.union(found).union(rest.select("form")).union(rest.select("other")).distinct()
     return rows.join(forms_found, "form", "left_semi").select("id")
 
@@ -262,7 +285,8 @@ def copied(known: DataFrame) -> DataFrame:
 def classified(files: DataFrame, id_column: str, text_column: str, repo_column: str) -> DataFrame:
     """id, generated, minified, data, vendored of each different id. Null, empty and tiny contents are none of them; rows delivered again count once."""
     known = persisted(profiles(files.where(F.col(id_column).isNotNull()).withColumn("repo", F.col(repo_column)), id_column, text_column, ["repo"]))
-    vendored = copied(known).distinct().withColumn("vendored", F.lit(True))
+    texts = files.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    vendored = copied(known, texts).distinct().withColumn("vendored", F.lit(True))
     kinds_of = known.groupBy("id").agg(*[F.max(c).alias(c) for c in ("generated", "minified", "data")])
     return kinds_of.join(vendored, "id", "left").withColumn("vendored", F.coalesce("vendored", F.lit(False)))
 
