@@ -17,6 +17,8 @@ from .common import spread
 
 #: About so many labelled rows of each language are read for training; this bounds the sample, whatever the size of the table.
 ROWS_PER_LANGUAGE = 2000
+#: Longer values are no part of the sample, so that it is bounded in bytes too.
+SAMPLE_CHARS = 4000
 #: Segments of each language that training sees, repeated up to the lower number where there are fewer.
 MOST_SEGMENTS, LEAST_SEGMENTS = 8000, 1200
 #: Bytes of a window.
@@ -280,7 +282,7 @@ def training_sample(values: DataFrame) -> tuple[list[str], list[str]]:
         return [], []
     shares = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * ROWS_PER_LANGUAGE / n)))])
     draw = F.pmod(F.xxhash64("id", "field_name"), F.lit(1_000_000)) / 1_000_000
-    rows = values.where(F.col("label").isNotNull() & (draw < shares[F.col("label")])).select("id", "field_name", F.substring("text", 1, 4000).alias("text"), "label").collect()
+    rows = values.where(F.col("label").isNotNull() & (draw < shares[F.col("label")]) & (F.char_length("text") <= SAMPLE_CHARS)).select("id", "field_name", "text", "label").collect()
     rows.sort(key=lambda r: (r["id"], r["field_name"], r["text"]))
     return [r["text"] for r in rows], [r["label"] for r in rows]
 

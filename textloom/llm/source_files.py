@@ -115,7 +115,12 @@ def kinds(text: str, lexed: list[tuple[str, str, int]]) -> tuple[bool, bool, boo
     literal = (size["string"] + size["number"]) / max(1, total - size["sign"])
     data = total >= LEAST_DATA and literal >= LITERAL_SHARE
     code = total - size["string"]
-    stripped = re.sub(r"//[^\n]*|/\*.*?\*/|(?m:^\s*#[^\n]*)", "", text, flags=re.S)
+    kept, at = [], 0
+    for kind, token, start in lexed:
+        if kind == "comment":
+            kept.append(text[at:start])
+            at = start + len(token)
+    stripped = "".join([*kept, text[at:]])
     space = sum(c.isspace() for c in stripped) / max(1, len(stripped) - size["string"])
     longest = max((len(x) for x in stripped.split("\n")), default=0)
     names = [token for kind, token in body if kind == "name" and token.lower() not in _RESERVED]
