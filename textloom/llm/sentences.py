@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,6 +44,12 @@ _ITEM_ALWAYS = re.compile(r"[^\S\n]*[*•▪◦·‣]\s+\S")
 _ITEM = re.compile(r"[^\S\n]*(?:[-–+]|\(?\d{1,3}[.)]|\(?[^\W\d_]\))\s+\S")
 _HEAD = re.compile(r"#{1,6}\s+\S")
 _TOKEN = re.compile(r"\S+")
+_WORD_HERE = re.compile(r"\w*")
+_MARK_HERE = re.compile(rf"\s*[{re.escape(END_MARKS)}]")
+_SPACES = re.compile(r"\s+")
+#: Characters before a mark among which its word is looked for: no abbreviation is longer.
+WORD_BEFORE = 200
+_INITIAL = re.compile(r"\b[^\W\d_]")
 _QUOTE = re.compile(r"[" + re.escape("".join(QUOTES) + CLOSERS.replace("'", "").replace("’", "")) + "]")
 _STOP = re.compile(rf"[{re.escape(END_MARKS)}]+|[{re.escape(''.join(QUOTES))}\"]")
 _EDGE = "“”«»‹›„\"'‘’()[]{}<>,;:!?…*_`"
@@ -95,15 +102,16 @@ def blocks(text: str, code: bool = False) -> Iterator[tuple[bool, int, int]]:
         yield not item, start, end
 
 
+def initials(text: str) -> tuple[int, int, int]:
+    """How many words begin with a letter in upper case, in lower case, and without case."""
+    firsts = _INITIAL.findall(text)
+    upper, lower = sum(map(str.isupper, firsts)), sum(map(str.islower, firsts))
+    return upper, lower, len(firsts) - upper - lower
+
+
 def cased(text: str) -> bool:
     """Whether capitals tell something: both cases begin words, and most words aren't capitalised."""
-    upper = lower = 0
-    for m in re.finditer(r"\b[^\W\d_]", text):
-        c = m[0]
-        if c.islower():
-            lower += 1
-        elif c.isupper():
-            upper += 1
+    upper, lower, _ = initials(text)
     return upper > 0 and lower > 0.5 * upper
 
 
@@ -112,12 +120,6 @@ def running_text(text: str, parts: list[tuple[bool, int, int]]) -> str:
     return "\n".join(text[a:b] for prose, a, b in parts if prose and _END.search(text, a, b)) or text
 
 
-def caseless_script(text: str) -> bool:
-    """Whether most words begin with letters that have no case."""
-    firsts = [m[0] for m in re.finditer(r"\b[^\W\d_]", text)]
-    return sum(c.lower() == c.upper() for c in firsts) * 2 > len(firsts) > 0
-
-
 # ---- statistics
 
 
@@ -129,17 +131,29 @@ def _type(token: str) -> tuple[str, bool]:
     return word.lstrip("."), False
 
 
-def counted(text: str, code: bool) -> tuple[Counter, Counter]:
+@functools.lru_cache(maxsize=200_000)
+def _looked_at(token: str) -> tuple[str, bool, str, bool]:
+    """The type of a token ("" where it is none to count), whether it had a period, how it begins (number, lower, upper, other), whether it surely ends a sentence. Remembered, since most tokens come again."""
+    word, period = _type(token)
+    first = token.strip(_EDGE)[:1]
+    if len(word) > 30 or _UNSPACED.search(word):
+        word = ""
+    begins = "number" if first.isdigit() else "lower" if first.islower() else "upper" if first.isupper() else "other"
+    return word, period, begins, token.rstrip(CLOSERS)[-1:] in "!?" or period and len(word) > 5 and "." not in word
+
+
+def counted(text: str, code: bool) -> tuple[dict[tuple[str, str], int], dict[tuple[str, str], int]]:
     """Counts of (type, event), and of (type with a period, type after it), in the prose of a text.
 
     Events: plain, period (how often with a final period), lower (written in lower case), starts (after a mark that surely ends a sentence, or first in a block), and of a type with a period before_lower, before_number, before_end.
     """
-    events: Counter = Counter()
-    pairs: Counter = Counter()
+    events: dict[tuple[str, str], int] = defaultdict(int)
+    pairs: dict[tuple[str, str], int] = defaultdict(int)
     parts = list(blocks(text, code))
     running = running_text(text, parts)
-    letterless = caseless_script(running)
-    if not letterless and not cased(running):
+    upper, lower, other = initials(running)
+    letterless = other > upper + lower  # most words have no case
+    if not letterless and not (upper > 0 and lower > 0.5 * upper):
         return events, pairs
     for prose, start, end in parts:
         if not prose:
@@ -148,23 +162,20 @@ def counted(text: str, code: bool) -> tuple[Counter, Counter]:
         sure = True
         last: str | None = None
         for token in tokens:
-            word, period = _type(token)
-            bare = token.strip(_EDGE)
-            if word and len(word) <= 30 and not _UNSPACED.search(word):
+            word, period, begins, ends = _looked_at(token)
+            if word:
                 if last is not None:
-                    if bare[:1].isdigit():
-                        events[last, "before_number"] += 1
-                    elif bare[:1].islower():
-                        events[last, "before_lower"] += 1
+                    if begins in ("number", "lower"):
+                        events[last, f"before_{begins}"] += 1
                     else:
                         pairs[last, word] += 1
                 events[word, "period" if period else "plain"] += 1
-                if bare[:1].islower() or letterless and not sure:
+                if begins == "lower" or letterless and not sure:
                     events[word, "lower"] += 1
-                elif sure and (letterless or bare[:1].isupper()):
+                elif sure and (letterless or begins == "upper"):
                     events[word, "starts"] += 1
                 last = word if period and len(word) <= 12 else None
-                sure = token.rstrip(CLOSERS)[-1:] in "!?" or period and len(word) > 5 and "." not in word
+                sure = ends
             else:
                 last, sure = None, False
         if last is not None:
@@ -219,7 +230,7 @@ def statistics(docs: DataFrame) -> dict[str, Language]:
     schema = "lang string, word string, after string, event string, n long"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
+        held: dict[tuple[str, str, str | None, str], int] = defaultdict(int)
 
         def rows() -> pd.DataFrame:
             out = pd.DataFrame([(*k, n) for k, n in held.items()], columns=["lang", "word", "after", "event", "n"])
@@ -303,7 +314,7 @@ class Segmenter:
         known = self.languages.get(lang)
         if known is not None and lang != "(none)":
             return known
-        words = [_type(t)[0] for t in _TOKEN.findall(text[:20_000])]
+        words = [_type(t)[0] for t in _TOKEN.findall(text)]
         options = [(sum(x.frequent.get(w, -10.0) for w in words), name) for name, x in self.languages.items() if name != "(none)"]
         return self.languages[max(options)[1]] if options and words else self.none
 
@@ -332,6 +343,7 @@ class Segmenter:
     def _cuts(self, text: str, start: int, end: int, known: Language, capitals: bool) -> list[int]:
         if len(_THAI.findall(text, start, end)) * 2 > end - start:
             return self._thai_cuts(text, start, end)
+        end -= len(text[start:end]) - len(text[start:end].rstrip())
         closing = self._closings(text, start, end)
         cuts: list[int] = []
         begun = start  # of the sentence
@@ -347,7 +359,7 @@ class Segmenter:
                 if inside[-1:] not in END_MARKS:
                     continue
                 b = self._after_closers(text, b, end)
-                if re.match(rf"\s*[{re.escape(END_MARKS)}]", text[b:end]):
+                if _MARK_HERE.match(text, b, end):
                     continue  # the sentence has its own mark after the quotation
                 if self._quote_ends(text, begun, a, b, end, known, capitals):
                     cuts.append(b)
@@ -356,7 +368,7 @@ class Segmenter:
                 continue
             b = self._after_closers(text, b, end)
             at = b
-            if b < end and text[b:end].strip() and self._mark_ends(text, a, m[2], b, begun, end, known, capitals):
+            if b < end and self._mark_ends(text, a, m[2], b, begun, end, known, capitals):
                 cuts.append(b)
                 begun = b
         return cuts
@@ -364,7 +376,7 @@ class Segmenter:
     @staticmethod
     def _thai_cuts(text: str, start: int, end: int) -> list[int]:
         """Between two words parted by white space with no digit on either side."""
-        return [m.end() for m in re.finditer(r"\s+", text[:end]) if m.start() > start and m.end() < end and m.start() >= start and not text[m.start() - 1].isdigit() and not text[m.end()].isdigit()]
+        return [m.end() for m in _SPACES.finditer(text, start, end) if start < m.start() and m.end() < end and not text[m.start() - 1].isdigit() and not text[m.end()].isdigit()]
 
     @staticmethod
     def _closings(text: str, start: int, end: int) -> dict[int, int]:
@@ -404,6 +416,11 @@ class Segmenter:
             b += 1
         return b
 
+    @staticmethod
+    def _word_before(text: str, begun: int, a: int) -> str:
+        before = text[max(begun, a - WORD_BEFORE) : a]
+        return before.split()[-1] if before and not before[-1].isspace() else ""
+
     @staticmethod
     def _next_word(text: str, b: int, end: int) -> str:
         m = _TOKEN.search(text, b, end)
@@ -414,31 +431,34 @@ class Segmenter:
 
     def _quote_ends(self, text: str, begun: int, a: int, b: int, end: int, known: Language, capitals: bool) -> bool:
         """Whether the sentence ends after a quotation with an end mark of its own."""
-        rest = text[b:end]
-        if not rest.strip():
+        m = _TOKEN.search(text, b, end)
+        if not m:
             return False
-        following = rest.lstrip()
-        if following[0] in ",;:،፣，、；：":
+        next_at = m.start()
+        following = text[next_at]
+        if following in ",;:،፣，、；：":
             return False
-        before = text[begun:a].strip()
+        k = a - 1
+        while k >= begun and text[k].isspace():
+            k -= 1
         unspaced = bool(_HAN_KANA.match(following))
-        if before:
-            if before[-1] in ":,：，፦":
+        if k >= begun:
+            if text[k] in ":,：，፦":
                 return True
             if unspaced:
                 return False
-            if following[0].islower():
+            if following.islower():
                 return not capitals
             return True
         # The quotation stands first: the words up to the next mark name the speaker if they are few.
-        if following[0] in QUOTES or following[0] == '"':
+        if following in QUOTES or following == '"':
             return True
         m = _END.search(text, b, end)
         while m and m[0] == "." and m.end() < end and not text[m.end()].isspace() and text[m.end()] not in CLOSERS:
             m = _END.search(text, m.end(), end)
         speaker = text[b : m.start() if m else end]
         few = len(speaker) <= SPEAKER_LETTERS if unspaced else len(speaker.split()) <= SPEAKER_WORDS
-        return not few and not (capitals and following[0].islower())
+        return not few and not (capitals and following.islower())
 
     def _mark_ends(self, text: str, a: int, marks_end: int, b: int, begun: int, end: int, known: Language, capitals: bool) -> bool:
         """Whether the sentence ends at b, after the marks from a to marks_end and what closes after them."""
@@ -451,16 +471,14 @@ class Segmenter:
                 return False
             if marks in (".", "…", "..", "...") and not (text[b].isupper() or text[b] in QUOTES or text[b] == '"'):
                 if not capitals and text[b].lower() != text[b].upper():
-                    around = re.search(r"\S+$", text[begun:b])[0] + _TOKEN.match(text, b, end)[0]
-                    return not set(around) & set("/\\@_") and text[a - 2 : a].isalpha() and self._starter(re.match(r"\w*", text[b:end])[0], known)
+                    around = self._word_before(text, begun, b) + _TOKEN.match(text, b, end)[0]
+                    return not set(around) & set("/\\@_") and text[a - 2 : a].isalpha() and self._starter(_WORD_HERE.match(text, b, end)[0], known)
                 # In scripts without letter case the period alone decides; elsewhere a period inside a word, an address or an abbreviation.
-                return text[b].isalpha() and text[b].lower() == text[b].upper() and text[a - 1].isalpha() and len(text[begun:a].split()) > 1
+                return text[b].isalpha() and text[b].lower() == text[b].upper() and text[a - 1].isalpha() and len(text[max(begun, a - WORD_BEFORE) : a].split()) > 1
         word = self._next_word(text, b, end)
         first = word[:1]
         if marks == ".":
-            m = re.search(r"\S+$", text[begun:a])
-            token = (m[0] if m else "").lstrip(_EDGE)
-            kind = token.lower()
+            kind = self._word_before(text, begun, a).lstrip(_EDGE).lower()
             if not spaced and len(kind) == 1 and kind.isalpha():
                 return False
             return self._period_ends(kind, word, first, known, capitals)
