@@ -1,10 +1,13 @@
 """Prediction, sampling, evaluation, byte-pair encoding, sketches."""
 
 import math
+import re
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from textloom import queries
+from textloom.functions import text as tx
 from textloom.functions.text import SEPARATOR as SEP
 from textloom.operators import bpe, evaluate, ngrams, predict, sketch
 
@@ -192,6 +195,29 @@ def test_bpe_against_loop(spark):
     assert unknown["token_id"] == bpe.UNKNOWN
 
 
+def test_bpe_queries_merge_until_no_pair_is_left(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t, "x", "s") for i, t in enumerate(TEXTS)], "doc_id int, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    freq = {r["word"]: r["freq"] for r in bpe.word_freqs(docs).collect()}
+    want = plain_bpe(freq, 10_000)
+    assert len(want) > queries.MERGES
+    made = queries.queries()
+    assert [(r["l"], r["r"], r["n"]) for r in made["bpe_full_merges"](spark, str(tmp_path)).orderBy("rank").collect()] == want
+    pieces = {w: plain_fold(w, [x[:2] for x in want]) for w in freq}
+    assert {r["word"]: r["pieces"] for r in made["bpe_full_encode_words"](spark, str(tmp_path)).collect()} == {w: " + ".join(p) for w, p in pieces.items()}
+    assert {r["doc_id"]: r["n_tokens"] for r in made["bpe_full_doc_tokens"](spark, str(tmp_path)).collect()} == {i: sum(len(pieces[w]) for w in re.findall(tx.PRETOKEN, t)) for i, t in enumerate(TEXTS) if t}
+    assert {r["same"] for r in made["bpe_decode_roundtrip"](spark, str(tmp_path)).collect()} == {True}
+
+
+def test_bpe_rule_learnt_twice():
+    rules = [("b", "c"), ("a", "bc"), ("x", "abc"), ("a", "b"), ("ab", "c"), ("x", "abc")]
+    rank = {p: k for k, p in reversed(list(enumerate(rules)))}
+    late = [("a", "b"), ("x", "abc"), ("ab", "c"), ("x", "abc")]
+    first = {p: k for k, p in reversed(list(enumerate(late)))}
+    assert bpe.fold_word("xabc", first, {("x", "abc"): [3]}) == plain_fold("xabc", late) == ["xabc"]
+    assert bpe.fold_word("xabc", rank, {("x", "abc"): [5]}) == plain_fold("xabc", rules)
+
+
 def test_sketch(spark):
     keys = spark.createDataFrame([("hello",)] * 3 + [("world",), (None,)], "k string")
     cms = sketch.build(keys, F.col("k"), width=1024)

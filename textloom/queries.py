@@ -314,7 +314,9 @@ def convergence_flags(spark: SparkSession, d: str) -> DataFrame:
 # ---- byte-pair encoding
 
 _PAIRS = f"{_DOCS}, words AS (SELECT w, count(*) AS c FROM (SELECT unnest(ws) AS w FROM docs) GROUP BY w), syms AS (SELECT c, regexp_split_to_array(w, '') AS s FROM words)"
+#: The merges that the recursive SQL repeats; the queries beside them named bpe_full_ merge up to VOCABULARY, the reference's target.
 MERGES = 20
+VOCABULARY = 22_000
 
 
 @_query(f"WITH {_PAIRS}, p AS (SELECT c, unnest(list_transform(range(1, len(s)), lambda i: [s[i], s[i + 1]])) AS p FROM syms) SELECT p[1] AS l, p[2] AS r, sum(c)::BIGINT AS n FROM p GROUP BY ALL")
@@ -331,33 +333,59 @@ _BPE = f"""{_PAIRS}, bpe(k, w, syms, c, l, r, pc) AS (
   WHERE k < {MERGES})"""
 
 
-def _merges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _merges(spark: SparkSession, d: str, full: bool = False) -> tuple[DataFrame, DataFrame]:
     freqs = persisted(bpe.word_freqs(_docs(spark, d)))
-    return freqs, bpe.learn_merges(freqs, MERGES)
+    return freqs, bpe.learn_merges(freqs, target_vocab=VOCABULARY) if full else bpe.learn_merges(freqs, MERGES)
+
+
+def _ranked_merges(merges: DataFrame) -> DataFrame:
+    return merges.select(F.col("rank").cast("long").alias("rank"), "l", "r", "merged", "n")
+
+
+def _word_pieces(freqs: DataFrame, merges: DataFrame) -> DataFrame:
+    return bpe.encode_words(freqs.select("word"), merges).select("word", F.array_join("pieces", " + ").alias("pieces"))
+
+
+def _doc_tokens(docs: DataFrame, freqs: DataFrame, merges: DataFrame) -> DataFrame:
+    pieces = bpe.encode_words(freqs.select("word"), merges).select("word", F.size("pieces").cast("long").alias("n"))
+    per_doc = tx.words(docs, "doc_id").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("c"))
+    return per_doc.join(pieces, "word").groupBy("doc_id").agg(F.sum(F.col("c") * F.col("n")).alias("n_tokens"))
 
 
 @_query(f"WITH RECURSIVE {_BPE} SELECT DISTINCT k::BIGINT AS rank, l, r, l || r AS merged, pc AS n FROM bpe WHERE k > 0")
 def bpe_merges(spark: SparkSession, d: str) -> DataFrame:
-    return _merges(spark, d)[1].select(F.col("rank").cast("long").alias("rank"), "l", "r", "merged", "n")
+    return _ranked_merges(_merges(spark, d)[1])
+
+
+@_query()
+def bpe_full_merges(spark: SparkSession, d: str) -> DataFrame:
+    """Merges until the vocabulary target or no pair is left; checked against a plain loop in the tests."""
+    return _ranked_merges(_merges(spark, d, full=True)[1])
 
 
 @_query(f"WITH RECURSIVE {_BPE} SELECT w AS word, array_to_string(syms, ' + ') AS pieces FROM bpe WHERE k = {MERGES}")
 def bpe_encode_words(spark: SparkSession, d: str) -> DataFrame:
-    freqs, merges = _merges(spark, d)
-    return bpe.encode_words(freqs.select("word"), merges).select("word", F.array_join("pieces", " + ").alias("pieces"))
+    return _word_pieces(*_merges(spark, d))
+
+
+@_query()
+def bpe_full_encode_words(spark: SparkSession, d: str) -> DataFrame:
+    return _word_pieces(*_merges(spark, d, full=True))
 
 
 @_query(f"WITH RECURSIVE {_BPE}, enc AS (SELECT w, len(syms) AS n FROM bpe WHERE k = {MERGES}) SELECT doc_id, sum(n)::BIGINT AS n_tokens FROM (SELECT doc_id, unnest(ws) AS w FROM docs) JOIN enc USING (w) GROUP BY doc_id")
 def bpe_doc_tokens(spark: SparkSession, d: str) -> DataFrame:
-    freqs, merges = _merges(spark, d)
-    pieces = bpe.encode_words(freqs.select("word"), merges).select("word", F.size("pieces").cast("long").alias("n"))
-    per_doc = tx.words(_docs(spark, d), "doc_id").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("c"))
-    return per_doc.join(pieces, "word").groupBy("doc_id").agg(F.sum(F.col("c") * F.col("n")).alias("n_tokens"))
+    return _doc_tokens(_docs(spark, d), *_merges(spark, d))
+
+
+@_query()
+def bpe_full_doc_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _doc_tokens(_docs(spark, d), *_merges(spark, d, full=True))
 
 
 @_query("SELECT doc_id, true AS same FROM documents WHERE text IS NOT NULL AND text <> ''")
 def bpe_decode_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    freqs, merges = _merges(spark, d)
+    freqs, merges = _merges(spark, d, full=True)
     vocab = bpe.vocabulary(freqs, merges)
     docs = _docs(spark, d)
     back = bpe.decode(bpe.encode(docs, "doc_id", merges, vocab), "doc_id", vocab).withColumnRenamed("text", "back")
