@@ -218,6 +218,20 @@ def test_bpe_rule_learnt_twice():
     assert bpe.fold_word("xabc", rank, {("x", "abc"): [5]}) == plain_fold("xabc", rules)
 
 
+def test_model_queries_count_all_orders(spark, tmp_path):
+    rows = [(1, "a b c d e f", "x", "code_a"), (2, "a b c d e", "x", "code_a"), (3, "a b c d x y", "x", "web"), (4, "b c d e f g", "x", None)]
+    spark.createDataFrame(rows, "doc_id int, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = lambda of: Counter((k, SEP.join(w[i - k + 1 : i]), w[i]) for t in of for w in [re.findall(tx.PRETOKEN, t)] for k in (2, 3, 4, 5) for i in range(k - 1, len(w)))
+    code, other, every = plain([rows[0][1], rows[1][1]]), plain([rows[2][1]]), plain([r[1] for r in rows])
+    run = lambda name, *cols: {(r["ord"], r["ctx"], r["next"]): tuple(r[c] for c in cols) for r in queries.queries()[name](spark, str(tmp_path)).collect()}
+    one = lambda counter: {k: (n,) for k, n in counter.items()}
+    assert run("all_orders_merge_models", "cnt") == one(code + other)
+    assert run("all_orders_model_diff", "old_cnt", "new_cnt") == {k: (code[k], other[k]) for k in code.keys() | other.keys() if code[k] != other[k]}
+    assert run("all_orders_epoch_scaled_counts", "cnt") == {k: (n * 3,) for k, n in code.items()}
+    assert run("all_orders_decayed_counts", "cnt") == {k: (n // 2,) for k, n in code.items() if n // 2}
+    assert run("all_orders_stream_counts", "cnt") == one(every)
+
+
 def test_sketch(spark):
     keys = spark.createDataFrame([("hello",)] * 3 + [("world",), (None,)], "k string")
     cms = sketch.build(keys, F.col("k"), width=1024)

@@ -126,9 +126,10 @@ def evict_budget(spark: SparkSession, d: str) -> DataFrame:
     return ngrams.evict(persisted(_counts(spark, d)), 20_000)
 
 
-def _half(spark: SparkSession, d: str, code: bool) -> DataFrame:
+def _half(spark: SparkSession, d: str, code: bool, orders: tuple[int, ...] = (2, 3)) -> DataFrame:
+    """The counts of one half; orders 2 and 3 are those of the SQL, the queries named all_orders_ count 2 to 5."""
     own = F.col("source").startswith("code_") | F.col("source").startswith("personal_")
-    return ngrams.counts(ngrams.sequences_of(_docs(spark, d).where(own if code else ~own)), orders=(2, 3))
+    return ngrams.counts(ngrams.sequences_of(_docs(spark, d).where(own if code else ~own)), orders=orders)
 
 
 _HALVES = (
@@ -162,6 +163,26 @@ def decayed_counts(spark: SparkSession, d: str) -> DataFrame:
     return ngrams.scaled(_half(spark, d, True), 0.5)
 
 
+@_query()
+def all_orders_merge_models(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.merged(_half(spark, d, True, ngrams.ORDERS), _half(spark, d, False, ngrams.ORDERS))
+
+
+@_query()
+def all_orders_model_diff(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.difference(_half(spark, d, True, ngrams.ORDERS), _half(spark, d, False, ngrams.ORDERS))
+
+
+@_query()
+def all_orders_epoch_scaled_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.scaled(_half(spark, d, True, ngrams.ORDERS), 3)
+
+
+@_query()
+def all_orders_decayed_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.scaled(_half(spark, d, True, ngrams.ORDERS), 0.5)
+
+
 @_query(f"WITH {_COUNTS} SELECT ord, least(floor(log2(cnt)), 15)::BIGINT AS bucket, count(*)::BIGINT AS associations FROM counts GROUP BY ALL")
 def quantised_counts(spark: SparkSession, d: str) -> DataFrame:
     return ngrams.quantised(_counts(spark, d)).groupBy("ord", F.col("bucket").cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("associations"))
@@ -626,9 +647,7 @@ def progress_monitor(spark: SparkSession, d: str) -> DataFrame:
 # ---- streaming
 
 
-@_query(f"WITH {_COUNTS} SELECT * FROM counts WHERE ord <= 3")
-def stream_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Counts gathered by a stream over the files of documents, equal to those of one batch."""
+def _streamed(spark: SparkSession, d: str, orders: tuple[int, ...]) -> DataFrame:
     ensure_checkpoint_dir(spark)
     root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     out = f"{root}/stream-{spark._jvm.java.util.UUID.randomUUID()}"
@@ -639,10 +658,21 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
     docs = reader.option("pathGlobFilter", "*.parquet").parquet(f"{d}/documents.parquet") if folder else reader.option("pathGlobFilter", "documents.parquet").parquet(d)
-    streaming.count_stream(docs.where("text IS NOT NULL AND text <> ''"), f"{out}/counts", f"{out}/log", orders=(2, 3)).start().awaitTermination()
+    streaming.count_stream(docs.where("text IS NOT NULL AND text <> ''"), f"{out}/counts", f"{out}/log", orders=orders).start().awaitTermination()
     return streaming.counted(spark, f"{out}/counts")
 
 
+@_query(f"WITH {_COUNTS} SELECT * FROM counts WHERE ord <= 3")
+def stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts gathered by a stream over the files of documents, equal to those of one batch."""
+    return _streamed(spark, d, (2, 3))
+
+
+@_query(f"WITH {_COUNTS} SELECT * FROM counts")
+def all_orders_stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _streamed(spark, d, ngrams.ORDERS)
+
+
 @_query("SELECT date_trunc('hour', ts) AS win_start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return streaming.event_windows(table(spark, d, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 4))
