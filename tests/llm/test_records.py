@@ -140,6 +140,18 @@ def test_token_budget(spark):
     assert token_budget.snippet_tokens(snippets.limit(0), aliases, path).count() == 0
 
 
+def test_token_budget_keeps_phases_without_snippets(spark):
+    counted = spark.createDataFrame([("a", "x", "twi", "english", 3)], "id string, source string, language string, phase string, n_tokens long")
+    trained = spark.createDataFrame([("english", 7, 1), ("refinement (all data)", 9, 2)], "phase string, tokens_trained long, runs long")
+    cube = token_budget.token_cube(counted, trained)
+    assert cube.columns == ["source", "language", "phase", "n_snippets", "n_tokens", "tokens_trained"]
+    rows = [tuple(r) for r in cube.where("tokens_trained IS NOT NULL").collect()]
+    assert sorted(rows) == [("(all)", "(all)", "english", 1, 3, 7), ("(all)", "(all)", "refinement (all data)", 0, 0, 9)]
+    assert cube.count() == 9
+    none = token_budget.token_cube(counted.limit(0), trained)
+    assert {tuple(r) for r in none.where("tokens_trained IS NOT NULL").collect()} == {("(all)", "(all)", "english", 0, 0, 7), ("(all)", "(all)", "refinement (all data)", 0, 0, 9)}
+
+
 # ---- mixing
 
 

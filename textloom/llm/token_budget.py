@@ -56,7 +56,10 @@ def tokens_trained(progress: DataFrame) -> DataFrame:
 
 
 def token_cube(counted: DataFrame, trained: DataFrame) -> DataFrame:
-    """source, language, phase ("(all)" where summed over), n_snippets, n_tokens of every slice; tokens_trained where the slice is a phase alone, null elsewhere."""
+    """source, language, phase ("(all)" where summed over), n_snippets, n_tokens of every slice; tokens_trained where the slice is a phase alone, null elsewhere.
+
+    A phase that was trained but has no snippet is a slice of 0 snippets and 0 tokens.
+    """
     cube = counted.cube("source", "language", "phase").agg(
         F.count(F.lit(1)).alias("n_snippets"),
         F.sum("n_tokens").alias("n_tokens"),
@@ -64,8 +67,11 @@ def token_cube(counted: DataFrame, trained: DataFrame) -> DataFrame:
     )
     names = [F.when(F.col("summed").bitwiseAND(bit) != 0, F.lit("(all)")).otherwise(F.col(c)).alias(c) for c, bit in (("source", 4), ("language", 2), ("phase", 1))]
     slices = cube.select(*names, "n_snippets", "n_tokens", (F.col("summed") == 6).alias("by_phase"))
-    beside = trained.select(F.col("phase").alias("trained_phase"), "tokens_trained")
-    return slices.join(beside, F.col("by_phase") & (F.col("phase") == F.col("trained_phase")), "left").drop("by_phase", "trained_phase")
+    beside = trained.select(F.lit(True).alias("by_phase"), "phase", "tokens_trained")
+    joined = slices.join(beside, ["by_phase", "phase"], "full")
+    summed = lambda c: F.coalesce(c, F.lit("(all)")).alias(c)
+    zero = lambda c: F.when(F.col("n_snippets").isNull(), F.lit(0)).otherwise(F.col(c)).alias(c)
+    return joined.select(summed("source"), summed("language"), "phase", zero("n_snippets"), zero("n_tokens"), "tokens_trained")
 
 
 def p2_snippet_tokens(spark: SparkSession, sf_dir: str, folder: str = DEFAULT_FOLDER) -> DataFrame:
