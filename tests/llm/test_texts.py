@@ -78,6 +78,17 @@ def test_other_scripts(segmenter, units, between):
     assert cut(segmenter, between.join(units), "(none)") == units
 
 
+def test_number_after_a_period_is_a_scored_collocation(spark):
+    """Of two types without other signs of an abbreviation: the one tied to numbers though they follow only half the time, and the one that numbers follow as they follow any type."""
+    rows = ["we read the appendix. 4 in town. "] * 40 + ["we saw the appendix. The old farmer waited. "] * 40 + ["a child saw the river. 7 children sang. "] * 2 + ["we sat by the river. The old farmer waited. "] * 100
+    docs = spark.createDataFrame([(" ".join(rows), "english", False)], "text string, lang string, code boolean")
+    assert sentences.statistics(docs)["english"].numbered == {"appendix"}
+    a, b, c, d = 40.0, 80.0, 42.0, 1000.0
+    row = spark.createDataFrame([(a, b, c, d), (1.0, 80.0, 100.0, 1000.0), (0.0, 0.0, 5.0, 10.0)], "a double, b double, c double, d double")
+    for r in row.select("*", sentences.likelihood(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("x")).collect():
+        assert r["x"] == pytest.approx(sentences._log_likelihood(r["a"], r["b"], r["c"], r["d"]))
+
+
 def test_blocks(segmenter):
     text = "# Title\n\nThe kite (26)\n\nA child smiled. It was\nlate.\n \n- one item. Two\n- other item\n1) third\nThe end.\n```py\ndef f():\n\n    return 1.\n```\nNobody knew."
     assert cut(segmenter, text) == ["# Title", "The kite (26)", "A child smiled.", "It was\nlate.", "- one item. Two", "- other item", "1) third", "The end.", "```py", "def f():", "return 1.", "```", "Nobody knew."]

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import persisted, table
@@ -199,6 +199,21 @@ def _log_likelihood(both: float, first: float, second: float, total: float) -> f
     return ratio if inside >= outside else -ratio
 
 
+def likelihood(both: Column, first: Column, second: Column, total: Column) -> Column:
+    """_log_likelihood() as an expression."""
+    both, first, second, total = (c.cast("double") for c in (both, first, second, total))
+    none = F.lit(0.0)
+    inside = F.when(first > 0, both / first).otherwise(none)
+    outside = F.when(total > first, (second - both) / (total - first)).otherwise(none)
+
+    def part(k: Column, n: Column, q: Column) -> Column:
+        return F.when(k > 0, k * F.log(F.greatest(q, F.lit(1e-12)))).otherwise(none) + F.when(n > k, (n - k) * F.log(F.greatest(1 - q, F.lit(1e-12)))).otherwise(none)
+
+    p = second / total
+    ratio = 2 * (part(both, first, inside) + part(second - both, total - first, outside) - part(both, first, p) - part(second - both, total - first, p))
+    return F.when(inside >= outside, ratio).otherwise(-ratio)
+
+
 def abbreviation_score(word: str, period: int, plain: int, periods: int, total: int) -> float:
     """How much a type looks like an abbreviation: its tie to the period, less for long types and for those also written without it, more for inner periods."""
     letters = len(word.replace(".", ""))
@@ -274,7 +289,13 @@ def statistics(docs: DataFrame) -> dict[str, Language]:
         if r["word"] not in scored[r["lang"]] and (r["lower"] > 0 and r["starts"] > 0.05 * r["lower"] or tie > LIKELY and r["starts"] >= 3):
             out[r["lang"]].starters.add(r["word"])
 
-    numbers = types.where((F.col("before_number") >= least) & (F.col("before_number") >= 0.7 * F.col("period")))
+    # Collocations of a period and a number, of all places after a period: against all tokens, whatever begins sentences would seem tied to whatever ends them.
+    followed = F.col("before_lower") + F.col("before_number")
+    pairs = counts.where("event = 'pair'").select("lang", "word", "after", "n")
+    firsts = pairs.groupBy("lang", "word").agg(F.sum("n").alias("m")).join(types.where(followed > 0).select("lang", "word", followed.alias("f"), "before_number"), ["lang", "word"], "full")
+    firsts = persisted(firsts.select("lang", "word", (F.coalesce("m", F.lit(0)) + F.coalesce("f", F.lit(0))).alias("first"), F.coalesce("before_number", F.lit(0)).alias("number")))
+    places = F.broadcast(firsts.groupBy("lang").agg(F.sum("first").alias("places"), F.sum("number").alias("numbers")))
+    numbers = firsts.where("number >= 2").join(places, "lang").where(likelihood(F.col("number"), F.col("first"), F.col("numbers"), F.col("places")) > LIKELY)
     for r in numbers.toLocalIterator():
         out[r["lang"]].numbered.add(r["word"])
 
