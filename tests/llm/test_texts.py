@@ -89,6 +89,20 @@ def test_number_after_a_period_is_a_scored_collocation(spark):
         assert r["x"] == pytest.approx(sentences._log_likelihood(r["a"], r["b"], r["c"], r["d"]))
 
 
+def test_rare_abbreviation_in_a_large_corpus(spark):
+    """Three occurrences count the same among four million tokens, where a share of the tokens asked for more."""
+    text = "the old farmer walked home slowly today. " * 40_000
+    docs = spark.createDataFrame([("The old farmer saw the qz. behind the river. " * 3 + "\n\n" + "The " + text, "english", False)] + [("The " + text, "english", False)] * 14, "text string, lang string, code boolean")
+    assert "qz" in sentences.statistics(docs)["english"].abbreviations
+
+
+def test_scores_as_expressions(spark):
+    rows = [("dr", 40, 2, 500, 9000), ("p.m", 7, 0, 500, 9000), ("ɔd", 5, 1, 500, 9000), ("12", 9, 0, 500, 9000), ("home", 3, 90, 500, 9000)]
+    df = spark.createDataFrame(rows, "word string, period long, plain long, periods long, total long")
+    for r in df.select("*", sentences.score(*[F.col(c) for c in df.columns]).alias("x")).collect():
+        assert r["x"] == pytest.approx(sentences.abbreviation_score(*r[:5]))
+
+
 def test_blocks(segmenter):
     text = "# Title\n\nThe kite (26)\n\nA child smiled. It was\nlate.\n \n- one item. Two\n- other item\n1) third\nThe end.\n```py\ndef f():\n\n    return 1.\n```\nNobody knew."
     assert cut(segmenter, text) == ["# Title", "The kite (26)", "A child smiled.", "It was\nlate.", "- one item. Two", "- other item", "1) third", "The end.", "```py", "def f():", "return 1.", "```", "Nobody knew."]

@@ -29,8 +29,8 @@ CLOSERS = "”»」』’›)]）》\"'"
 LIKELY = 7.88
 #: Score from which a type is an abbreviation.
 ABBREVIATION_SCORE = 0.3
-#: A type is kept as a sentence starter or collocation from this share of its language's tokens (two occurrences at least), so there are at most a million of them in any corpus.
-LEAST_SHARE = 1e-6
+#: Occurrences that a type needs before it is scored as an abbreviation, starter or collocation, in a corpus of any size.
+LEAST = 2
 #: An abbreviation before an upper-case word that is no known starter ends the sentence if it ended one, for sure, this often against such words.
 ENDS_SHARE = 0.2
 #: The most words between a quotation that stands first and the end of the sentence that names its speaker.
@@ -223,6 +223,14 @@ def abbreviation_score(word: str, period: int, plain: int, periods: int, total:
     return tie * math.exp(-letters) * (word.count(".") + 1) * letters ** -float(plain) if tie > 0 else 0.0
 
 
+def score(word: Column, period: Column, plain: Column, periods: Column, total: Column) -> Column:
+    """abbreviation_score() as an expression."""
+    letters = F.length(F.replace(word, F.lit("."), F.lit(""))).cast("double")
+    dots = F.length(word) - letters
+    tie = likelihood(period, period + plain, periods, total)
+    return F.when(word.rlike(r"\p{L}") & (tie > 0), tie * F.exp(-letters) * (dots + 1) * F.pow(letters, -plain.cast("double"))).otherwise(0.0)
+
+
 @dataclass
 class Language:
     """What the segmenter knows of a language."""
@@ -272,21 +280,20 @@ def statistics(docs: DataFrame) -> dict[str, Language]:
     size = F.create_map(*[x for lang, r in totals.items() for x in (F.lit(lang), F.lit(float(r["n"])))]) if totals else None
     if size is None:
         return out
-    least = F.greatest(F.lit(2.0), size[F.col("lang")] * LEAST_SHARE)
+    of = lambda name: F.create_map(*[x for lang, r in totals.items() for x in (F.lit(lang), F.lit(float(r[name])))])[F.col("lang")]
+    periods, begun = of("periods"), of("starts")
+    every = F.col("plain") + F.col("period")
 
-    # Types seldom written without their period are candidates; the score decides.
+    # Types seldom written without their period are candidates; the score decides, before anything comes to the driver.
     scored = defaultdict(dict)
-    candidates = types.where((F.col("period") >= least) & (F.length("word") <= 12) & (F.col("plain") <= F.col("period") / 2 + 2))
-    for r in candidates.toLocalIterator():
-        t = totals[r["lang"]]
-        if abbreviation_score(r["word"], r["period"], r["plain"], t["periods"], t["n"]) >= ABBREVIATION_SCORE:
-            scored[r["lang"]][r["word"]] = r
-
-    starts = types.where((F.col("starts") >= least) & (F.col("starts") >= 0.2 * (F.col("plain") + F.col("period") - F.col("lower"))))
-    for r in starts.toLocalIterator():
-        t = totals[r["lang"]]
-        tie = _log_likelihood(r["starts"], r["plain"] + r["period"], t["starts"], t["n"])
-        if r["word"] not in scored[r["lang"]] and (r["lower"] > 0 and r["starts"] > 0.05 * r["lower"] or tie > LIKELY and r["starts"] >= 3):
+    candidates = types.where((F.col("period") >= LEAST) & (F.length("word") <= 12) & (F.col("plain") <= F.col("period") / 2 + 2))
+    for r in candidates.where(score(F.col("word"), F.col("period"), F.col("plain"), periods, size[F.col("lang")]) >= ABBREVIATION_SCORE).toLocalIterator():
+        scored[r["lang"]][r["word"]] = r
+
+    starts = types.where((F.col("starts") >= LEAST) & (F.col("starts") >= 0.2 * (every - F.col("lower"))))
+    tie = likelihood(F.col("starts"), every, begun, size[F.col("lang")])
+    for r in starts.where((F.col("lower") > 0) & (F.col("starts") > 0.05 * F.col("lower")) | (tie > LIKELY) & (F.col("starts") >= 3)).toLocalIterator():
+        if r["word"] not in scored[r["lang"]]:
             out[r["lang"]].starters.add(r["word"])
 
     # Collocations of a period and a number, of all places after a period: against all tokens, whatever begins sentences would seem tied to whatever ends them.
@@ -295,7 +302,7 @@ def statistics(docs: DataFrame) -> dict[str, Language]:
     firsts = pairs.groupBy("lang", "word").agg(F.sum("n").alias("m")).join(types.where(followed > 0).select("lang", "word", followed.alias("f"), "before_number"), ["lang", "word"], "full")
     firsts = persisted(firsts.select("lang", "word", (F.coalesce("m", F.lit(0)) + F.coalesce("f", F.lit(0))).alias("first"), F.coalesce("before_number", F.lit(0)).alias("number")))
     places = F.broadcast(firsts.groupBy("lang").agg(F.sum("first").alias("places"), F.sum("number").alias("numbers")))
-    numbers = firsts.where("number >= 2").join(places, "lang").where(likelihood(F.col("number"), F.col("first"), F.col("numbers"), F.col("places")) > LIKELY)
+    numbers = firsts.where(F.col("number") >= LEAST).join(places, "lang").where(likelihood(F.col("number"), F.col("first"), F.col("numbers"), F.col("places")) > LIKELY)
     for r in numbers.toLocalIterator():
         out[r["lang"]].numbered.add(r["word"])
 
