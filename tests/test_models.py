@@ -195,6 +195,14 @@ def test_bpe_against_loop(spark):
     assert unknown["token_id"] == bpe.UNKNOWN
 
 
+def test_generation_query_goes_on_for_thirty_tokens(spark, tmp_path):
+    words = [w for k in range(60) for w in (f"w{k}", " ")]
+    spark.createDataFrame([(1, "".join(words), "x", "s"), (2, "p q p q p q p q p q p q p q", "x", "s")], "doc_id int, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "w0 w1"), (2, "p q")], "sample_id int, prompt string").write.parquet(f"{tmp_path}/generation_sample.parquet")
+    got = {r["sample_id"]: (r["generated"], r["n_tokens"]) for r in queries.queries()["greedy_generation"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("".join(words[3:33]), 30), 2: (" p q", 4)}
+
+
 def test_bpe_queries_merge_until_no_pair_is_left(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "x", "s") for i, t in enumerate(TEXTS)], "doc_id int, text string, lang string, source string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")

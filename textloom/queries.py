@@ -285,8 +285,8 @@ def sampled_draw(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def greedy_generation(spark: SparkSession, d: str) -> DataFrame:
-    """Eight tokens from each prompt; checked against a plain loop in the tests."""
-    out = predict.greedy_chain(_prompts(spark, d), persisted(_counts(spark, d)), 8, "sample_id")
+    """Thirty tokens from each prompt, as the reference's evaluation generates; checked against a plain loop in the tests."""
+    out = predict.greedy_chain(_prompts(spark, d), persisted(_counts(spark, d)), 30, "sample_id")
     return out.select("sample_id", F.array_join("generated", "").alias("generated"), F.size("generated").cast("long").alias("n_tokens"))
 
 
