@@ -103,6 +103,17 @@ def test_scores_as_expressions(spark):
         assert r["x"] == pytest.approx(sentences.abbreviation_score(*r[:5]))
 
 
+def test_language_wholly_without_capitals(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(" ".join(rng.choices(ENGLISH, k=12)).lower(), "english", False) for _ in range(150)], "text string, lang string, code boolean")
+    learnt = sentences.Segmenter(sentences.statistics(docs))
+    assert {"dr", "mrs", "fig"} <= set(learnt.languages["english"].abbreviations)
+    assert cut(learnt, "nobody knew dr. miboye at home. mrs. wemeso sang.") == ["nobody knew dr. miboye at home.", "mrs. wemeso sang."]
+    events, pairs = sentences.counted("Dr. Kofeka Met Mrs. Wemeso See Fig. 7 The End.", False)
+    assert events["fig", "before_number"] == events["dr", "period"] == events["kofeka", "plain"] == events["end", "before_end"] == 1
+    assert not pairs and not {"lower", "starts", "before_lower"} & {e for _, e in events}
+
+
 def test_blocks(segmenter):
     text = "# Title\n\nThe kite (26)\n\nA child smiled. It was\nlate.\n \n- one item. Two\n- other item\n1) third\nThe end.\n```py\ndef f():\n\n    return 1.\n```\nNobody knew."
     assert cut(segmenter, text) == ["# Title", "The kite (26)", "A child smiled.", "It was\nlate.", "- one item. Two", "- other item", "1) third", "The end.", "```py", "def f():", "return 1.", "```", "Nobody knew."]

@@ -146,6 +146,7 @@ def counted(text: str, code: bool) -> tuple[dict[tuple[str, str], int], dict[tup
     """Counts of (type, event), and of (type with a period, type after it), in the prose of a text.
 
     Events: plain, period (how often with a final period), lower (written in lower case), starts (after a mark that surely ends a sentence, or first in a block), and of a type with a period before_lower, before_number, before_end.
+    A text whose capitals tell nothing gives only plain, period, before_number and before_end.
     """
     events: dict[tuple[str, str], int] = defaultdict(int)
     pairs: dict[tuple[str, str], int] = defaultdict(int)
@@ -153,8 +154,7 @@ def counted(text: str, code: bool) -> tuple[dict[tuple[str, str], int], dict[tup
     running = running_text(text, parts)
     upper, lower, other = initials(running)
     letterless = other > upper + lower  # most words have no case
-    if not letterless and not (upper > 0 and lower > 0.5 * upper):
-        return events, pairs
+    telling = letterless or upper > 0 and lower > 0.5 * upper
     for prose, start, end in parts:
         if not prose:
             continue
@@ -165,12 +165,14 @@ def counted(text: str, code: bool) -> tuple[dict[tuple[str, str], int], dict[tup
             word, period, begins, ends = _looked_at(token)
             if word:
                 if last is not None:
-                    if begins in ("number", "lower"):
+                    if begins == "number" or begins == "lower" and telling:
                         events[last, f"before_{begins}"] += 1
-                    else:
+                    elif telling:
                         pairs[last, word] += 1
                 events[word, "period" if period else "plain"] += 1
-                if begins == "lower" or letterless and not sure:
+                if not telling:
+                    pass
+                elif begins == "lower" or letterless and not sure:
                     events[word, "lower"] += 1
                 elif sure and (letterless or begins == "upper"):
                     events[word, "starts"] += 1
@@ -319,7 +321,8 @@ def statistics(docs: DataFrame) -> dict[str, Language]:
     for lang, word in found:
         r, (s, c) = scored[lang][word], after[lang, word]
         ends = s + r["before_end"]
-        out[lang].abbreviations[word] = (ends >= ENDS_SHARE * c, ends >= 0.8 * (ends + r["before_lower"] + r["before_number"]) and ends >= ENDS_SHARE * c)
+        # Of one that was never seen to end anything, as where capitals tell nothing, no word is known to begin a sentence.
+        out[lang].abbreviations[word] = (ends >= ENDS_SHARE * c, ends > 0 and ends >= 0.8 * (ends + r["before_lower"] + r["before_number"]) and ends >= ENDS_SHARE * c)
 
     ranked = types.withColumn("all", F.col("plain") + F.col("period")).where(F.col("all") >= size[F.col("lang")] * 1e-3)  # at most 1000 of a language
     for r in ranked.toLocalIterator():
