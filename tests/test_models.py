@@ -217,6 +217,14 @@ def test_bpe_queries_merge_until_no_pair_is_left(spark, tmp_path):
     assert {r["same"] for r in made["bpe_decode_roundtrip"](spark, str(tmp_path)).collect()} == {True}
 
 
+def test_bpe_stops_at_the_vocabulary_target_on_both_paths(spark):
+    freqs = spark.createDataFrame([("abcab", 5), ("cab", 3), ("bd", 1)], "word string, freq long")
+    want = plain_bpe({"abcab": 5, "cab": 3, "bd": 1}, 2)
+    for most_words in (0, 100):
+        merges = bpe.learn_merges(freqs, target_vocab=4 + len(bpe.SPECIALS) + 2, most_words=most_words)
+        assert [(r["l"], r["r"], r["n"]) for r in merges.orderBy("rank").collect()] == want
+
+
 def test_bpe_rule_learnt_twice():
     rules = [("b", "c"), ("a", "bc"), ("x", "abc"), ("a", "b"), ("ab", "c"), ("x", "abc")]
     rank = {p: k for k, p in reversed(list(enumerate(rules)))}
