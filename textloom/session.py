@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Compressed bytes of a table up to which spread() moves rows: small tables whose few files would leave cores idle. Larger ones have splits of their own.
+SPREAD_BYTES = 256 << 20
+_written: list[str] = []
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings the tests and the bench use."""
@@ -18,6 +23,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -48,7 +54,26 @@ def persisted(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, *partition_by: str) -> DataFrame:
+    """DF as a Parquet table in the shared checkpoint folder: like persisted(), but later reads take only the columns and partitions they need. remove_written() deletes such tables."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4()}"
+    _written.append(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete the tables that written() made in this session, once the results that read them are stored. Checkpoints are deleted by Spark itself where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    while _written:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """DF over at least as many partitions as there are cores: only where the files are fewer, as for one small file, are rows moved."""
+    """DF over at least as many partitions as there are cores, where a small table comes in fewer files than that. A table over SPREAD_BYTES is never moved, however many cores there are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()) > SPREAD_BYTES:
+        return df
+    return df.repartition(cores)
