@@ -71,6 +71,21 @@ def test_duplicates_when_one_record_holds_most_rows(spark, monkeypatch):
         assert {(r["first_id"], r["copy_id"]) for r in got.collect()} == want
 
 
+def test_duplicates_with_many_filters(spark):
+    """More rows than one filter serves: parted by hash, with the same result."""
+    df = frame(spark, ROWS * 3)
+    want = {(min(g), i) for g in brute(ROWS).values() for i in g if i != min(g)}
+    for most_keys in (30, 10**6):
+        assert {(r["first_id"], r["copy_id"]) for r in dup.copies(df, "row_id", "sentence", "text", most_keys=most_keys).collect()} == want
+    assert {(r["first_id"], r["copies"]) for r in dup.collapsed(df, "row_id", "sentence", "text", most_keys=30).collect()} == {(min(g), len(g)) for g in brute(ROWS).values()}
+
+
+def test_names_of_parts_are_a_parameter(spark):
+    df = frame(spark, [(1, "mood=joy; line=Go", None, "x"), (2, "line: go | mood: Joy", None, "x")])
+    assert dup.copies(df, "row_id", "sentence", "text").count() == 0
+    assert dup.copies(df, "row_id", "sentence", "text", part_names=("mood", "line")).count() == 1
+
+
 def test_duplicates_of_an_empty_table(spark):
     df = frame(spark, [])
     assert dup.copies(df, "row_id", "sentence", "text").count() == 0

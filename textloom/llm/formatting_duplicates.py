@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -10,13 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import persisted, table
+from ..session import persisted, table, written
 
-#: The names of parts in texts of named parts.
+#: The names of parts in texts of named parts, as this project's data has them; a parameter of every function here.
 PART_NAMES = ("emotion", "text", "speaker", "intensity")
 #: Bits of one block of the filters; a hash belongs to one block and sets two bits in it.
 BLOCK_BITS = 1 << 15
-#: Bits a key gets, and the most blocks: 64 MB for the filter that is broadcast. With more than 67 million keys it only grows fuller, so that more singletons pass it; the result stays exact.
+#: Bits a key gets, and the most blocks of one filter: 64 MB, for 67 million keys. More keys are parted by hash into so many filters, applied one after the other, so that none is ever fuller or larger.
 BITS_PER_KEY, MOST_BLOCKS = 8, 1 << 14
 
 
@@ -25,12 +26,12 @@ def squashed(value: Column) -> Column:
     return F.lower(F.upper(F.regexp_replace(value, r"[^\p{L}\p{N}]+", "")))
 
 
-def canonical_value(value: Column) -> Column:
+def canonical_value(value: Column, part_names: tuple[str, ...] = PART_NAMES) -> Column:
     """What two values written differently have in common; null where there is no letter or digit.
 
     Texts of named parts (JSON, name=value or name: value between semicolons, bars, commas or line breaks) give their parts in order of name and value.
     """
-    name = rf"(?i)(^|[;|,\n{{])[^\p{{L}}\p{{N}}]*({'|'.join(PART_NAMES)})[^\p{{L}}\p{{N}}:=;|\n]*[:=]"
+    name = rf"(?i)(^|[;|,\n{{])[^\p{{L}}\p{{N}}]*({'|'.join(part_names)})[^\p{{L}}\p{{N}}:=;|\n]*[:=]"
     marked = F.regexp_replace(value, name, "\u0001$2\u0002")
     parts = F.transform(
         F.filter(F.split(marked, "\u0001"), lambda p: p != ""),
@@ -40,9 +41,9 @@ def canonical_value(value: Column) -> Column:
     return F.when(F.regexp_like(value, F.lit(r"[\p{L}\p{N}]")), whole)
 
 
-def canonical_record(*values: Column) -> Column:
+def canonical_record(*values: Column, part_names: tuple[str, ...] = PART_NAMES) -> Column:
     """The set of the canonical values as one string, whatever field each stands in; null where no value has a letter or digit."""
-    found = F.array_sort(F.array_distinct(F.filter(F.array(*map(canonical_value, values)), lambda v: v.isNotNull())))
+    found = F.array_sort(F.array_distinct(F.filter(F.array(*[canonical_value(v, part_names) for v in values]), lambda v: v.isNotNull())))
     return F.when(F.size(found) > 0, F.array_join(found, "\u0003"))
 
 
@@ -110,9 +111,8 @@ def repeat_filter(hashes: DataFrame, blocks: int) -> np.ndarray:
     return again
 
 
-def with_possible_repeats(records: DataFrame) -> DataFrame:
-    """RECORDS (with a long column "hash") and a column "repeats": false only where the hash certainly stands alone."""
-    n = max(1, records.count())
+def with_possible_repeats(records: DataFrame, n: int) -> DataFrame:
+    """RECORDS (with a long column "hash", at most N different ones) and a column "repeats": false only where the hash certainly stands alone."""
     blocks = 1
     while blocks * BLOCK_BITS < n * BITS_PER_KEY and blocks < MOST_BLOCKS:
         blocks *= 2
@@ -128,17 +128,26 @@ def with_possible_repeats(records: DataFrame) -> DataFrame:
     return records.withColumn("repeats", repeats("hash"))
 
 
-def split_records(rows: DataFrame, id_column: str, *values: str) -> tuple[DataFrame, DataFrame]:
+def split_records(rows: DataFrame, id_column: str, *values: str, part_names: tuple[str, ...] = PART_NAMES, most_keys: int = MOST_BLOCKS * BLOCK_BITS // BITS_PER_KEY) -> tuple[DataFrame, DataFrame]:
     """(id) of the records that certainly stand alone, and (id, key) of each different id among the possible repeats.
 
     Rows without any letter or digit in VALUES or without an id are no records. A row delivered again under its id has the same key, so it is among the possible repeats and counts once there.
+    The table is read and made canonical once; its hashes and keys are stored, parted by hash where there are more rows than MOST_KEYS, the number one filter serves. Each part has a filter of its own.
     """
-    canonical = canonical_record(*map(F.col, values))
+    n = max(1, rows.count())
+    parts = -(-n // most_keys)
+    canonical = canonical_record(*map(F.col, values), part_names=part_names)
     keyed = rows.select(F.col(id_column).alias("id"), canonical.alias("canonical")).where(F.col("id").isNotNull() & F.col("canonical").isNotNull())
-    records = with_possible_repeats(keyed.select("id", F.unhex(F.sha2("canonical", 256)).alias("key"), F.xxhash64("canonical").alias("hash")))
-    # The filter is not deterministic to Spark, so the stored rows are read by both sides.
-    stored = persisted(records.select("id", F.when(F.col("repeats"), F.col("key")).alias("key")))
-    return stored.where("key IS NULL").select("id"), stored.where("key IS NOT NULL").distinct()
+    records = keyed.select("id", F.unhex(F.sha2("canonical", 256)).alias("key"), F.xxhash64("canonical").alias("hash"))
+    kept = written(records.withColumn("part", F.pmod(F.xxhash64("hash"), F.lit(parts)).cast("int")), *(["part"] if parts > 1 else []))
+    alone, repeats = [], []
+    for k in range(parts):
+        own = with_possible_repeats(kept.where(F.col("part") == k), -(-n // parts))
+        # The filter is not deterministic to Spark, so the stored rows are read by both sides; only one filter is in use at a time.
+        stored = persisted(own.select("id", F.when(F.col("repeats"), F.col("key")).alias("key")))
+        alone.append(stored.where("key IS NULL").select("id"))
+        repeats.append(stored.where("key IS NOT NULL"))
+    return functools.reduce(DataFrame.unionByName, alone), functools.reduce(DataFrame.unionByName, repeats).distinct()
 
 
 def groups(repeats: DataFrame) -> DataFrame:
@@ -146,9 +155,9 @@ def groups(repeats: DataFrame) -> DataFrame:
     return repeats.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
 
 
-def collapsed(rows: DataFrame, id_column: str, *values: str) -> DataFrame:
-    """first_id, copies: each record once."""
-    alone, repeats = split_records(rows, id_column, *values)
+def collapsed(rows: DataFrame, id_column: str, *values: str, **how: object) -> DataFrame:
+    """first_id, copies: each record once. HOW is passed to split_records."""
+    alone, repeats = split_records(rows, id_column, *values, **how)
     return groups(repeats).select("first_id", "copies").unionByName(alone.select(F.col("id").alias("first_id"), F.lit(1).cast("long").alias("copies")))
 
 
@@ -156,9 +165,9 @@ def collapsed(rows: DataFrame, id_column: str, *values: str) -> DataFrame:
 HOT_SHARE = 1e-3
 
 
-def copies(rows: DataFrame, id_column: str, *values: str) -> DataFrame:
-    """first_id, copy_id: a row for each id that repeats the record of a smaller id."""
-    _, repeats = split_records(rows, id_column, *values)
+def copies(rows: DataFrame, id_column: str, *values: str, **how: object) -> DataFrame:
+    """first_id, copy_id: a row for each id that repeats the record of a smaller id. HOW is passed to split_records."""
+    _, repeats = split_records(rows, id_column, *values, **how)
     repeats = persisted(repeats)
     many = persisted(groups(repeats).where("copies > 1"))
     total = many.agg(F.sum("copies")).first()[0] or 0
