@@ -74,6 +74,6 @@ def remove_written(spark: SparkSession) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """DF over at least as many partitions as there are cores, where a small table comes in fewer files than that. A table over SPREAD_BYTES is never moved, however many cores there are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()) > SPREAD_BYTES:
+    if df.rdd.getNumPartitions() >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
         return df
     return df.repartition(cores)
