@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import re
-from collections import defaultdict
+import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyspark
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +22,10 @@ from .common import spread
 WORDS = 10
 #: Words of a block of the shift table.
 BLOCK = 2
-#: Characters of test items that one search holds; more items are searched in further blocks over all rows.
+#: Characters of test items from which one searcher is built at a time on the driver; more items give more searchers, all used in the same scan.
 ITEM_CHARS = 16_000_000
+#: Words of which a worker remembers the hash.
+REMEMBERED_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -28,46 +35,104 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").replace("\\n", " ").replace("\\t", " ").casefold())
 
 
+@functools.lru_cache(maxsize=REMEMBERED_WORDS)
+def _hashed(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def _block_hash(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    mixed = (first * np.uint64(0x9E3779B97F4A7C15) + second) * np.uint64(0xD1B54A32D192ED03)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int32)
+
+
 class WuManber:
     """Multi-pattern search over words: patterns are all runs of WORDS words of the items.
 
-    The shift table holds for each block of BLOCK words how far it stands, at least, from the end of a pattern; any other block lets the window move past it at once. A block that ends a
-    pattern leads to its bucket, where patterns are told apart by a hash of their first block and then compared word by word.
+    The shift table holds for each hash of a block of BLOCK words how far it stands, at least, from the end of a pattern; any other block lets the window move past it at once. A block that ends a
+    pattern leads to its bucket, by its hash as the suffix; there patterns are told apart by the hash of their first block and then compared word by word. Everything is arrays
+    (about 40 bytes a word of the items), so a searcher can be mapped from a file that all processes of a machine share.
     """
 
+    PARTS = ("shift", "starts", "order", "prefix", "at", "owner", "letters", "places")
+
     def __init__(self, items: Iterable[tuple[int, str | None]], length: int = WORDS):
         self.length = length
-        self.ids: dict[str, int] = {}
-        self.shift: dict[tuple[int, int], int] = {}
-        self.buckets: dict[tuple[int, int], dict[tuple[int, int], dict[tuple[int, ...], set[int]]]] = defaultdict(lambda: defaultdict(dict))
+        none = np.empty(0, np.int32)
+        hashes, at, owner, spelled, sizes = [np.empty(0, np.uint64)], [none], [none], [], [none]
+        ids: list = []
+        n = 0
         for item, text in items:
-            number = [self.ids.setdefault(w, len(self.ids)) for w in words(text)]
-            for start in range(len(number) - length + 1):
-                pattern = tuple(number[start : start + length])
-                for end in range(BLOCK, length + 1):
-                    block = pattern[end - BLOCK : end]
-                    self.shift[block] = min(self.shift.get(block, length), length - end)
-                self.buckets[pattern[-BLOCK:]][pattern[:BLOCK]].setdefault(pattern, set()).add(item)
-        self.buckets = {k: dict(v) for k, v in self.buckets.items()}
+            found = words(text)
+            if len(found) < length:
+                continue
+            runs = len(found) - length + 1
+            at.append(np.arange(n, n + runs, dtype=np.int32))
+            owner.append(np.full(runs, len(ids), np.int32))
+            ids.append(item)
+            hashes.append(np.fromiter(map(_hashed, found), np.uint64, len(found)))
+            raw = [w.encode() for w in found]
+            spelled.append(b" ".join(raw))
+            sizes.append(np.fromiter(map(len, raw), np.int32, len(raw)))
+            n += len(found)
+        self.ids, self.at, self.owner = ids, np.concatenate(at), np.concatenate(owner)
+        h = np.concatenate(hashes)
+        self.bits = max(10, (2 * n).bit_length())
+        self.shift = np.full(1 << self.bits, length - BLOCK + 1, np.uint8)
+        pair = _block_hash(h[:-1], h[1:], self.bits)
+        for end in range(BLOCK, length + 1):  # the least shift is written last
+            self.shift[pair[self.at + end - BLOCK]] = length - end
+        suffix = pair[self.at + length - BLOCK]
+        self.order = np.argsort(suffix, kind="stable").astype(np.int32)
+        self.starts = np.searchsorted(suffix[self.order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.prefix = pair[self.at]
+        # The words themselves, spaced, for the comparison.
+        self.letters = np.frombuffer(b" ".join(spelled), np.uint8)
+        self.places = np.concatenate([[0], np.cumsum(np.concatenate(sizes).astype(np.int64) + 1)])
+
+    def save(self, folder: str) -> None:
+        for name in self.PARTS:
+            np.save(f"{folder}/{name}.npy", getattr(self, name))
+        pd.Series(self.ids).to_pickle(f"{folder}/ids.pickle")
+
+    @classmethod
+    def load(cls, folder: str) -> WuManber:
+        out = cls.__new__(cls)
+        for name in cls.PARTS:
+            setattr(out, name, np.load(f"{folder}/{name}.npy", mmap_mode="r"))
+        out.ids, out.length = list(pd.read_pickle(f"{folder}/ids.pickle")), WORDS
+        out.bits = len(out.shift).bit_length() - 1
+        return out
 
     def found(self, text: str | None) -> set[int]:
         """The items of which TEXT holds a passage."""
+        return self.found_among(words(text))
+
+    def found_among(self, found: list[str]) -> set[int]:
         out: set[int] = set()
-        length, ids, shift, longest = self.length, self.ids, self.shift, self.length - BLOCK + 1
-        number = [ids.get(w, -1) for w in words(text)]
-        end, n = length, len(number)
-        while end <= n:
-            block = (number[end - 2], number[end - 1])
-            skip = shift.get(block, longest)
+        length, n = self.length, len(found)
+        if n < length or not len(self.at):
+            return out
+        h = np.fromiter(map(_hashed, found), np.uint64, n)
+        blocks = _block_hash(h[:-1], h[1:], self.bits)
+        shift = self.shift[blocks].tobytes()  # of the block that ends at each word but the first
+        end = length - 1
+        while end < n:
+            skip = shift[end - 1]
             if skip:
                 end += skip
                 continue
-            start = end - length
-            for pattern, items in self.buckets[block].get((number[start], number[start + 1]), {}).items():
-                if tuple(number[start:end]) == pattern:
-                    out |= items
+            a, b = self.starts[blocks[end - 1]], self.starts[blocks[end - 1] + 1]
+            start = end - length + 1
+            bucket = self.order[a:b]
+            bucket = bucket[self.prefix[bucket] == blocks[start]]
+            if len(bucket):
+                spelled = " ".join(found[start : end + 1]).encode()
+                for p in bucket:
+                    first = self.places[self.at[p]]
+                    if self.owner[p] not in out and self.letters[first : self.places[self.at[p] + length] - 1].tobytes() == spelled:
+                        out.add(int(self.owner[p]))
             end += 1
-        return out
+        return {self.ids[k] for k in out}
 
 
 def item_blocks(items: DataFrame, id_column: str, text_column: str, most_chars: int = ITEM_CHARS) -> Iterator[list[tuple[int, str]]]:
@@ -83,26 +148,41 @@ def item_blocks(items: DataFrame, id_column: str, text_column: str, most_chars:
     yield block
 
 
+@functools.lru_cache(maxsize=64)
+def _searcher(name: str) -> WuManber:
+    """A searcher of this process, mapped from the files that Spark sent to the machine."""
+    return WuManber.load(pyspark.SparkFiles.get(name))
+
+
+def _shipped(spark: SparkSession, matcher: WuManber) -> str:
+    """The name under which every machine finds MATCHER: written once, sent once to each executor, and mapped by all its processes."""
+    name = f"searcher-{uuid.uuid4()}"
+    folder = os.path.join(pyspark.SparkFiles.getRootDirectory(), f"made-{name}", name)
+    os.makedirs(folder)
+    matcher.save(folder)
+    spark.sparkContext.addFile(folder, recursive=True)
+    return name
+
+
 def leaked(corpus: DataFrame, id_column: str, text_column: str, items: DataFrame, item_id: str, item_text: str, most_chars: int = ITEM_CHARS) -> DataFrame:
     """id_column, item_id: one row for each text of the corpus and item of which it holds WORDS successive words.
 
-    Null and empty texts hold none, items of fewer words are never found, equal items are all found, rows delivered again count once. Texts are searched whole. One scan of the corpus for each block of items.
+    Null and empty texts hold none, items of fewer words are never found, equal items are all found, rows delivered again count once. Texts are searched whole, in one scan of the corpus for all items.
     """
     spark, schema = corpus.sparkSession, corpus.select(F.col(id_column)).schema.add(item_id, items.schema[item_id].dataType)
     rows = spread(corpus.select(id_column, text_column).where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()))
-    found = None
-    for block in item_blocks(items, item_id, item_text, most_chars):
-        shared = spark.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            matcher = WuManber(shared.value)
-            for batch in batches:
-                pairs = [(i, item) for i, text in zip(batch[id_column], batch[text_column]) for item in matcher.found(text)]
-                yield pd.DataFrame(pairs, columns=[id_column, item_id])
-
-        part = rows.mapInPandas(search, schema)
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
+    names = [_shipped(spark, WuManber(block)) for block in item_blocks(items, item_id, item_text, most_chars)]
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        searchers = [_searcher(name) for name in names]
+        for batch in batches:
+            pairs = []
+            for i, text in zip(batch[id_column], batch[text_column]):
+                split = words(text)
+                pairs += [(i, item) for s in searchers for item in s.found_among(split)]
+            yield pd.DataFrame(pairs, columns=[id_column, item_id])
+
+    return rows.mapInPandas(search, schema).distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
