@@ -121,6 +121,13 @@ def test_blocks(segmenter):
     assert segmenter.units(None) == segmenter.units("") == segmenter.units(" \n\t") == []
 
 
+def test_words_of_any_length(segmenter):
+    long = "x" * 3000
+    assert segmenter._word_before(f"a {long}", 0, 3002) == long and segmenter._word_before("ab cd ", 0, 6) == "" and segmenter._word_before("ab", 1, 2) == "b"
+    events, pairs = sentences.counted(f"the {long} fell. {long}. Then it rose.", False)
+    assert events[long, "plain"] == events[long, "period"] == pairs[long, "then"] == 1
+
+
 def test_segmented_table(spark):
     docs = corpus(spark).limit(20).union(spark.createDataFrame([(1000, None, None, None), (1001, "  ", "x", ""), (1002, "A. " * 20_000, None, "s"), (1003, "x\ny", "python", "code_python")], "doc_id long, text string, lang string, source string"))
     rows = sentences.segmented(docs.withColumn("code", F.lit("clash")))

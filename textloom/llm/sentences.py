@@ -47,8 +47,6 @@ _TOKEN = re.compile(r"\S+")
 _WORD_HERE = re.compile(r"\w*")
 _MARK_HERE = re.compile(rf"\s*[{re.escape(END_MARKS)}]")
 _SPACES = re.compile(r"\s+")
-#: Characters before a mark among which its word is looked for: no abbreviation is longer.
-WORD_BEFORE = 200
 _INITIAL = re.compile(r"\b[^\W\d_]")
 _QUOTE = re.compile(r"[" + re.escape("".join(QUOTES) + CLOSERS.replace("'", "").replace("’", "")) + "]")
 _STOP = re.compile(rf"[{re.escape(END_MARKS)}]+|[{re.escape(''.join(QUOTES))}\"]")
@@ -136,7 +134,7 @@ def _looked_at(token: str) -> tuple[str, bool, str, bool]:
     """The type of a token ("" where it is none to count), whether it had a period, how it begins (number, lower, upper, other), whether it surely ends a sentence. Remembered, since most tokens come again."""
     word, period = _type(token)
     first = token.strip(_EDGE)[:1]
-    if len(word) > 30 or _UNSPACED.search(word):
+    if _UNSPACED.search(word):
         word = ""
     begins = "number" if first.isdigit() else "lower" if first.islower() else "upper" if first.isupper() else "other"
     return word, period, begins, token.rstrip(CLOSERS)[-1:] in "!?" or period and len(word) > 5 and "." not in word
@@ -176,7 +174,7 @@ def counted(text: str, code: bool) -> tuple[dict[tuple[str, str], int], dict[tup
                     events[word, "lower"] += 1
                 elif sure and (letterless or begins == "upper"):
                     events[word, "starts"] += 1
-                last = word if period and len(word) <= 12 else None
+                last = word if period else None
                 sure = ends
             else:
                 last, sure = None, False
@@ -246,10 +244,6 @@ class Language:
     frequent: dict[str, float] = field(default_factory=dict)
 
 
-#: Frequent types kept for each language, to tell the language of unlabelled texts.
-FREQUENT = 500
-
-
 def statistics(docs: DataFrame) -> dict[str, Language]:
     """The knowledge of each language, from all DOCS (text, lang, code). Counting runs in the tasks and is summed by type; only types that pass the tests come to the driver."""
     schema = "lang string, word string, after string, event string, n long"
@@ -288,7 +282,7 @@ def statistics(docs: DataFrame) -> dict[str, Language]:
 
     # Types seldom written without their period are candidates; the score decides, before anything comes to the driver.
     scored = defaultdict(dict)
-    candidates = types.where((F.col("period") >= LEAST) & (F.length("word") <= 12) & (F.col("plain") <= F.col("period") / 2 + 2))
+    candidates = types.where((F.col("period") >= LEAST) & (F.col("plain") <= F.col("period") / 2 + 2))
     for r in candidates.where(score(F.col("word"), F.col("period"), F.col("plain"), periods, size[F.col("lang")]) >= ABBREVIATION_SCORE).toLocalIterator():
         scored[r["lang"]][r["word"]] = r
 
@@ -448,9 +442,19 @@ class Segmenter:
         return b
 
     @staticmethod
-    def _word_before(text: str, begun: int, a: int) -> str:
-        before = text[max(begun, a - WORD_BEFORE) : a]
-        return before.split()[-1] if before and not before[-1].isspace() else ""
+    def _word_start(text: str, begun: int, a: int) -> int:
+        """Where the word that ends at a begins: looked for in ever longer parts before it, so neither a long sentence nor a long word costs much."""
+        size = 64
+        while True:
+            low = max(begun, a - size)
+            last = text[low:a].rsplit(None, 1) if a > low and not text[a - 1].isspace() else []
+            if low == begun or len(last) != 1:
+                return a - len(last[-1]) if last else a
+            size *= 4
+
+    @classmethod
+    def _word_before(cls, text: str, begun: int, a: int) -> str:
+        return text[cls._word_start(text, begun, a) : a]
 
     @staticmethod
     def _next_word(text: str, b: int, end: int) -> str:
@@ -505,7 +509,7 @@ class Segmenter:
                     around = self._word_before(text, begun, b) + _TOKEN.match(text, b, end)[0]
                     return not set(around) & set("/\\@_") and text[a - 2 : a].isalpha() and self._starter(_WORD_HERE.match(text, b, end)[0], known)
                 # In scripts without letter case the period alone decides; elsewhere a period inside a word, an address or an abbreviation.
-                return text[b].isalpha() and text[b].lower() == text[b].upper() and text[a - 1].isalpha() and len(text[max(begun, a - WORD_BEFORE) : a].split()) > 1
+                return text[b].isalpha() and text[b].lower() == text[b].upper() and text[a - 1].isalpha() and bool(text[begun : self._word_start(text, begun, a)].strip())
         word = self._next_word(text, b, end)
         first = word[:1]
         if marks == ".":
