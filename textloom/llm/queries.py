@@ -10,14 +10,14 @@ from .encode import p6_ids
 from .formatting_duplicates import PART_NAMES, p1_found, p1_records
 from .language_id import p4_found, p4_segments
 from .leakage import WORDS, p3_found
-from .mixture import p7_exact_shares, p7_mixed, p7_shares
+from .mixture import p7_exact_mixed, p7_exact_shares, p7_mixed, p7_shares
 from .sentences import p8_found
 from .source_files import p5_files, p5_found
 from .token_budget import p2_snippet_tokens, p2_token_budget
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_records, p2_token_budget, p2_snippet_tokens, p3_found, p4_found, p4_segments, p5_found, p5_files, p6_ids, p7_mixed, p7_shares, p7_exact_shares, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_records, p2_token_budget, p2_snippet_tokens, p3_found, p4_found, p4_segments, p5_found, p5_files, p6_ids, p7_mixed, p7_shares, p7_exact_mixed, p7_exact_shares, p8_found)}
 
 
 _SQUASHED = r"lower(upper(regexp_replace({}, '[^\p{{L}}\p{{N}}]+', '', 'g')))"
