@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import pickle
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import ensure_checkpoint_dir, table
 from .common import spread
 
 #: About so many labelled rows of each language are read for training; this bounds the sample, whatever the size of the table.
@@ -21,6 +25,8 @@ ROWS_PER_LANGUAGE = 2000
 SAMPLE_CHARS = 4000
 #: Segments of each language that training sees, repeated up to the lower number where there are fewer.
 MOST_SEGMENTS, LEAST_SEGMENTS = 8000, 1200
+#: Changes with what training does, so that stored networks of another way of training aren't taken.
+SOURCE = "byte convolution 2"
 #: Bytes of a window.
 WINDOW = 64
 #: Letters below which a segment is too short to be of another language than its text.
@@ -42,12 +48,12 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 PART_LETTERS, SENTENCE_LETTERS, SPEAKER_LETTERS = 12, 10, 24
 
 
-def segments(text: str) -> list[tuple[int, int]]:
+def segments(text: str, plain: str | None = None) -> list[tuple[int, int]]:
     """(start, end) of the sentences and clauses of a text that have letters.
 
-    Code, addresses, special marks and short bracketed words are left out. Short clauses, and the words after a quotation, join the piece before them or, where they come first, the one after.
+    Code, addresses, special marks and short bracketed words are left out. Short clauses, and the words after a quotation, join the piece before them or, where they come first, the one after. PLAIN is the text with those masked, where it is known.
     """
-    plain = masked(text)
+    plain = masked(text) if plain is None else plain
     pieces: list[tuple[int, int, bool]] = []  # whether the piece is too short to stand alone within a sentence
     start, weak = 0, False
     for m in [*_MARK.finditer(plain), None]:
@@ -124,32 +130,51 @@ class ByteConvolution:
         self.weights["out"] = rng.normal(0, 0.1, (self.filters * len(self.widths), n)).astype(np.float32)
         self.weights["out_bias"] = np.zeros(n, np.float32)
 
-    def _tables(self) -> dict[int, np.ndarray]:
-        """Of each width, what a byte at each place of a filter adds to its score: embedding and filters multiplied out once."""
-        return {w: np.einsum("bd,jdf->jbf", self.weights["embedding"], self.weights[f"filter{w}"].reshape(w, self.dims, self.filters), optimize=True) for w in self.widths}
+    def to_bytes(self) -> bytes:
+        held = io.BytesIO()
+        np.savez(held, languages=np.array(self.languages), **self.weights)
+        return held.getvalue()
 
-    def _features(self, batch: np.ndarray, tables: dict[int, np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The maximum of each filter over the window, not under 0, and where it is reached. Windows of the batch may be cut to the longest of them."""
-        parts, places = [], []
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> ByteConvolution:
+        held = np.load(io.BytesIO(raw))
+        out = cls([str(x) for x in held["languages"]])
+        out.weights = {k: held[k] for k in out.weights}
+        return out
+
+    def _scores(self, batch: np.ndarray) -> Iterator[np.ndarray]:
+        """Of each width, the score of each filter at each place of each window: one matrix product. Bytes past the end have no embedding, so a window scores the same in any batch."""
+        rows, n = batch.shape
+        padded = np.zeros((rows, n + max(self.widths) - 1), np.uint8)
+        padded[:, :n] = batch
+        embedded = self.weights["embedding"][padded]
+        shape, (a, b, c) = (rows, n, max(self.widths) * self.dims), embedded.strides
+        places = np.lib.stride_tricks.as_strided(embedded, shape, (a, b, c), writeable=False).reshape(rows * n, -1)
         for w in self.widths:
-            n = batch.shape[1] - w + 1
-            scores = tables[w][0][batch[:, :n]]
-            for j in range(1, w):
-                scores += tables[w][j][batch[:, j : j + n]]
-            at = scores.argmax(axis=1)
-            parts.append(np.maximum(np.take_along_axis(scores, at[:, None, :], 1)[:, 0] + self.weights[f"bias{w}"], 0))
+            yield (places[:, : w * self.dims] @ self.weights[f"filter{w}"]).reshape(rows, n, self.filters)
+
+    def _features(self, batch: np.ndarray) -> np.ndarray:
+        """The maximum of each filter over the window, not under 0."""
+        return np.concatenate([np.maximum(scores.max(axis=1) + self.weights[f"bias{w}"], 0) for w, scores in zip(self.widths, self._scores(batch))], axis=1)
+
+    def _fired(self, batch: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The features, and of each width and filter the place where it is reached."""
+        parts, places = [], []
+        for w, scores in zip(self.widths, self._scores(batch)):
+            best = scores.max(axis=1)
+            # Of equal places the last: the highest number among those that reach the maximum.
+            at = ((scores == best[:, None, :]).view(np.uint8) * np.arange(scores.shape[1], dtype=np.uint8)[:, None]).max(axis=1).astype(np.int64)
+            parts.append(np.maximum(best + self.weights[f"bias{w}"], 0))
             places.append(at)
         return np.concatenate(parts, axis=1), places
 
-    def log_probabilities(self, batch: np.ndarray, size: int = 256) -> np.ndarray:
+    def log_probabilities(self, batch: np.ndarray, size: int = 64) -> np.ndarray:
         out = np.empty((len(batch), len(self.languages)), np.float32)
-        tables = self._tables()
         lengths = (batch != 0).sum(axis=1)
         order = np.argsort(lengths)
         for i in range(0, len(batch), size):
             own = order[i : i + size]
-            features, _ = self._features(batch[own, : max(int(lengths[own].max()), max(self.widths))], tables)
-            logits = features @ self.weights["out"] + self.weights["out_bias"]
+            logits = self._features(batch[own, : int(lengths[own[-1]])]) @ self.weights["out"] + self.weights["out_bias"]
             logits -= logits.max(axis=1, keepdims=True)
             out[own] = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
         return out
@@ -165,9 +190,10 @@ class ByteConvolution:
             order = np.argsort(lengths + rng.random(len(batch)) * 8)
             for i in rng.permutation(np.arange(0, len(order), size)):
                 own = order[i : i + size]
-                x = batch[own, : max(int(lengths[own].max()), max(self.widths))]
-                features, places = self._features(x, self._tables())
-                keep = (rng.random(features.shape) > 0.2).astype(np.float32) / 0.8
+                x = np.zeros((len(own), int(lengths[own].max()) + max(self.widths) - 1), np.uint8)
+                x[:, : x.shape[1] - max(self.widths) + 1] = batch[own, : x.shape[1] - max(self.widths) + 1]
+                features, places = self._fired(x[:, : x.shape[1] - max(self.widths) + 1])
+                keep = (rng.random(features.shape, np.float32) > 0.2).astype(np.float32) / 0.8
                 dropped = features * keep
                 logits = dropped @ self.weights["out"] + self.weights["out_bias"]
                 p = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -178,15 +204,14 @@ class ByteConvolution:
                 back = (delta @ self.weights["out"].T) * keep * (features > 0)
                 for k, w in enumerate(self.widths):
                     g = back[:, k * self.filters : (k + 1) * self.filters]
-                    seen = x[np.arange(len(own))[:, None, None], places[k][:, :, None] + np.arange(w)]  # of each filter, the bytes it fired at
+                    row, filter_ = np.nonzero(g)
+                    seen = x[row[:, None], places[k][row, filter_][:, None] + np.arange(w)]  # of each filter that counts, the bytes it fired at
                     filters = self.weights[f"filter{w}"].reshape(w, self.dims, self.filters)
-                    of_filter = np.empty_like(filters)
-                    for j in range(w):
-                        # The sum of g by byte and filter gives the gradients of both factors of the table.
-                        cells = seen[:, :, j].astype(np.int64) * self.filters + np.arange(self.filters)
-                        by_byte = np.bincount(cells.ravel(), weights=g.ravel(), minlength=256 * self.filters).astype(np.float32).reshape(256, self.filters)
-                        of_filter[j] = self.weights["embedding"].T @ by_byte
-                        gradient["embedding"] += by_byte @ filters[j].T
+                    # The sum of g by place, byte and filter gives the gradients of both factors of the table.
+                    cells = (np.arange(w) * 256 + seen) * self.filters + filter_[:, None]
+                    by_byte = np.bincount(cells.ravel(), np.repeat(g[row, filter_], w), w * 256 * self.filters).astype(np.float32).reshape(w, 256, self.filters)
+                    of_filter = self.weights["embedding"].T @ by_byte
+                    gradient["embedding"] += (by_byte @ filters.transpose(0, 2, 1)).sum(axis=0)
                     gradient[f"filter{w}"] = of_filter.reshape(w * self.dims, self.filters)
                     gradient[f"bias{w}"] = g.sum(axis=0)
                 gradient["embedding"][0] = 0
@@ -206,8 +231,9 @@ def trained(texts: list[str], labels: list[str], seed: int = 7) -> ByteConvoluti
     target: list[int] = []
     rng = np.random.default_rng(seed)
     for text, language in zip(texts, labels):
-        for a, b in segments(text):
-            piece = masked(text)[a:b]
+        plain = masked(text)
+        for a, b in segments(text, plain):
+            piece = plain[a:b]
             for w in windows(plainly(piece) if rng.random() < PLAIN_SHARE else piece):
                 rows.append(w)
                 target.append(languages.index(language))
@@ -227,45 +253,41 @@ def trained(texts: list[str], labels: list[str], seed: int = 7) -> ByteConvoluti
     return second
 
 
-def judged(network: ByteConvolution, texts: list[str]) -> list[tuple[np.ndarray, list[tuple[int, int, int, float]]]]:
-    """Of each text, the log probabilities of its main language and (start, end, language, confidence) of its segments; no segments where it has no words."""
-    spans = [segments(t) for t in texts]
-    rows: list[bytes] = []
-    owner: list[tuple[int, int]] = []
-    for i, (t, own) in enumerate(zip(texts, spans)):
-        plain = masked(t)
-        for k, (a, b) in enumerate(own):
+def judged(network: ByteConvolution, texts: list[str]) -> list[tuple[np.ndarray, list[tuple[int, int, int, np.ndarray]]]]:
+    """Of each text, the log probabilities of its main language and (start, end, language, probabilities) of its segments; no segments where it has no words."""
+    spans: list[tuple[int, int, int, int]] = []  # text, start, end, letters
+    rows: dict[bytes, int] = {}  # each different window once
+    which: list[int] = []
+    owner: list[int] = []
+    for i, text in enumerate(texts):
+        plain = masked(text)
+        for a, b in segments(text, plain):
             for w in windows(plain[a:b]):
-                rows.append(w)
-                owner.append((i, k))
-    logs = network.log_probabilities(matrix(rows))
+                which.append(rows.setdefault(w, len(rows)))
+                owner.append(len(spans))
+            spans.append((i, a, b, len(_LETTER.findall(text, a, b))))
     n = len(network.languages)
-    scores = [np.zeros((len(own), n), np.float32) for own in spans]
-    weight = [np.zeros(len(own), np.float32) for own in spans]
-    for (i, k), row, bytes_ in zip(owner, logs, rows):
-        scores[i][k] += row * len(bytes_)
-        weight[i][k] += len(bytes_)
-    out = []
-    for text, own, s, w in zip(texts, spans, scores, weight):
-        real = w > 0
-        if not real.any():
-            out.append((np.zeros(n), []))
-            continue
-        mean = s / np.maximum(w, 1)[:, None]
-        total = s[real].sum(axis=0) / WINDOW
-        main = int(total.argmax())
-        parts = []
-        for k, (a, b) in enumerate(own):
-            if not real[k]:
-                continue
-            p = np.exp(mean[k] - mean[k].max())
-            p /= p.sum()
-            best = int(p.argmax())
-            letters = len(_LETTER.findall(text, a, b))
-            if best != main and (letters < SHORT or p[best] < LIKELY or p[main] > p[best] * np.exp(-MARGIN)):
-                best = main
-            parts.append((a, b, best, float(p[best])))
-        out.append((total, parts))
+    # Sums over the windows of a segment and the segments of a text, windows weighted by their bytes.
+    logs = network.log_probabilities(matrix(list(rows)))[which]
+    sizes = np.array([len(w) for w in rows], np.float32)[which]
+    of = np.array(owner, np.int64)
+    scores = np.stack([np.bincount(of, logs[:, k] * sizes, len(spans)) for k in range(n)], axis=1)
+    weight = np.bincount(of, sizes, len(spans))
+    totals = np.stack([np.bincount([s[0] for s in spans], scores[:, k], len(texts)) for k in range(n)], axis=1) / WINDOW
+    mean = scores / np.maximum(weight, 1)[:, None]
+    p = np.exp(mean - mean.max(axis=1, keepdims=True, initial=-np.inf))
+    p /= p.sum(axis=1, keepdims=True)
+    best = p.argmax(axis=1) if len(spans) else np.empty(0, np.int64)
+    mains = totals.argmax(axis=1)
+    main = mains[[s[0] for s in spans]] if spans else best
+    each = np.arange(len(spans))
+    letters = np.array([s[3] for s in spans])
+    weak = (letters < SHORT) | (p[each, best] < LIKELY) | (p[each, main] > p[each, best] * np.exp(-MARGIN)) if len(spans) else np.empty(0, bool)
+    chosen = np.where(weak, main, best)
+    out: list[tuple[np.ndarray, list[tuple[int, int, int, np.ndarray]]]] = [(totals[i], []) for i in range(len(texts))]
+    for k, (i, a, b, _) in enumerate(spans):
+        if weight[k]:
+            out[i][1].append((a, b, int(chosen[k]), p[k]))
     return out
 
 
@@ -287,12 +309,34 @@ def training_sample(values: DataFrame) -> tuple[list[str], list[str]]:
     return [r["text"] for r in rows], [r["label"] for r in rows]
 
 
+def fitted(spark: SparkSession, texts: list[str], labels: list[str]) -> ByteConvolution:
+    """The network for a sample: trained once and kept in the shared checkpoint folder under a digest of the sample, where later queries over the same labelled rows find it."""
+    ensure_checkpoint_dir(spark)
+    digest = hashlib.sha256(pickle.dumps((texts, labels, SOURCE))).hexdigest()
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/language-network-{digest}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        stream = fs.open(at)
+        raw = bytes(stream.readAllBytes())
+        stream.close()
+        return ByteConvolution.from_bytes(raw)
+    network = trained(texts, labels)
+    part = jvm.org.apache.hadoop.fs.Path(f"{at.toString()}.{uuid.uuid4()}")
+    stream = fs.create(part)
+    stream.write(bytearray(network.to_bytes()))
+    stream.close()
+    if not fs.rename(part, at):  # another query was first
+        fs.delete(part, False)
+    return network
+
+
 def identified(rows: DataFrame, id_column: str, fields: list[str], lang_column: str, aliases: DataFrame) -> DataFrame:
     """id, field_name, label, lang, start_char, end_char, confidence, main: one row for each segment of each value, in its language.
 
     Null, empty and word-less values have none. Rows delivered again give their segments again. MAIN is the main language of the value.
     """
-    known = {r["alias"]: r["lang"] for r in aliases.select("alias", "lang").limit(10_000).collect() if r["alias"] is not None and r["lang"] is not None}
+    known = {r["alias"]: r["lang"] for r in aliases.select("alias", "lang").distinct().collect() if r["alias"] is not None and r["lang"] is not None}
     if not known:
         raise ValueError("no language has a label")
     values = rows.select(
@@ -309,22 +353,23 @@ def identified(rows: DataFrame, id_column: str, fields: list[str], lang_column:
         schema = schema.add(name, kind)
     if not texts:
         return rows.sparkSession.createDataFrame([], schema)
-    shared = rows.sparkSession.sparkContext.broadcast(trained(texts, labels))
+    shared = rows.sparkSession.sparkContext.broadcast(fitted(rows.sparkSession, texts, labels))
 
     def identify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         network = shared.value
         names = network.languages
         for batch in batches:
-            for i in range(0, len(batch), 2000):
-                part = batch.iloc[i : i + 2000]
+            for i in range(0, len(batch), 5000):
+                part = batch.iloc[i : i + 5000]
                 out = []
                 for row_id, name, label, (total, parts) in zip(part["id"], part["field_name"], part["label"], judged(network, list(part["text"]))):
                     main = int(total.argmax())
                     if label in names and names.index(label) not in {k for _, _, k, _ in parts} and total[main] - total[names.index(label)] < AGAINST_LABEL:
                         # Too little against the label: segments of the main language are held to be of the label's.
-                        parts = [(a, b, names.index(label) if k == main else k, c) for a, b, k, c in parts]
+                        parts = [(a, b, names.index(label) if k == main else k, p) for a, b, k, p in parts]
                         main = names.index(label)
-                    out += [(row_id, name, label, names[k], a, b, c, names[main]) for a, b, k, c in parts]
+                    # The confidence is that of the language a segment is given.
+                    out += [(row_id, name, label, names[k], a, b, float(p[k]), names[main]) for a, b, k, p in parts]
                 yield pd.DataFrame(out, columns=schema.names)
 
     return spread(values).mapInPandas(identify, schema)
