@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,9 +238,40 @@ def test_copies_against_brute_force(spark, monkeypatch):
 
     want = {a for a in shingles if any(a != b and alike(a, b) for b in shingles)}
     df = spark.createDataFrame(rows, "file_id long, repo string, content string").withColumn("id", F.lit("clash"))
-    for share in (1e-3, 2.0):
+    for share, block in ((1e-3, source_files.BLOCK_FORMS), (2.0, 2)):  # hot groups by broadcast and whole buckets, and neither
         monkeypatch.setattr(source_files, "HOT_SHARE", share)
+        monkeypatch.setattr(source_files, "BLOCK_FORMS", block)
         got = source_files.classified(df, "file_id", "content", "repo")
         assert {r["id"] for r in got.where("vendored").collect()} == want
         assert got.count() == len(shingles)
     assert source_files.classified(df.limit(0), "file_id", "content", "repo").count() == 0
+
+
+def test_families_of_masked_statements():
+    families = lambda t: source_files.masked_families(source_files.masked_statements(t, source_files.tokens(t)))
+    assert families("") == families("x = 1\n" * 7) == 0.0 and families("x = 1\n" * 8) == 1.0
+    assert families("".join(f"field_{i}: Optional[int] = {i}\n" for i in range(9)) + code(random.Random(2), 1)) > 0.5
+    # Nearly equal statements share a band and pass the comparison of their shingles, others don't.
+    long = "return x + {} * y - z / w % v & u | t ^ s < r > q and p or not n is m in k if j else i"
+    mixed = "".join(long.format(i) + (" for h\n" if i % 2 else "\n") for i in range(8))
+    assert families(mixed) == 1.0
+    assert families("".join(f"{'(' * i}x + {i}{')' * i}\n" for i in range(1, 12))) < 0.5
+
+
+def test_near_forms_meet_block_by_block(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(1 << 62), 1 << 62, 4)
+    rows = []
+    for form in range(40):
+        sketch = base.copy() if form % 2 else rng.integers(-(1 << 62), 1 << 62, 4)
+        sketch[form % 4] ^= form
+        rows += [(bucket, 40, form, form % 5, form % 3 != 0, *map(int, sketch)) for bucket in (1, 2)]
+    members = spark.createDataFrame(rows, "bucket long, n long, form long, where long, open boolean, s0 long, s1 long, s2 long, s3 long")
+    near = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a[5:], b[5:])) <= 51
+    own = [r for r in rows if r[0] == 1]
+    want = {(a[2], b[2]) for a in own if a[4] for b in own if a[2] != b[2] and (a[3] != b[3] or a[3] == 0) and near(a, b)}
+    assert want
+    for block in (4096, 7):
+        monkeypatch.setattr(source_files, "BLOCK_FORMS", block)
+        assert {(r["form"], r["other"]) for r in source_files.near_in_buckets(members).collect()} == want
+    assert source_files.near_in_buckets(members.limit(0)).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import Counter
@@ -23,10 +24,14 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS, MASKED_ROWS = 32, 6, 2
 #: Bits of a sketch of one-bit MinHash values, and the similarity by it under which a pair isn't compared: five standard deviations under SIMILAR.
 SKETCH_BITS, SKETCHED = 256, 0.6
-#: Tokens below which a file is too short to tell a copy from a coincidence.
+#: Tokens below which equal or similar files tell nothing of each other (part of what a copy is, whatever the size of the table): of 30 tokens there are hardly more shingles than a licence line has.
 LEAST_TOKENS = 30
+#: Tokens of the shortest statement that counts, and the bands of a statement and MinHash values in each: statements of similarity 0.8 share a band with a probability of 0.98.
+STATEMENT, STATEMENT_BANDS, STATEMENT_ROWS = 3, 4, 2
 #: A family of statements has at least so many members in a file, and families make a file generated if they hold this share of its statements.
 FAMILY, FAMILY_SHARE = 8, 0.5
+#: Forms of a bucket that are compared in one go; larger buckets are cut into blocks, and each block is compared with each in a task's memory of two blocks.
+BLOCK_FORMS = 4096
 #: Share of a file's text in literals and punctuation from which it is data, and least length of such a file.
 LITERAL_SHARE, LEAST_DATA = 0.75, 200
 #: A file is minified with less white space than this among tokens other than literals, and lines or names as of no hand-written file.
@@ -103,9 +108,83 @@ def statement_families(text: str) -> float:
     return sum(n for n in count.values() if n >= FAMILY) / len(lines)
 
 
+def masked_statements(text: str, lexed: list[tuple[str, str, int]]) -> list[str]:
+    """The identifier-masked lines of a file that have STATEMENT tokens."""
+    out: list[str] = []
+    held: list[str] = []
+    end = -1
+    for kind, token, at in lexed:
+        if kind in REMARKS:
+            continue
+        if at > end:
+            if len(held) >= STATEMENT:
+                out.append(" ".join(held))
+            held = []
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+        held.append(_masked(kind, token))
+    if len(held) >= STATEMENT:
+        out.append(" ".join(held))
+    return out
+
+
+def _shingles_of(forms: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all forms, one after the other, and where those of each begin; a form under SHINGLE words has one of the whole."""
+    h = np.fromiter((_hash_of(w) for form in forms for w in form), np.uint64)
+    sizes = np.fromiter(map(len, forms), np.int64, len(forms))
+    of = np.repeat(np.arange(len(forms)), sizes)
+    begins = np.cumsum(sizes) - sizes
+    value = np.zeros(len(h), np.uint64)
+    for k in range(SHINGLE):
+        value = (value * np.uint64(0x9E3779B97F4A7C15) + np.append(h[k:], np.zeros(min(k, len(h)), np.uint64)) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)
+        value ^= value >> np.uint64(29)
+    kept = np.zeros(len(h), bool)
+    if len(h) >= SHINGLE:
+        kept[: len(h) - SHINGLE + 1] = of[: len(h) - SHINGLE + 1] == of[SHINGLE - 1 :]
+    for k in np.flatnonzero(sizes < SHINGLE):
+        kept[begins[k]] = True
+        value[begins[k]] = zlib.crc32(" ".join(forms[k]).encode()) << 16
+    return value[kept] >> np.uint64(16), np.searchsorted(of[kept], np.arange(len(forms)))
+
+
+@functools.lru_cache(maxsize=10_000)
+def _hash_of(word: str) -> int:
+    return zlib.crc32(word.encode())
+
+
+def masked_families(statements: list[str]) -> float:
+    """The share of a file's statements in families of FAMILY members, clustered by MinHash bands over their masked shingles; a member's shingles are SIMILAR to those of the family's first."""
+    if len(statements) < FAMILY:
+        return 0.0
+    # Equal statements are one form; forms are taken by size, so a family begins with its commonest.
+    forms = Counter(statements).most_common()
+    if len(forms) == 1:
+        return 1.0
+    shingles, starts = _shingles_of([form.split(" ") for form, _ in forms])
+    ends = np.append(starts[1:], len(shingles))
+    n = STATEMENT_BANDS * STATEMENT_ROWS
+    mixed = shingles[:, None] * _A[:n] + _B[:n]
+    mixed ^= mixed >> np.uint64(31)
+    lowest = np.minimum.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), starts, axis=0).reshape(len(forms), STATEMENT_BANDS, STATEMENT_ROWS)
+    bands = (lowest[:, :, 0] * np.uint64(0x94D049BB133111EB) ^ lowest[:, :, 1]).tolist()
+    shingles_of = lambda k: set(shingles[starts[k] : ends[k]].tolist())
+    firsts: dict[tuple[int, int], list[int]] = {}
+    size: Counter[int] = Counter()
+    for k, (_, count) in enumerate(forms):
+        near = {f for b in enumerate(bands[k]) for f in firsts.get(b, ())}
+        own = shingles_of(k) if near else set()
+        family = next((f for f in sorted(near) if len(own & (other := shingles_of(f))) >= SIMILAR * len(own | other)), k)
+        if family == k:
+            for b in enumerate(bands[k]):
+                firsts.setdefault(b, []).append(k)
+        size[family] += count
+    return sum(c for c in size.values() if c >= FAMILY) / len(statements)
+
+
 def kinds(text: str, lexed: list[tuple[str, str, int]]) -> tuple[bool, bool, bool]:
     """Whether a file is generated, minified, or data, by its own tokens."""
-    generated = states_generation(text, lexed) or statement_families(text) >= FAMILY_SHARE
+    # Families of masked statements tell a generator's output; what hand-written tables look alike is left out by the exact check, that numbers run on or values alternate in them.
+    generated = states_generation(text, lexed) or masked_families(masked_statements(text, lexed)) >= FAMILY_SHARE and statement_families(text) >= FAMILY_SHARE
     body = [(kind, token) for kind, token, _ in lexed if kind not in REMARKS]
     size = Counter()
     for kind, token in body:
@@ -121,7 +200,7 @@ def kinds(text: str, lexed: list[tuple[str, str, int]]) -> tuple[bool, bool, boo
             kept.append(text[at:start])
             at = start + len(token)
     stripped = "".join([*kept, text[at:]])
-    space = sum(c.isspace() for c in stripped) / max(1, len(stripped) - size["string"])
+    space = (len(stripped) - len("".join(stripped.split()))) / max(1, len(stripped) - size["string"])
     longest = max((len(x) for x in stripped.split("\n")), default=0)
     names = [token for kind, token in body if kind == "name" and token.lower() not in _RESERVED]
     short = sum(len(x) <= 2 or x.startswith("_0x") for x in names) / max(1, len(names))
@@ -243,10 +322,68 @@ def _shingled(files: DataFrame, wanted: DataFrame) -> DataFrame:
     return chosen.select("form", "text").mapInPandas(run, "form long, shingles array<int>").groupBy("form").agg(F.first("shingles").alias("shingles"))
 
 
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each key, of batches in which equal keys follow each other."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = batch[keys].to_numpy()
+        edges = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+        if held and (held[-1][keys].iloc[-1].to_numpy() != values[0]).any():
+            yield pd.concat(held)
+            held = []
+        for a, b in zip(edges, edges[1:]):
+            if b < len(batch):
+                yield pd.concat([*held, batch.iloc[a:b]]) if held else batch.iloc[a:b]
+                held = []
+            else:
+                held.append(batch.iloc[a:b])
+    if held:
+        yield pd.concat(held)
+
+
+WORDS_OF_SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
+
+
+def near_in_buckets(members: DataFrame) -> DataFrame:
+    """form, other: pairs of a bucket's forms of different repositories whose sketches are near, of which the first is open.
+
+    MEMBERS: bucket, n (its forms), form, where, open, and the sketch in columns. A bucket of more than BLOCK_FORMS is cut into blocks by a hash, and each two blocks meet in a place of their own, so no task
+    holds more than two blocks and only near pairs are ever made into rows. Nothing is left out at any size.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK_FORMS).cast("int")
+    placed = members.withColumn("b", F.pmod(F.xxhash64("form", F.lit(5)), blocks).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    columns = ["form", "where", *WORDS_OF_SKETCH]
+    asked = placed.where("open").select("bucket", F.col("b").alias("i"), F.col("k").alias("j"), F.lit(True).alias("asks"), *columns)
+    among = placed.select("bucket", F.col("k").alias("i"), F.col("b").alias("j"), F.lit(False).alias("asks"), *columns)
+    met = asked.unionByName(among).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    far = int((1 - SKETCHED) / 2 * SKETCH_BITS)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, ["bucket", "i", "j"]):
+            asks = group["asks"].to_numpy(dtype=bool)
+            if not asks.any():
+                continue
+            bits = group[WORDS_OF_SKETCH].to_numpy(dtype=np.int64).view(np.uint64)
+            form, where = group["form"].to_numpy(dtype=np.int64), group["where"].to_numpy(dtype=np.int64)
+            left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+            out = []
+            for at in range(0, len(left), 256):
+                own = left[at : at + 256]
+                differ = sum(np.bitwise_count(bits[own, None, k] ^ bits[None, right, k]).astype(np.int16) for k in range(bits.shape[1]))
+                near = (differ <= far) & (form[own, None] != form[None, right]) & ((where[own, None] != where[None, right]) | (where[own, None] == 0))
+                a, b = np.nonzero(near)
+                out.append(pd.DataFrame({"form": form[own[a]], "other": form[right[b]]}))
+            yield pd.concat(out)
+
+    return met.mapInPandas(compare, "form long, other long").distinct()
+
+
 def copied(known: DataFrame, files: DataFrame) -> DataFrame:
     """id of the files of which another repository holds a copy: the same tokens but for comments and white space, or SIMILAR shingles of tokens.
 
-    Files of the same tokens become one form first. Forms that share a band are compared with the first of their bucket; those that aren't like it, with all others of the bucket.
+    Files of the same tokens become one form first. Forms that share a band are compared with the first of their bucket; those that aren't like it, with all others of the bucket, block by block.
     Pairs pass their sketches before their shingles are made. A null repository is no repository: it makes no copy another's.
     """
     rows = known.where("form IS NOT NULL AND repo IS NOT NULL")
@@ -260,29 +397,36 @@ def copied(known: DataFrame, files: DataFrame) -> DataFrame:
     members = forms.select("form", where, F.explode("bands").alias("bucket"))
     firsts = members.groupBy("bucket").agg(F.min("form").alias("other"), F.count(F.lit(1)).alias("n"), F.min("where").alias("least"), F.max("where").alias("most"))
     buckets = persisted(firsts.where("n > 1 AND (least <> most OR least = 0)").select("bucket", "n", "other"))
-    inside = persisted(joined_evenly(members, buckets, "bucket", F.col("n")).drop("n"))
+    inside = persisted(joined_evenly(members, buckets, "bucket", F.col("n")))
     sketches = forms.select("form", where, "sketch")
     others = sketches.select(F.col("form").alias("other"), F.col("where").alias("other_where"), F.col("sketch").alias("other_sketch"))
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        """The pairs (form, other) of different repositories whose sketches, and then shingles, are similar."""
-        pairs = persisted(pairs.select("form", "other").where("form <> other").distinct())
-        # One form may be the first of very many, so its pairs are joined evenly.
-        counts = persisted(pairs.groupBy("other").agg(F.count(F.lit(1)).alias("n")))
-        near = joined_evenly(pairs.join(sketches, "form"), others.join(counts, "other"), "other", F.col("n"))
-        near = near.where(((F.col("where") != F.col("other_where")) | (F.col("where") == 0)) & (_sketched("sketch", "other_sketch") >= SKETCHED))
-        near = persisted(near.select("form", "other"))
+    def verified(near: DataFrame) -> DataFrame:
+        """The pairs (form, other) whose shingles are similar."""
+        near = persisted(near)
         wanted = near.select("form").union(near.select("other")).distinct().join(forms.select("form", "id"), "form")
         texts = persisted(_shingled(files, wanted))
         counts = near.groupBy("other").agg(F.count(F.lit(1)).alias("n"))
         seconds = persisted(texts.select(F.col("form").alias("other"), F.col("shingles").alias("s2")).join(counts, "other"))
         compared = joined_evenly(near.join(texts, "form"), seconds, "other", F.col("n"))
-        return compared.where(_similarity("shingles", "s2") >= SIMILAR).select("form", "other")
-
-    first = persisted(alike(inside))
+        return persisted(compared.where(_similarity("shingles", "s2") >= SIMILAR).select("form", "other"))
+
+    pairs = persisted(inside.select("form", "other").where("form <> other").distinct())
+    # One form may be the first of very many, so its pairs are joined evenly.
+    counts = persisted(pairs.groupBy("other").agg(F.count(F.lit(1)).alias("n")))
+    near = joined_evenly(pairs.join(sketches, "form"), others.join(counts, "other"), "other", F.col("n"))
+    near = near.where(((F.col("where") != F.col("other_where")) | (F.col("where") == 0)) & (_sketched("sketch", "other_sketch") >= SKETCHED))
+    first = verified(near.select("form", "other"))
     found = first.select("form").union(first.select("other")).distinct()
-    left = inside.join(found, "form", "left_anti").where("form <> other").select("bucket", "form")
-    rest = persisted(alike(left.join(inside.select("bucket", F.col("form").alias("other")), "bucket")))
+
+    left = persisted(inside.where("form <> other").join(found, "form", "left_anti").select("bucket", "form", F.lit(True).alias("open")))
+    asked = left.groupBy("bucket").agg(F.first("open").alias("asked"))
+    # Members of a bucket that is asked about, marked where they ask themselves; a bucket's rows are joined evenly by its size.
+    sized = persisted(asked.join(buckets.select("bucket", "n"), "bucket").select("bucket", "n"))
+    there = joined_evenly(inside.select("bucket", "form"), sized, "bucket", F.col("n"))
+    marked = there.join(found.withColumn("known", F.lit(True)), "form", "left").join(sketches, "form")
+    spelled = [F.element_at("sketch", k + 1).alias(name) for k, name in enumerate(WORDS_OF_SKETCH)]
+    rest = verified(near_in_buckets(marked.select("bucket", "n", "form", "where", F.col("known").isNull().alias("open"), *spelled)))
     forms_found = sure.union(found).union(rest.select("form")).union(rest.select("other")).distinct()
     return rows.join(forms_found, "form", "left_semi").select("id")
 
