@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SEPARATOR, pretokens, trimmed
+from .joins import evenly
 
 ORDERS = (2, 3, 4, 5)
 #: The weights of the orders in an interpolated prediction.
@@ -16,6 +17,24 @@ CHUNK, LEAST_TAIL = 512, 5
 MOST_COUNT = 4_294_967_295
 
 
+def id_ngrams(sequences: DataFrame, ids: str = "ids", orders: tuple[int, ...] = ORDERS, *keep: str) -> DataFrame:
+    """ord, ctx, next of every position of every sequence of token ids below 65,536 (ARRAY<INT>): contexts are packed into one BIGINT, so no text is moved."""
+    if min(orders) < 2:
+        raise ValueError("an order is 2 at least")
+    n = max(orders)
+    column = F.col(ids)
+    moved = [column.alias("w0"), *[F.slice(column, i + 1, F.greatest(F.size(column), F.lit(1))).alias(f"w{i}") for i in range(1, n)]]
+    zipped = sequences.select(*keep, *moved).select(*keep, F.explode(F.arrays_zip(*[f"w{i}" for i in range(n)])).alias("z"))
+    row = zipped.select(*keep, *[F.col("z").getField(f"w{i}").alias(f"w{i}") for i in range(n)])
+    each = F.array(*[F.struct(F.lit(k).alias("ord"), packed(*[F.col(f"w{i}") for i in range(k - 1)]).alias("ctx"), F.col(f"w{k - 1}").alias("next")) for k in orders])
+    return row.select(*keep, F.inline(each)).where("next IS NOT NULL")
+
+
+def id_counts(sequences: DataFrame, ids: str = "ids", orders: tuple[int, ...] = ORDERS) -> DataFrame:
+    """ord, ctx (packed), next, cnt over token ids."""
+    return id_ngrams(sequences, ids, orders).groupBy("ord", "ctx", "next").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def ngrams(sequences: DataFrame, tokens: str = "tokens", orders: tuple[int, ...] = ORDERS, *keep: str) -> DataFrame:
     """ord, ctx, next of every position of every sequence (ARRAY<STRING>), beside the columns KEEP.
 
@@ -47,13 +66,12 @@ def sequences_of(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     return docs.select(*keep, pretokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
 
 
-def chunks(docs: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
-    """doc, chunk, tokens: the trimmed lines of a text, joined until there are CHUNK tokens.
+def chunked(docs: DataFrame, doc: str, lines: str) -> DataFrame:
+    """doc, chunk, tokens: the LINES of a document (an array of arrays of tokens of any kind), joined until there are CHUNK tokens.
 
-    A chunk ends with the line that fills it; the last is dropped under LEAST_TAIL tokens. The lines of one text are folded in order inside its row, so nothing is shuffled.
+    A chunk ends with the line that fills it; the last is dropped under LEAST_TAIL tokens. The lines of one document are folded in order inside its row, so nothing is shuffled.
     """
-    lines = F.filter(F.transform(F.split(F.col(text), "\n"), trimmed), lambda x: x != "")
-    rows = docs.select(F.col(doc_id).alias("doc"), F.transform(lines, pretokens).alias("lines")).where(F.size("lines") > 0)
+    rows = docs.select(F.col(doc).alias("doc"), F.col(lines).alias("lines")).where(F.size("lines") > 0)
     numbered = rows.select(
         "doc",
         "lines",
@@ -69,16 +87,37 @@ def chunks(docs: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
     return each.select("doc", "chunk", tokens.alias("tokens")).where(F.size("tokens") >= LEAST_TAIL)
 
 
+def trimmed_lines(text: Column) -> Column:
+    """The trimmed lines of a text that aren't blank."""
+    return F.filter(F.transform(F.split(text, "\n"), trimmed), lambda x: x != "")
+
+
+def chunks(docs: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
+    """doc, chunk, tokens: the pre-tokens of the trimmed lines of a text in chunks."""
+    return chunked(docs.select(doc_id, F.transform(trimmed_lines(F.col(text)), pretokens).alias("lines")), doc_id, "lines")
+
+
 def totals(table: DataFrame) -> DataFrame:
     return table.groupBy("ord", "ctx").agg(F.sum("cnt").alias("total"))
 
 
+def shares(table: DataFrame) -> DataFrame:
+    """ord, ctx, next, cnt, total, p: the share of each token after its context. The rows of the commonest contexts are joined where they are."""
+    per = totals(table)
+    return evenly(table, per, ["ord", "ctx"], F.col("total")).select("ord", "ctx", "next", "cnt", "total", (F.col("cnt") / F.col("total")).alias("p"))
+
+
 def mle(table: DataFrame, most: int | None = None) -> DataFrame:
-    """ord, ctx, next, prob, rank: the share of each token after its context; ties in order of the token. MOST keeps so many of each context."""
-    w = Window.partitionBy("ord", "ctx")
-    out = table.withColumn("prob", F.col("cnt") / F.sum("cnt").over(w))
-    out = out.withColumn("rank", F.row_number().over(w.orderBy(F.desc("cnt"), "next")))
-    return (out if most is None else out.where(F.col("rank") <= most)).select("ord", "ctx", "next", "prob", "rank")
+    """ord, ctx, next, prob, rank: the share of each token after its context; ties in order of the token. MOST keeps so many of each context.
+
+    With MOST each task keeps only its own best of a context before anything is shuffled, and totals come from a partial aggregate, so a context of any size is ranked from few rows.
+    """
+    ranked = table.withColumn("rank", F.row_number().over(Window.partitionBy("ord", "ctx").orderBy(F.desc("cnt"), "next")))
+    if most is None:
+        ranked = ranked.join(totals(table), ["ord", "ctx"])
+    else:
+        ranked = ranked.where(F.col("rank") <= most).join(totals(table), ["ord", "ctx"])
+    return ranked.select("ord", "ctx", "next", (F.col("cnt") / F.col("total")).alias("prob"), "rank")
 
 
 def best_next(table: DataFrame) -> DataFrame:
@@ -129,10 +168,11 @@ def scaled(table: DataFrame, factor: float) -> DataFrame:
 
 
 def difference(old: DataFrame, new: DataFrame) -> DataFrame:
-    """ord, ctx, next, old_cnt, new_cnt where the two differ; 0 where one has none."""
-    a, b = old.withColumnRenamed("cnt", "old_cnt"), new.withColumnRenamed("cnt", "new_cnt")
-    both = a.join(b, ["ord", "ctx", "next"], "full").select("ord", "ctx", "next", F.coalesce("old_cnt", F.lit(0)).alias("old_cnt"), F.coalesce("new_cnt", F.lit(0)).alias("new_cnt"))
-    return both.where("old_cnt <> new_cnt")
+    """ord, ctx, next, old_cnt, new_cnt where the two differ; 0 where one has none. One aggregate over both instead of a full join."""
+    sides = old.select("ord", "ctx", "next", F.col("cnt").alias("old_cnt"), F.lit(0).cast("long").alias("new_cnt")).unionByName(
+        new.select("ord", "ctx", "next", F.lit(0).cast("long").alias("old_cnt"), F.col("cnt").alias("new_cnt"))
+    )
+    return sides.groupBy("ord", "ctx", "next").agg(F.sum("old_cnt").alias("old_cnt"), F.sum("new_cnt").alias("new_cnt")).where("old_cnt <> new_cnt")
 
 
 def quantised(table: DataFrame, bits: int = 4) -> DataFrame:
@@ -141,12 +181,12 @@ def quantised(table: DataFrame, bits: int = 4) -> DataFrame:
 
 
 def pmi(table: DataFrame) -> DataFrame:
-    """ctx, next, pmi: how much oftener than by chance the token follows the one before, of bigrams."""
-    two = table.where("ord = 2")
+    """ctx, next, pmi: how much oftener than by chance the token follows the one before, of bigrams. Common contexts and tokens are joined by broadcast."""
+    two = table.where("ord = 2").select("ctx", "next", "cnt")
     left = two.groupBy("ctx").agg(F.sum("cnt").alias("l"))
     right = two.groupBy("next").agg(F.sum("cnt").alias("r"))
     total = two.agg(F.sum("cnt").alias("t"))
-    both = two.join(left, "ctx").join(right, "next").join(F.broadcast(total))
+    both = evenly(evenly(two, left, ["ctx"], F.col("l")), right, ["next"], F.col("r")).join(F.broadcast(total))
     return both.select("ctx", "next", "cnt", F.log2(F.col("cnt") * F.col("t") / (F.col("l") * F.col("r"))).alias("pmi"))
 
 
@@ -156,3 +196,13 @@ def packed(*tokens: Column) -> Column:
     for t in tokens:
         out = F.shiftleft(out, 16).bitwiseOR(t.cast("long"))
     return out
+
+
+def packed_array(ids: Column) -> Column:
+    """packed() of an array."""
+    return F.aggregate(ids, F.lit(0).cast("long"), lambda a, t: F.shiftleft(a, 16).bitwiseOR(t.cast("long")))
+
+
+def unpacked(ctx: Column, ord: Column) -> Column:
+    """The ids of a packed context of an order."""
+    return F.transform(F.sequence(ord - 2, F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftright", ctx, k * 16).bitwiseAND(F.lit(65535)).cast("int"))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SEPARATOR
-from ..session import persisted
-from .ngrams import ORDERS, WEIGHTS, best_next, totals
+from ..session import persisted, written
+from .ngrams import ORDERS, WEIGHTS, shares
 
 
 def suffix_contexts(queries: DataFrame, tokens: str = "tokens", orders: tuple[int, ...] = ORDERS) -> DataFrame:
@@ -22,14 +22,14 @@ def weight(order: Column, weights: dict[int, float] | None = None) -> Column:
     return F.create_map(*[F.lit(x) for pair in (weights or WEIGHTS).items() for x in pair])[order]
 
 
-def shares(table: DataFrame) -> DataFrame:
-    """ord, ctx, next, p: the share of each token after its context."""
-    return table.join(totals(table), ["ord", "ctx"]).select("ord", "ctx", "next", (F.col("cnt") / F.col("total")).alias("p"))
+#: Contexts up to this number are broadcast to the stored model and, up to the lower one, pushed down to its files as a list.
+FEW_CONTEXTS, LISTED_CONTEXTS = 1_000_000, 2_000
 
 
-def _mixed(queries: DataFrame, known: DataFrame, query_id: str, tokens: str) -> DataFrame:
+def _mixed(queries: DataFrame, known: DataFrame, query_id: str, tokens: str, few: bool = False) -> DataFrame:
     asked = suffix_contexts(queries.select(query_id, tokens), tokens)
-    return asked.join(known, ["ord", "ctx"]).groupBy(query_id, F.col("next").alias("token")).agg(F.sum(weight(F.col("ord")) * F.col("p")).alias("prob"))
+    found = known.join(F.broadcast(asked) if few else asked, ["ord", "ctx"])
+    return found.groupBy(query_id, F.col("next").alias("token")).agg(F.sum(weight(F.col("ord")) * F.col("p")).alias("prob"))
 
 
 def _ranked(mixed: DataFrame, query_id: str) -> DataFrame:
@@ -42,7 +42,7 @@ def interpolated(queries: DataFrame, table: DataFrame, query_id: str, tokens: st
     Weights are not scaled where an order has no context. Only contexts that are asked for are looked up, so the table is never ranked.
     """
     wanted = suffix_contexts(queries.select(query_id, tokens), tokens).select("ord", "ctx").distinct()
-    return _ranked(_mixed(queries, shares(table.join(wanted, ["ord", "ctx"], "left_semi")), query_id, tokens), query_id)
+    return _ranked(_mixed(queries, shares(persisted(table.join(wanted, ["ord", "ctx"], "left_semi"))), query_id, tokens), query_id)
 
 
 @dataclass(frozen=True)
@@ -96,14 +96,23 @@ def drawn(chosen: DataFrame, query_id: str, u: Column) -> DataFrame:
 def generate(prompts: DataFrame, table: DataFrame, steps: int, query_id: str, sampler: Sampler | None = None, seed: int = 42, stop: str | None = None, recent: int = 20) -> DataFrame:
     """query_id, tokens, generated: all prompts go on together, one token a step, until STEPS, no prediction or the stop token.
 
-    Contexts are the last 4 tokens; the penalty looks at the last RECENT. Each step is one look-up join over all prompts; the state is written to the shared checkpoint folder, so plans don't grow.
+    Contexts are the last 4 tokens; the penalty looks at the last RECENT. Shares are stored once in order of their contexts. A step broadcasts the contexts it asks for where FEW_CONTEXTS bounds them,
+    so the model isn't shuffled, and where they are few enough for a list reads only the parts of the files that can hold them. The state is written to the shared checkpoint folder, so plans don't grow.
     """
     sampler = sampler or Sampler()
-    known = persisted(shares(table))
+    known = written(shares(table).select("ord", "ctx", "next", "p").repartitionByRange("ord", "ctx").sortWithinPartitions("ord", "ctx"))
+    asks = prompts.count() * len(ORDERS)
+    few = asks <= FEW_CONTEXTS
     state = prompts.select(query_id, "tokens", F.array().cast("array<string>").alias("generated"), F.lit(False).alias("done"))
     for step in range(steps):
         live = state.where("NOT done")
-        mixed = _mixed(live, known, query_id, "tokens")
+        held = known
+        if asks <= LISTED_CONTEXTS:
+            wanted = [r["ctx"] for r in suffix_contexts(live.select(query_id, "tokens")).select("ctx").distinct().collect()]
+            if not wanted:
+                break
+            held = known.where(F.col("ctx").isin(wanted))
+        mixed = _mixed(live, held, query_id, "tokens", few)
         if sampler.greedy:
             chosen = mixed.groupBy(query_id).agg(F.min(F.struct((-F.round("prob", 12)).alias("less"), "token"))["token"].alias("token"))
         else:
@@ -139,7 +148,3 @@ def greedy_chain(prompts: DataFrame, table: DataFrame, steps: int, query_id: str
     cut = out.withColumn("n", repeats).select(query_id, F.when(F.col("n").isNotNull(), F.expr("slice(generated, 1, n - 4)")).otherwise(F.col("generated")).alias("generated"))
     return prompts.select(query_id).join(cut, query_id, "left").select(query_id, F.coalesce("generated", F.array().cast("array<string>")).alias("generated"))
 
-
-def continuation(table: DataFrame) -> DataFrame:
-    """ord, ctx, next: the greedy continuation of every context, for look-up."""
-    return best_next(table)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -126,63 +124,40 @@ def evict_budget(spark: SparkSession, d: str) -> DataFrame:
     return ngrams.evict(persisted(_counts(spark, d)), 20_000)
 
 
-def _half(spark: SparkSession, d: str, code: bool, orders: tuple[int, ...] = (2, 3)) -> DataFrame:
-    """The counts of one half; orders 2 and 3 are those of the SQL, the queries named all_orders_ count 2 to 5."""
+def _half(spark: SparkSession, d: str, code: bool) -> DataFrame:
     own = F.col("source").startswith("code_") | F.col("source").startswith("personal_")
-    return ngrams.counts(ngrams.sequences_of(_docs(spark, d).where(own if code else ~own)), orders=orders)
+    return ngrams.counts(ngrams.sequences_of(_docs(spark, d).where(own if code else ~own)))
 
 
 _HALVES = (
     f"WITH {_DOCS}, {_POS}, {_LAG}, src AS (SELECT doc_id, source LIKE 'code\\_%' ESCAPE '\\' OR source LIKE 'personal\\_%' ESCAPE '\\' AS code FROM docs), grams AS ("
-    + " UNION ALL ".join(f"SELECT code, {k} AS ord, {_CTX[k]} AS ctx, w0 AS next FROM lagged JOIN src USING (doc_id) WHERE w{k - 1} IS NOT NULL" for k in (2, 3))
-    + "), halves AS (SELECT code, ord, ctx, next, count(*)::BIGINT AS cnt FROM grams WHERE code IS NOT NULL GROUP BY ALL)"
+    + " UNION ALL ".join(f"SELECT code, {k} AS ord, {_CTX[k]} AS ctx, w0 AS next FROM lagged JOIN src USING (doc_id) WHERE w{k - 1} IS NOT NULL" for k in _CTX)
+    + "), sides AS (SELECT ord, ctx, next, count(*) FILTER (WHERE code)::BIGINT AS o, count(*) FILTER (WHERE NOT code)::BIGINT AS n FROM grams WHERE code IS NOT NULL GROUP BY ALL)"
 )
 
 
-@_query(_HALVES + " SELECT ord, ctx, next, sum(cnt)::BIGINT AS cnt FROM halves GROUP BY ALL")
+@_query(_HALVES + " SELECT ord, ctx, next, o + n AS cnt FROM sides")
 def merge_models(spark: SparkSession, d: str) -> DataFrame:
     return ngrams.merged(_half(spark, d, True), _half(spark, d, False))
 
 
-@_query(
-    _HALVES
-    + """, o AS (SELECT * FROM halves WHERE code), n AS (SELECT * FROM halves WHERE NOT code)
-        SELECT ord, ctx, next, coalesce(o.cnt, 0)::BIGINT AS old_cnt, coalesce(n.cnt, 0)::BIGINT AS new_cnt FROM o FULL JOIN n USING (ord, ctx, next) WHERE coalesce(o.cnt, 0) <> coalesce(n.cnt, 0)"""
-)
+@_query(_HALVES + " SELECT ord, ctx, next, o AS old_cnt, n AS new_cnt FROM sides WHERE o <> n")
 def model_diff(spark: SparkSession, d: str) -> DataFrame:
     return ngrams.difference(_half(spark, d, True), _half(spark, d, False))
 
 
-@_query(_HALVES + " SELECT ord, ctx, next, cnt * 3 AS cnt FROM halves WHERE code")
+@_query(_HALVES + " SELECT ord, ctx, next, o * 3 AS cnt FROM sides WHERE o > 0")
 def epoch_scaled_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Three epochs over the code phase."""
     return ngrams.scaled(_half(spark, d, True), 3)
 
 
-@_query(_HALVES + " SELECT ord, ctx, next, floor(cnt * 0.5)::BIGINT AS cnt FROM halves WHERE code AND floor(cnt * 0.5) > 0")
+@_query(_HALVES + " SELECT ord, ctx, next, floor(o * 0.5)::BIGINT AS cnt FROM sides WHERE floor(o * 0.5) > 0")
 def decayed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of the code phase at half their weight."""
     return ngrams.scaled(_half(spark, d, True), 0.5)
 
 
-@_query()
-def all_orders_merge_models(spark: SparkSession, d: str) -> DataFrame:
-    return ngrams.merged(_half(spark, d, True, ngrams.ORDERS), _half(spark, d, False, ngrams.ORDERS))
-
-
-@_query()
-def all_orders_model_diff(spark: SparkSession, d: str) -> DataFrame:
-    return ngrams.difference(_half(spark, d, True, ngrams.ORDERS), _half(spark, d, False, ngrams.ORDERS))
-
-
-@_query()
-def all_orders_epoch_scaled_counts(spark: SparkSession, d: str) -> DataFrame:
-    return ngrams.scaled(_half(spark, d, True, ngrams.ORDERS), 3)
-
-
-@_query()
-def all_orders_decayed_counts(spark: SparkSession, d: str) -> DataFrame:
-    return ngrams.scaled(_half(spark, d, True, ngrams.ORDERS), 0.5)
-
-
 @_query(f"WITH {_COUNTS} SELECT ord, least(floor(log2(cnt)), 15)::BIGINT AS bucket, count(*)::BIGINT AS associations FROM counts GROUP BY ALL")
 def quantised_counts(spark: SparkSession, d: str) -> DataFrame:
     return ngrams.quantised(_counts(spark, d)).groupBy("ord", F.col("bucket").cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("associations"))
@@ -227,7 +202,7 @@ def greedy_next(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _prompts(spark: SparkSession, d: str) -> DataFrame:
-    """The held-out prompts as pre-tokens, at most their first 40: a generation goes on from the start of an item."""
+    """The held-out prompts as pre-tokens."""
     items = table(spark, d, "generation_sample").where("prompt IS NOT NULL AND prompt <> ''")
     return items.select("sample_id", tx.pretokens(F.col("prompt")).alias("tokens"))
 
@@ -283,9 +258,20 @@ def sampled_draw(spark: SparkSession, d: str) -> DataFrame:
     return predict.drawn(_adjusted(spark, d), "sample_id", u)
 
 
-@_query()
+_GREEDY = (
+    f"{_COUNTS}, {_PROMPTS}, shares AS MATERIALIZED (SELECT ord, ctx, next, CASE ord WHEN 2 THEN 0.05::DOUBLE WHEN 3 THEN 0.15::DOUBLE WHEN 4 THEN 0.30::DOUBLE ELSE 0.50::DOUBLE END * (cnt / sum(cnt) OVER (PARTITION BY ord, ctx)) AS p FROM counts), "
+    "gen(sample_id, t, k) AS (SELECT sample_id, t, 0 FROM prompts WHERE len(t) >= 2 UNION ALL SELECT g.sample_id, list_append(g.t, b.token), g.k + 1 FROM gen g JOIN (SELECT sample_id, token FROM ("
+    "SELECT sample_id, token, row_number() OVER (PARTITION BY sample_id ORDER BY round(p, 12) DESC, token) AS r FROM (SELECT a.sample_id, s.next AS token, sum(s.p) AS p "
+    "FROM (SELECT sample_id, o AS ord, array_to_string(t[len(t) - o + 2:], chr(31)) AS ctx FROM gen, (SELECT unnest([2, 3, 4, 5]) AS o) WHERE len(t) >= o - 1) a JOIN shares s USING (ord, ctx) GROUP BY ALL)) WHERE r = 1) b USING (sample_id) WHERE g.k < 30), "
+    "done AS (SELECT sample_id, arg_max(t, k) AS t, max(k) AS k FROM gen GROUP BY sample_id), made AS (SELECT sample_id, t[len(t) - k + 1:] AS g FROM done), "
+    "cut AS (SELECT sample_id, g, list_min(list_filter(generate_series(8, len(g)), lambda n: g[n - 3:n] = g[n - 7:n - 4])) AS n FROM made), "
+    "fin AS (SELECT sample_id, CASE WHEN n IS NULL THEN g ELSE g[1:n - 4] END AS g FROM cut)"
+)
+
+
+@_query(f"WITH RECURSIVE {_GREEDY} SELECT sample_id, coalesce(array_to_string(g, ''), '') AS generated, coalesce(len(g), 0)::BIGINT AS n_tokens FROM prompts LEFT JOIN fin USING (sample_id)")
 def greedy_generation(spark: SparkSession, d: str) -> DataFrame:
-    """Thirty tokens from each prompt, as the reference's evaluation generates; checked against a plain loop in the tests."""
+    """Thirty tokens from each prompt, as the reference's evaluation generates."""
     out = predict.greedy_chain(_prompts(spark, d), persisted(_counts(spark, d)), 30, "sample_id")
     return out.select("sample_id", F.array_join("generated", "").alias("generated"), F.size("generated").cast("long").alias("n_tokens"))
 
@@ -335,8 +321,7 @@ def convergence_flags(spark: SparkSession, d: str) -> DataFrame:
 # ---- byte-pair encoding
 
 _PAIRS = f"{_DOCS}, words AS (SELECT w, count(*) AS c FROM (SELECT unnest(ws) AS w FROM docs) GROUP BY w), syms AS (SELECT c, regexp_split_to_array(w, '') AS s FROM words)"
-#: The merges that the recursive SQL repeats; the queries beside them named bpe_full_ merge up to VOCABULARY, the reference's target.
-MERGES = 20
+#: The vocabulary that merging aims at, as the reference's default.
 VOCABULARY = 22_000
 
 
@@ -345,72 +330,83 @@ def bpe_pair_counts(spark: SparkSession, d: str) -> DataFrame:
     return bpe.pair_counts(bpe.word_freqs(_docs(spark, d)))
 
 
-_BPE = f"""{_PAIRS}, bpe(k, w, syms, c, l, r, pc) AS (
-  SELECT 0, w, regexp_split_to_array(w, ''), c, NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT FROM words
-  UNION ALL
-  SELECT k + 1, w, list_transform(list_filter(string_split(replace(chr(1) || array_to_string(syms, chr(2) || chr(1)) || chr(2), chr(1) || bl || chr(2) || chr(1) || br || chr(2), chr(1) || bl || br || chr(2)), chr(1)),
-    lambda x: x <> ''), lambda x: replace(x, chr(2), '')), c, bl, br, bc
-  FROM bpe, (SELECT p[1] AS bl, p[2] AS br, sum(c)::BIGINT AS bc FROM (SELECT unnest(list_transform(range(1, len(syms)), lambda i: [syms[i], syms[i + 1]])) AS p, c FROM bpe) GROUP BY p ORDER BY bc DESC, bl, br LIMIT 1) best
-  WHERE k < {MERGES})"""
+def _merges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    freqs = persisted(bpe.word_freqs(_docs(spark, d)))
+    return freqs, persisted(bpe.learn_merges(freqs, target_vocab=VOCABULARY))
 
 
-def _merges(spark: SparkSession, d: str, full: bool = False) -> tuple[DataFrame, DataFrame]:
-    freqs = persisted(bpe.word_freqs(_docs(spark, d)))
-    return freqs, bpe.learn_merges(freqs, target_vocab=VOCABULARY) if full else bpe.learn_merges(freqs, MERGES)
+def _encoded_lines(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, source, lines: the ids of the trimmed lines of each document, as training reads them."""
+    freqs, merges = _merges(spark, d)
+    lines = F.transform(ngrams.trimmed_lines(F.col("text")), tx.pretokens)
+    return persisted(_docs(spark, d).select("doc_id", "source", bpe.id_encoder(merges, bpe.vocabulary(freqs, merges))(lines).alias("lines")))
 
 
-def _ranked_merges(merges: DataFrame) -> DataFrame:
-    return merges.select(F.col("rank").cast("long").alias("rank"), "l", "r", "merged", "n")
+@_query()
+def bpe_merges(spark: SparkSession, d: str) -> DataFrame:
+    """Merges until the vocabulary target or no pair is left; checked against a plain loop in the tests, like what follows from them."""
+    return _merges(spark, d)[1].select(F.col("rank").cast("long").alias("rank"), "l", "r", "merged", "n")
 
 
-def _word_pieces(freqs: DataFrame, merges: DataFrame) -> DataFrame:
+@_query()
+def bpe_encode_words(spark: SparkSession, d: str) -> DataFrame:
+    freqs, merges = _merges(spark, d)
     return bpe.encode_words(freqs.select("word"), merges).select("word", F.array_join("pieces", " + ").alias("pieces"))
 
 
-def _doc_tokens(docs: DataFrame, freqs: DataFrame, merges: DataFrame) -> DataFrame:
-    pieces = bpe.encode_words(freqs.select("word"), merges).select("word", F.size("pieces").cast("long").alias("n"))
-    per_doc = tx.words(docs, "doc_id").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("c"))
-    return per_doc.join(pieces, "word").groupBy("doc_id").agg(F.sum(F.col("c") * F.col("n")).alias("n_tokens"))
+@_query()
+def bpe_doc_tokens(spark: SparkSession, d: str) -> DataFrame:
+    freqs, merges = _merges(spark, d)
+    pieces = bpe.encoder(merges, bpe.vocabulary(freqs, merges))
+    return _docs(spark, d).select("doc_id", F.size(pieces(tx.pretokens(F.col("text")))).cast("long").alias("n_tokens"))
 
 
-@_query(f"WITH RECURSIVE {_BPE} SELECT DISTINCT k::BIGINT AS rank, l, r, l || r AS merged, pc AS n FROM bpe WHERE k > 0")
-def bpe_merges(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked_merges(_merges(spark, d)[1])
+@_query()
+def bpe_doc_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of every document."""
+    freqs, merges = _merges(spark, d)
+    pieces = bpe.encoder(merges, bpe.vocabulary(freqs, merges))
+    return _docs(spark, d).select("doc_id", pieces(tx.pretokens(F.col("text")))["token_id"].alias("ids"))
 
 
 @_query()
-def bpe_full_merges(spark: SparkSession, d: str) -> DataFrame:
-    """Merges until the vocabulary target or no pair is left; checked against a plain loop in the tests."""
-    return _ranked_merges(_merges(spark, d, full=True)[1])
+def bpe_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.vocabulary(*_merges(spark, d)).select(F.col("token_id").cast("long").alias("token_id"), "token")
 
 
-@_query(f"WITH RECURSIVE {_BPE} SELECT w AS word, array_to_string(syms, ' + ') AS pieces FROM bpe WHERE k = {MERGES}")
-def bpe_encode_words(spark: SparkSession, d: str) -> DataFrame:
-    return _word_pieces(*_merges(spark, d))
+@_query()
+def id_chunk_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of 512 ids that training counts over."""
+    chunks = ngrams.chunked(_encoded_lines(spark, d), "doc_id", "lines")
+    return chunks.select("doc", F.col("chunk").cast("long").alias("chunk"), F.size("tokens").cast("long").alias("n_tokens"))
 
 
-@_query()
-def bpe_full_encode_words(spark: SparkSession, d: str) -> DataFrame:
-    return _word_pieces(*_merges(spark, d, full=True))
+def _id_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ngrams.id_counts(ngrams.chunked(_encoded_lines(spark, d), "doc_id", "lines"), "tokens")
 
 
-@_query(f"WITH RECURSIVE {_BPE}, enc AS (SELECT w, len(syms) AS n FROM bpe WHERE k = {MERGES}) SELECT doc_id, sum(n)::BIGINT AS n_tokens FROM (SELECT doc_id, unnest(ws) AS w FROM docs) JOIN enc USING (w) GROUP BY doc_id")
-def bpe_doc_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return _doc_tokens(_docs(spark, d), *_merges(spark, d))
+@_query()
+def id_ngram_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The count table over token ids, as a trained model holds it."""
+    return _id_counts(spark, d).select("ord", F.transform(ngrams.unpacked(F.col("ctx"), F.col("ord")), lambda x: x.cast("string")).alias("ctx"), "next", "cnt").withColumn("ctx", F.array_join("ctx", " "))
 
 
 @_query()
-def bpe_full_doc_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return _doc_tokens(_docs(spark, d), *_merges(spark, d, full=True))
+def id_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    """Perplexity and coverage of the held-out prompts by that table."""
+    freqs, merges = _merges(spark, d)
+    pieces = bpe.encoder(merges, bpe.vocabulary(freqs, merges))
+    tests = _prompts(spark, d).select("sample_id", pieces(F.col("tokens"))["token_id"].alias("ids"))
+    out = evaluate.scores(persisted(tests), persisted(_id_counts(spark, d)), "sample_id", "ids", ids=True)
+    return out.select("sample_id", F.round("perplexity", 3).alias("perplexity"), _six("coverage").alias("coverage"))
 
 
 @_query("SELECT doc_id, true AS same FROM documents WHERE text IS NOT NULL AND text <> ''")
 def bpe_decode_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    freqs, merges = _merges(spark, d, full=True)
-    vocab = bpe.vocabulary(freqs, merges)
-    docs = _docs(spark, d)
-    back = bpe.decode(bpe.encode(docs, "doc_id", merges, vocab), "doc_id", vocab).withColumnRenamed("text", "back")
-    return docs.join(back, "doc_id", "left").select("doc_id", F.coalesce(F.col("back") == F.col("text"), F.lit(False)).alias("same"))
+    freqs, merges = _merges(spark, d)
+    vocab = persisted(bpe.vocabulary(freqs, merges))
+    ids = bpe.encoder(merges, vocab)(tx.pretokens(F.col("text")))["token_id"]
+    return _docs(spark, d).select("doc_id", (bpe.decoded(ids, vocab) == F.col("text")).alias("same"))
 
 
 @_query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{t}')" for i, t in enumerate(bpe.SPECIALS)) + ") v(token_id, token)")
@@ -647,7 +643,7 @@ def progress_monitor(spark: SparkSession, d: str) -> DataFrame:
 # ---- streaming
 
 
-def _streamed(spark: SparkSession, d: str, orders: tuple[int, ...]) -> DataFrame:
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     out = f"{root}/stream-{spark._jvm.java.util.UUID.randomUUID()}"
@@ -658,19 +654,14 @@ def _streamed(spark: SparkSession, d: str, orders: tuple[int, ...]) -> DataFrame
     folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
     docs = reader.option("pathGlobFilter", "*.parquet").parquet(f"{d}/documents.parquet") if folder else reader.option("pathGlobFilter", "documents.parquet").parquet(d)
-    streaming.count_stream(docs.where("text IS NOT NULL AND text <> ''"), f"{out}/counts", f"{out}/log", orders=orders).start().awaitTermination()
+    streaming.count_stream(docs.where("text IS NOT NULL AND text <> ''"), f"{out}/counts", f"{out}/log").start().awaitTermination()
     return streaming.counted(spark, f"{out}/counts")
 
 
-@_query(f"WITH {_COUNTS} SELECT * FROM counts WHERE ord <= 3")
+@_query(f"WITH {_COUNTS} SELECT * FROM counts")
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts gathered by a stream over the files of documents, equal to those of one batch."""
-    return _streamed(spark, d, (2, 3))
-
-
-@_query(f"WITH {_COUNTS} SELECT * FROM counts")
-def all_orders_stream_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _streamed(spark, d, ngrams.ORDERS)
+    return _streamed(spark, d)
 
 
 @_query("SELECT date_trunc('hour', ts) AS win_start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL")

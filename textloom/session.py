@@ -57,18 +57,50 @@ def persisted(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """DF as a Parquet table in the shared checkpoint folder: like persisted(), but later reads take only the columns and partitions they need. remove_written() deletes such tables."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4()}"
+    path = shared_path(spark, f"table-{uuid.uuid4()}")
     _written.append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
+
+
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def store_bytes(spark: SparkSession, path: str, raw: bytes, part: int = 4 << 20) -> None:
+    """RAW as one file, put in place by a rename, so that no reader sees half of it; a file that is there already stays."""
+    fs, beside = _file_system(spark, f"{path}.{uuid.uuid4()}")
+    stream = fs.create(beside)
+    for at in range(0, len(raw), part):
+        stream.write(bytearray(raw[at : at + part]))
+    stream.close()
+    if not fs.rename(beside, _file_system(spark, path)[1]):
+        fs.delete(beside, False)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """The content of a file; None where there is none."""
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    raw = bytes(stream.readAllBytes())
+    stream.close()
+    return raw
+
+
 def remove_written(spark: SparkSession) -> None:
     """Delete the tables that written() made in this session, once the results that read them are stored. Checkpoints are deleted by Spark itself where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     while _written:
-        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        fs, at = _file_system(spark, _written.pop())
+        fs.delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
