@@ -144,14 +144,17 @@ def test_token_budget(spark):
     path = f"{DEFAULT_FOLDER}/byte_bpe_50k.json"
     counted = token_budget.snippet_tokens(snippets, aliases, path)
     assert {(r["id"], r["source"], r["language"], r["phase"], r["n_tokens"]) for r in counted.collect()} == {
-        ("a", "x", "twi", "ashanti twi", 2), ("b", "(none)", "(none)", "(none)", 0), ("c", "x", "twi", "ashanti twi", 1), (None, "y", "(none)", "english", 1)
+        ("a", "x/part.txt", "twi", "ashanti twi", 2), ("b", "(none)", "(none)", "(none)", 0), ("c", "x/other.txt", "twi", "ashanti twi", 1), (None, "y", "(none)", "english", 1)
     }
     reports = spark.createDataFrame([("r1", "Ashanti Twi", 5), ("r1", "ashanti twi 🇬🇭", 9), ("r1", "Ashanti Twi", 0), ("r2", "Ashanti Twi", 4), ("r2", None, None)], "run_id string, name string, tokens_trained long")
     trained = {r["phase"]: r["tokens_trained"] for r in token_budget.tokens_trained(reports).collect()}
     assert trained == {"ashanti twi": 13, "(none)": 0}
     cube = token_budget.token_cube(counted, token_budget.tokens_trained(reports))
     by = {(r["source"], r["language"], r["phase"]): (r["n_snippets"], r["n_tokens"], r["tokens_trained"]) for r in cube.collect()}
-    assert by["(all)", "(all)", "(all)"] == (5, 5, None) and by["(all)", "(all)", "ashanti twi"] == (2, 3, 13) and by["x", "twi", "(all)"] == (2, 3, None)
+    assert by["(all)", "(all)", "(all)"] == (5, 5, None) and by["(all)", "(all)", "ashanti twi"] == (2, 3, 13) and by["x/*", "twi", "(all)"] == (2, 3, None) and by["x/part.txt", "(all)", "ashanti twi"] == (1, 2, None)
+    assert ("(none)/*", "(all)", "(all)") not in by and by["y", "(all)", "(all)"] == (2, 2, None)
+    with pytest.raises(ValueError, match="no configuration"):
+        token_budget.snippet_tokens(snippets, spark.range(100_001).selectExpr("CAST(id AS STRING) AS alias", "'x' AS lang"), path)
     assert token_budget.snippet_tokens(snippets.limit(0), aliases, path).count() == 0
 
 

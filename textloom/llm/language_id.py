@@ -7,7 +7,6 @@ import io
 import pickle
 import re
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,11 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, table
-from .common import spread
+from ..session import shared_path, store_bytes, stored_bytes, table
+from .common import spellings, spread
 
-#: About so many labelled rows of each language are read for training; this bounds the sample, whatever the size of the table.
-ROWS_PER_LANGUAGE = 2000
+#: About so many labelled values of each language are read for training; this bounds the sample, whatever the size of the table.
+ROWS_PER_LANGUAGE = 4000
 #: Longer values are no part of the sample, so that it is bounded in bytes too.
 SAMPLE_CHARS = 4000
 #: Segments of each language that training sees, repeated up to the lower number where there are fewer.
@@ -302,7 +301,7 @@ def training_sample(values: DataFrame) -> tuple[list[str], list[str]]:
     counts = {r["label"]: r["n"] for r in values.where("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], []
-    shares = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * ROWS_PER_LANGUAGE / n)))])
+    shares = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, ROWS_PER_LANGUAGE / n)))])
     draw = F.pmod(F.xxhash64("id", "field_name"), F.lit(1_000_000)) / 1_000_000
     rows = values.where(F.col("label").isNotNull() & (draw < shares[F.col("label")]) & (F.char_length("text") <= SAMPLE_CHARS)).select("id", "field_name", "text", "label").collect()
     rows.sort(key=lambda r: (r["id"], r["field_name"], r["text"]))
@@ -311,23 +310,13 @@ def training_sample(values: DataFrame) -> tuple[list[str], list[str]]:
 
 def fitted(spark: SparkSession, texts: list[str], labels: list[str]) -> ByteConvolution:
     """The network for a sample: trained once and kept in the shared checkpoint folder under a digest of the sample, where later queries over the same labelled rows find it."""
-    ensure_checkpoint_dir(spark)
     digest = hashlib.sha256(pickle.dumps((texts, labels, SOURCE))).hexdigest()
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/language-network-{digest}")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(at):
-        stream = fs.open(at)
-        raw = bytes(stream.readAllBytes())
-        stream.close()
+    path = shared_path(spark, f"language-network-{digest}")
+    raw = stored_bytes(spark, path)
+    if raw is not None:
         return ByteConvolution.from_bytes(raw)
     network = trained(texts, labels)
-    part = jvm.org.apache.hadoop.fs.Path(f"{at.toString()}.{uuid.uuid4()}")
-    stream = fs.create(part)
-    stream.write(bytearray(network.to_bytes()))
-    stream.close()
-    if not fs.rename(part, at):  # another query was first
-        fs.delete(part, False)
+    store_bytes(spark, path, network.to_bytes())
     return network
 
 
@@ -336,7 +325,7 @@ def identified(rows: DataFrame, id_column: str, fields: list[str], lang_column:
 
     Null, empty and word-less values have none. Rows delivered again give their segments again. MAIN is the main language of the value.
     """
-    known = {r["alias"]: r["lang"] for r in aliases.select("alias", "lang").distinct().collect() if r["alias"] is not None and r["lang"] is not None}
+    known = spellings(aliases)
     if not known:
         raise ValueError("no language has a label")
     values = rows.select(

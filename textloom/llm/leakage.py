@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import functools
-import os
+import pickle
 import re
+import struct
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import shared_path, store_bytes, table
 from .common import spread
 
 #: Successive words that make a passage.
@@ -89,18 +90,24 @@ class WuManber:
         self.letters = np.frombuffer(b" ".join(spelled), np.uint8)
         self.places = np.concatenate([[0], np.cumsum(np.concatenate(sizes).astype(np.int64) + 1)])
 
-    def save(self, folder: str) -> None:
-        for name in self.PARTS:
-            np.save(f"{folder}/{name}.npy", getattr(self, name))
-        pd.Series(self.ids).to_pickle(f"{folder}/ids.pickle")
+    def to_bytes(self) -> bytes:
+        """A description, then the arrays, each at a multiple of 64 bytes."""
+        arrays = [np.ascontiguousarray(getattr(self, name)) for name in self.PARTS]
+        places = np.concatenate([[0], np.cumsum([-(-a.nbytes // 64) * 64 for a in arrays])]).tolist()
+        described = pickle.dumps((self.ids, self.length, self.bits, [(a.dtype.str, a.size, at) for a, at in zip(arrays, places)]))
+        head = struct.pack("<Q", len(described)) + described
+        return b"".join([head.ljust(-(-len(head) // 64) * 64, b"\0"), *[a.tobytes().ljust(-(-a.nbytes // 64) * 64, b"\0") for a in arrays]])
 
     @classmethod
-    def load(cls, folder: str) -> WuManber:
+    def load(cls, path: str) -> WuManber:
         out = cls.__new__(cls)
-        for name in cls.PARTS:
-            setattr(out, name, np.load(f"{folder}/{name}.npy", mmap_mode="r"))
-        out.ids, out.length = list(pd.read_pickle(f"{folder}/ids.pickle")), WORDS
-        out.bits = len(out.shift).bit_length() - 1
+        with open(path, "rb") as f:
+            (size,) = struct.unpack("<Q", f.read(8))
+            out.ids, out.length, out.bits, arrays = pickle.loads(f.read(size))
+        begin = -(-(8 + size) // 64) * 64
+        held = np.memmap(path, np.uint8, "r")
+        for name, (kind, n, at) in zip(cls.PARTS, arrays):
+            setattr(out, name, np.asarray(held[begin + at : begin + at + n * np.dtype(kind).itemsize]).view(kind))
         return out
 
     def found(self, text: str | None) -> set[int]:
@@ -155,12 +162,11 @@ def _searcher(name: str) -> WuManber:
 
 
 def _shipped(spark: SparkSession, matcher: WuManber) -> str:
-    """The name under which every machine finds MATCHER: written once, sent once to each executor, and mapped by all its processes."""
+    """The name under which every machine finds MATCHER: written once to the shared folder, fetched once by each executor, and mapped by all its processes."""
     name = f"searcher-{uuid.uuid4()}"
-    folder = os.path.join(pyspark.SparkFiles.getRootDirectory(), f"made-{name}", name)
-    os.makedirs(folder)
-    matcher.save(folder)
-    spark.sparkContext.addFile(folder, recursive=True)
+    path = shared_path(spark, name)
+    store_bytes(spark, path, matcher.to_bytes())
+    spark.sparkContext.addFile(path)
     return name
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.joins import evenly
 from ..session import persisted, table
 from .common import spread
 
@@ -289,11 +290,8 @@ def profiles(files: DataFrame, id_column: str, text_column: str, keep: list[str]
 
 
 def joined_evenly(rows: DataFrame, groups: DataFrame, key: str, size: Column) -> DataFrame:
-    """ROWS with the columns of GROUPS (one row for each key, which counts SIZE rows): groups that hold a large share are broadcast, so no task gathers one."""
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    hot = size >= max(2, total * HOT_SHARE)
-    cold = rows.join(groups.where(~hot), key)
-    return rows.join(F.broadcast(groups.where(hot)), key).unionByName(cold)
+    """ROWS with the columns of GROUPS (one row for each key, which counts SIZE rows): rows of groups that hold a large share are joined where they are, so no task gathers one."""
+    return evenly(rows, groups, [key], size, HOT_SHARE)
 
 
 def _similarity(a: str, b: str) -> Column:

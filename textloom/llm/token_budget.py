@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import persisted, table
-from .common import label, spread
+from .common import label, spellings, spread
 from .encode import token_count
 from .tokenizers import DEFAULT_FOLDER
 
@@ -19,10 +19,9 @@ def phase(column: Column) -> Column:
     return label(F.regexp_replace(F.regexp_replace(column, r"[^\p{L}\p{N}() _-]", ""), " +", " "))
 
 
-def source_folder(column: Column) -> Column:
-    """The folder of a file path, whatever its separators, letter case and leading "./"; the path itself where it has no folder."""
-    path = F.regexp_replace(F.regexp_replace(F.lower(F.trim(column)), r"[\\/]+", "/"), r"^(\./)+", "")
-    return label(F.regexp_replace(path, r"/[^/]*$", ""))
+def source_path(column: Column) -> Column:
+    """A file path, whatever its separators, letter case and leading "./"."""
+    return label(F.regexp_replace(F.regexp_replace(F.lower(F.trim(column)), r"[\\/]+", "/"), r"^(\./)+", ""))
 
 
 def snippet_tokens(snippets: DataFrame, aliases: DataFrame, vocabulary: str) -> DataFrame:
@@ -31,7 +30,7 @@ def snippet_tokens(snippets: DataFrame, aliases: DataFrame, vocabulary: str) ->
     Rows delivered again under the same id count once (of rows that differ, the one stored last, then the greatest content). A null or empty content has 0 tokens; a null
     source, language or phase is "(none)". Rows without an id are kept, one for each different content.
     """
-    alias = {row["alias"]: row["lang"] for row in aliases.select("alias", "lang").limit(10_000).collect()} | CODE_ALIASES
+    alias = spellings(aliases) | CODE_ALIASES
     names = F.create_map(*[F.lit(x) for pair in alias.items() for x in pair])
     language = label(F.col("language"))
     order = F.struct(F.col("stored_at").isNotNull(), "stored_at", F.coalesce("content", F.lit("")), F.coalesce("source", F.lit("")))
@@ -42,7 +41,7 @@ def snippet_tokens(snippets: DataFrame, aliases: DataFrame, vocabulary: str) ->
     rows = spread(once.select("id", "row.*"))
     return rows.select(
         "id",
-        source_folder(F.col("source")).alias("source"),
+        source_path(F.col("source")).alias("source"),
         F.coalesce(names[language], language).alias("language"),
         phase(F.col("phase_name")).alias("phase"),
         token_count(F.col("content"), vocabulary).alias("n_tokens"),
@@ -58,15 +57,18 @@ def tokens_trained(progress: DataFrame) -> DataFrame:
 def token_cube(counted: DataFrame, trained: DataFrame) -> DataFrame:
     """source, language, phase ("(all)" where summed over), n_snippets, n_tokens of every slice; tokens_trained where the slice is a phase alone, null elsewhere.
 
-    A phase that was trained but has no snippet is a slice of 0 snippets and 0 tokens.
+    The slices by source come once for each file path and once for each folder, whose source is the folder with "/*". A phase that was trained but has no snippet is a slice of 0 snippets and 0 tokens.
     """
-    cube = counted.cube("source", "language", "phase").agg(
-        F.count(F.lit(1)).alias("n_snippets"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.grouping_id().alias("summed"),
-    )
-    names = [F.when(F.col("summed").bitwiseAND(bit) != 0, F.lit("(all)")).otherwise(F.col(c)).alias(c) for c, bit in (("source", 4), ("language", 2), ("phase", 1))]
-    slices = cube.select(*names, "n_snippets", "n_tokens", (F.col("summed") == 6).alias("by_phase"))
+    per_path = counted.groupBy("source", "language", "phase").agg(F.count(F.lit(1)).alias("n_snippets"), F.sum("n_tokens").alias("n_tokens"))  # what both cubes sum, counted before they multiply rows
+    folder = F.when(F.contains("source", F.lit("/")), F.regexp_replace("source", "/[^/]*$", "/*"))
+
+    def cube(rows: DataFrame) -> DataFrame:
+        sums = rows.cube("source", "language", "phase").agg(F.sum("n_snippets").alias("n_snippets"), F.sum("n_tokens").alias("n_tokens"), F.grouping_id().alias("summed"))
+        names = [F.when(F.col("summed").bitwiseAND(bit) != 0, F.lit("(all)")).otherwise(F.col(c)).alias(c) for c, bit in (("source", 4), ("language", 2), ("phase", 1))]
+        return sums.select(*names, "n_snippets", "n_tokens", "summed")
+
+    by_folder = cube(per_path.withColumn("source", folder).where("source IS NOT NULL")).where(F.col("summed").bitwiseAND(4) == 0)
+    slices = cube(per_path).unionByName(by_folder).select("source", "language", "phase", "n_snippets", "n_tokens", (F.col("summed") == 6).alias("by_phase"))
     beside = trained.select(F.lit(True).alias("by_phase"), "phase", "tokens_trained")
     joined = slices.join(beside, ["by_phase", "phase"], "full")
     summed = lambda c: F.coalesce(c, F.lit("(all)")).alias(c)
