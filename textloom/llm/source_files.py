@@ -60,6 +60,8 @@ _LEXER = re.compile(
     | (?P<sign>[^\s\w])''',
     re.S | re.X,
 )
+#: Names that stand for values, in common languages.
+_VALUES = frozenset(("null", "true", "false", "None"))
 #: Kinds of tokens that are no code.
 REMARKS = ("comment", "doc")
 #: Words that masking keeps, the reserved ones of common languages.
@@ -111,19 +113,22 @@ def statement_families(text: str) -> float:
 
 def masked_statements(text: str, lexed: list[tuple[str, str, int]]) -> list[str]:
     """The identifier-masked lines of a file that have STATEMENT tokens."""
+    code = [x for x in lexed if x[0] not in REMARKS]
+    return _statements(text, [at for _, _, at in code], [_masked(kind, token) for kind, token, _ in code])
+
+
+def _statements(text: str, places: list[int], masked: list[str]) -> list[str]:
     out: list[str] = []
     held: list[str] = []
     end = -1
-    for kind, token, at in lexed:
-        if kind in REMARKS:
-            continue
+    for at, token in zip(places, masked):
         if at > end:
             if len(held) >= STATEMENT:
                 out.append(" ".join(held))
             held = []
             end = text.find("\n", at)
             end = len(text) if end < 0 else end
-        held.append(_masked(kind, token))
+        held.append(token)
     if len(held) >= STATEMENT:
         out.append(" ".join(held))
     return out
@@ -148,7 +153,7 @@ def _shingles_of(forms: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return value[kept] >> np.uint64(16), np.searchsorted(of[kept], np.arange(len(forms)))
 
 
-@functools.lru_cache(maxsize=10_000)
+@functools.lru_cache(maxsize=200_000)
 def _hash_of(word: str) -> int:
     return zlib.crc32(word.encode())
 
@@ -182,14 +187,14 @@ def masked_families(statements: list[str]) -> float:
     return sum(c for c in size.values() if c >= FAMILY) / len(statements)
 
 
-def kinds(text: str, lexed: list[tuple[str, str, int]]) -> tuple[bool, bool, bool]:
-    """Whether a file is generated, minified, or data, by its own tokens."""
+def kinds(text: str, lexed: list[tuple[str, str, int]], statements: list[str]) -> tuple[bool, bool, bool]:
+    """Whether a file is generated, minified, or data, by its own tokens and masked statements."""
     # Families of masked statements tell a generator's output; what hand-written tables look alike is left out by the exact check, that numbers run on or values alternate in them.
-    generated = states_generation(text, lexed) or masked_families(masked_statements(text, lexed)) >= FAMILY_SHARE and statement_families(text) >= FAMILY_SHARE
+    generated = states_generation(text, lexed) or masked_families(statements) >= FAMILY_SHARE and statement_families(text) >= FAMILY_SHARE
     body = [(kind, token) for kind, token, _ in lexed if kind not in REMARKS]
-    size = Counter()
+    size = Counter({"word": 0, "string": 0, "number": 0, "sign": 0, "name": 0})
     for kind, token in body:
-        size["word" if kind == "name" and token not in ("null", "true", "false", "None") else kind] += len(token)
+        size["word" if kind == "name" and token not in _VALUES else kind] += len(token)
     total = sum(size.values())
     # Punctuation belongs to the literals around it: rows of data hold as much of it as of numbers.
     literal = (size["string"] + size["number"]) / max(1, total - size["sign"])
@@ -215,8 +220,7 @@ _B = np.random.default_rng(12).integers(0, 1 << 63, SKETCH_BITS, dtype=np.uint64
 
 def shingle_hashes(words: list[str]) -> np.ndarray:
     """The different 32-bit hashes of all runs of SHINGLE words; one of the whole where there are fewer."""
-    known: dict[str, int] = {}
-    h = np.array([known.setdefault(w, zlib.crc32(w.encode())) for w in words], dtype=np.uint64)
+    h = np.fromiter(map(_hash_of, words), np.uint64, len(words))
     if len(h) < SHINGLE:
         return np.array([zlib.crc32("\n".join(words).encode())], dtype=np.uint64)
     out = np.zeros(len(h) - SHINGLE + 1, np.uint64)
@@ -256,14 +260,15 @@ def profile(text: str | None) -> tuple:
     """
     text = unescaped(text or "")
     lexed = tokens(text)
-    generated, minified, data = kinds(text, lexed)
-    body = [(kind, token) for kind, token, _ in lexed if kind not in REMARKS]
+    body = [x for x in lexed if x[0] not in REMARKS]
+    form_tokens = [_masked(kind, token) for kind, token, _ in body]
+    generated, minified, data = kinds(text, lexed, _statements(text, [at for _, _, at in body], form_tokens))
     if len(body) < LEAST_TOKENS:
         return generated, minified, data, len(body), None, [], []
-    words = [token for _, token in body]
+    words = [token for _, token, _ in body]
     plain = shingle_hashes(words)
     lowest = lowest_hashes(plain, SKETCH_BITS)
-    masked = lowest_hashes(shingle_hashes([_masked(*x) for x in body]), BANDS * MASKED_ROWS)
+    masked = lowest_hashes(shingle_hashes(form_tokens), BANDS * MASKED_ROWS)
     bands = (band_hashes(masked, MASKED_ROWS) * np.uint64(0x9E3779B97F4A7C15)) ^ band_hashes(lowest, ROWS)
     sketch = np.packbits(((lowest >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
     form = xxhash.xxh3_64_intdigest("\n".join(words)) - (1 << 63)
