@@ -112,34 +112,44 @@ class WuManber:
 
     def found(self, text: str | None) -> set[int]:
         """The items of which TEXT holds a passage."""
-        return self.found_among(words(text))
+        return self.found_in([words(text)])[0]
 
-    def found_among(self, found: list[str]) -> set[int]:
-        out: set[int] = set()
-        length, n = self.length, len(found)
-        if n < length or not len(self.at):
+    def found_in(self, texts: list[list[str]], hashes: np.ndarray | None = None) -> list[set[int]]:
+        """Of each text, as words, the items of which it holds a passage. The words of all texts are hashed and their shifts looked up in one go; then each text is walked by itself."""
+        out: list[set[int]] = [set() for _ in texts]
+        h = hashed(texts) if hashes is None else hashes
+        if len(h) < self.length or not len(self.at):
             return out
-        h = np.fromiter(map(_hashed, found), np.uint64, n)
+        length = self.length
         blocks = _block_hash(h[:-1], h[1:], self.bits)
         shift = self.shift[blocks].tobytes()  # of the block that ends at each word but the first
-        end = length - 1
-        while end < n:
-            skip = shift[end - 1]
-            if skip:
-                end += skip
-                continue
-            a, b = self.starts[blocks[end - 1]], self.starts[blocks[end - 1] + 1]
-            start = end - length + 1
-            bucket = self.order[a:b]
-            bucket = bucket[self.prefix[bucket] == blocks[start]]
-            if len(bucket):
-                spelled = " ".join(found[start : end + 1]).encode()
-                for p in bucket:
-                    first = self.places[self.at[p]]
-                    if self.owner[p] not in out and self.letters[first : self.places[self.at[p] + length] - 1].tobytes() == spelled:
-                        out.add(int(self.owner[p]))
-            end += 1
-        return {self.ids[k] for k in out}
+        begin = 0
+        for k, found in enumerate(texts):
+            stop = begin + len(found)
+            end = begin + length - 1
+            while end < stop:
+                skip = shift[end - 1]
+                if skip:
+                    end += skip
+                    continue
+                block, start = blocks[end - 1], end - length + 1
+                bucket = self.order[self.starts[block] : self.starts[block + 1]]
+                bucket = bucket[self.prefix[bucket] == blocks[start]]
+                if len(bucket):
+                    spelled = " ".join(found[start - begin : end + 1 - begin]).encode()
+                    for p in bucket:
+                        first = self.places[self.at[p]]
+                        item = self.ids[self.owner[p]]
+                        if item not in out[k] and self.letters[first : self.places[self.at[p] + length] - 1].tobytes() == spelled:
+                            out[k].add(item)
+                end += 1
+            begin = stop
+        return out
+
+
+def hashed(texts: list[list[str]]) -> np.ndarray:
+    """The hashes of the words of all texts, one after the other."""
+    return np.fromiter((_hashed(w) for found in texts for w in found), np.uint64)
 
 
 def item_blocks(items: DataFrame, id_column: str, text_column: str, most_chars: int = ITEM_CHARS) -> Iterator[list[tuple[int, str]]]:
@@ -182,10 +192,9 @@ def leaked(corpus: DataFrame, id_column: str, text_column: str, items: DataFrame
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         searchers = [_searcher(name) for name in names]
         for batch in batches:
-            pairs = []
-            for i, text in zip(batch[id_column], batch[text_column]):
-                split = words(text)
-                pairs += [(i, item) for s in searchers for item in s.found_among(split)]
+            split = [words(text) for text in batch[text_column]]
+            h = hashed(split)
+            pairs = [(i, item) for s in searchers for i, items in zip(batch[id_column], s.found_in(split, h)) for item in items]
             yield pd.DataFrame(pairs, columns=[id_column, item_id])
 
     return rows.mapInPandas(search, schema).distinct()
