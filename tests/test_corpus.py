@@ -20,7 +20,7 @@ def folder(tmp_path):
     for name, text in files.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text, newline="")
-    (tmp_path / "bad.txt").write_bytes(b"ok line\n\xff\xfe broken\n")
+    (tmp_path / "bad.txt").write_bytes(b"ok line\n\xff\xfe broken\nvalid \xef\xbf\xbd mark\n")
     return tmp_path
 
 
@@ -31,11 +31,19 @@ def test_scans(spark, folder):
     )
     got = corpus.lines(spark, root)
     assert [r["line"] for r in got.where("path = 'a.txt'").collect()] == ["one", "two", "three"]
-    assert [r["line"] for r in got.where("path = 'bad.txt'").collect()] == ["ok line"]
+    assert [r["line"] for r in got.where("path = 'bad.txt'").collect()] == ["ok line", "valid \ufffd mark"]
     assert {r["path"] for r in corpus.plain_text_files(spark, root).collect()} == {"a.txt", "big.txt", "bad.txt"}
     whole = {r["path"] for r in corpus.whole_files(spark, root).collect()}
     assert "a.txt" in whole and "big.txt" not in whole and "bad.txt" not in whole
     assert {r["path"] for r in corpus.project_files(spark, root).collect()} == {"sub/f.py", "sub/deep/g.rs", "p/i.ts"}
+    (folder / "odd [1]{x}*.txt").write_text("brackets")
+    assert [r["line"] for r in corpus.lines(spark, root).where("path LIKE 'odd%'").collect()] == ["brackets"]
+    empty = folder / "node_modules"
+    assert corpus.lines(spark, str(empty), endings=("md",)).count() == corpus.project_files(spark, str(folder / ".hidden")).count() == 0
+    code = spark.createDataFrame([(2, "python", "b"), (1, "python", "a"), (3, "rust", "ɔ"), (4, None, "x"), (5, "rust", None)], "id int, language string, content string")
+    written = corpus.write_numbered(code, "language", "content", ["id"], {"python": ".py", "rust": ".rs"}, str(folder / "numbered"))
+    assert {(r["language"], r["file_name"], r["bytes"]) for r in written.collect()} == {("python", "000000.py", 1), ("python", "000001.py", 1), ("rust", "000000.rs", 2)}
+    assert (folder / "numbered/python/000001.py").read_text() == "b" and (folder / "numbered/rust/000000.rs").read_text() == "ɔ" and len(list((folder / "numbered/python").iterdir())) == 2
     out = str(folder / "out")
     corpus.write_lines(spark.createDataFrame([("a\nb",), ("c",)], "l string").coalesce(1), "l", out)
     assert corpus.manifest(spark, out).agg(F.sum("lines")).first()[0] == 2
@@ -107,6 +115,18 @@ def test_binary_round_trip(spark, tmp_path):
     rows = spark.read.format("binary_model").load(str(path)).collect()
     assert {(r["ord"], tuple(r["ctx"]), r["next"], r["cnt"]) for r in rows} == {(2, (1,), 2, 3), (2, (1,), 1, 1), (3, (1, 2), 1, 2)}
     assert spark.read.format("binary_model").option("part", "vocab").load(str(path)).count() == 3
+    assert [tuple(r) for r in spark.read.format("binary_model").option("part", "merges").load(str(path)).collect()] == [(1, "a", "é", "aé")]
+    with open(path, "rb") as f:
+        assert [(o, tuple(c), n, k) for at, _ in binary.sections(f) for o, c, n, k in binary.entries(f, at)] == [(2, (1,), 2, 3), (2, (1,), 1, 1), (3, (1, 2), 1, 2)]
+    table = spark.createDataFrame([(2, [1], 2, 3), (2, [1], 1, 1), (3, [1, 2], 1, 2), (2, [70], 5, 1 << 40)], "ord int, ctx array<int>, next int, cnt long").repartition(3)
+    made = str(tmp_path / "made.bin")
+    for _ in range(2):  # a file that is there is replaced
+        binary.write_binary(table, made, m.vocab, m.merges, m.name, 10, 5)
+    back = binary.decode((tmp_path / "made.bin").read_bytes())
+    assert back.checksum_holds and back.tables == {2: {(1,): {2: 3, 1: 1}, (70,): {5: 0xFFFFFFFF}}, 3: {(1, 2): {1: 2}}} and (back.vocab, back.merges, back.name, back.associations) == (m.vocab, m.merges, m.name, 4)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["m.bin", "made.bin"]
+    binary.write_binary(table.limit(0), made, m.vocab, m.merges)
+    assert binary.decode((tmp_path / "made.bin").read_bytes()).tables == {} and spark.read.format("binary_model").load(made).count() == 0
 
 
 def test_model_folder_merge_and_service(spark, tmp_path):
@@ -127,19 +147,69 @@ def test_model_folder_merge_and_service(spark, tmp_path):
     assert made["2"] == ""
 
 
-def test_curriculum(spark, tmp_path):
+def test_phases_and_prompts():
     assert [p.name for p in curriculum.phases({"twi", "english"})][0].startswith("Ashanti Twi") and len(curriculum.phases({"twi", "english"})) == 3
-    docs = spark.createDataFrame([(1, "twi", "a b c d e f g"), (2, "english", "the cat sat on the mat")], "doc int, part string, text string")
-    tests = spark.createDataFrame([(1, ["a", " ", "b", " ", "c", " ", "d"])], "test_id int, tokens array<string>")
-    path = str(tmp_path / "progress.json")
-    table, state = curriculum.train(docs, "doc", "text", "part", tests, progress=path)
-    assert [p.status for p in state.phases] == ["converged", "converged", "converged"]
-    assert state.phases[0].epoch == 2 and curriculum.read_progress(path) == state
-    one = ngrams.counts(ngrams.chunks(docs.where("doc = 1"), "doc"))
-    key = table.where("ord = 2").join(one.where("ord = 2").select("ctx", "next"), ["ctx", "next"]).agg(F.min("cnt")).first()[0]
-    assert key >= 4  # two epochs of its phase and two of all data
-    assert json.loads((tmp_path / "progress.json").read_text())["updated_at"]
+    assert curriculum.prompts_of("Ashanti Twi 🇬🇭") == curriculum.PROMPTS["twi"] and curriculum.prompts_of("Personal Code") == curriculum.PROMPTS["code"]
+    assert curriculum.prompts_of("Refinement (all data)") == curriculum.PROMPTS["english"]
+    assert curriculum.converged(100.0, 99.5, True) and not curriculum.converged(100.0, 99.5, False) and not curriculum.converged(None, 9.0, True) and not curriculum.converged(100.0, 90.0, True)
+
+
+def training_docs(spark):
+    lines = "Once upon a time the cat sat on the mat and the dog ran home\nThe quick brown fox saw the cat sit on the mat in the house\nIn the beginning the dog sat on the log\n"
+    rows = [(1, "twi", "Me din de Kofi na me wo Ghana\nƐnnɛ yɛ da pa na me ho yɛ\n" * 4), (2, "english", lines * 3), (3, "english", lines * 2), (4, "other", "unlisted part\n"), (5, None, None), (6, "english", "")]
+    return spark.createDataFrame(rows, "doc int, part string, text string")
+
+
+def test_curriculum(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(curriculum, "JUDGED_TOKENS", 6)
+    docs, out, path = training_docs(spark), str(tmp_path / "m"), str(tmp_path / "progress.json")
+    state = curriculum.train(docs, "doc", "text", "part", out, path, vocabulary=120)
+    assert [p.name for p in state.phases] == ["Ashanti Twi 🇬🇭", "English", "Refinement (all data)"]
+    assert state.status == "converged" and curriculum.read_progress(path) == state and json.loads((tmp_path / "progress.json").read_text())["updated_at"]
+    english = state.phases[1]
+    assert english.total_files == english.files_processed == 3 and english.lines_processed == 15 and len(english.perplexity_history) == english.epoch and english.status in ("converged", "completed")
+    assert english.coverage_history[0] > 0.9 and any(p.sample_generation and p.sample_generation.startswith(curriculum.prompts_of(p.name)) for p in state.phases)
     assert state.rate(0.0) == (0.0, 0.0)
+    # The counts: every phase's own, times its epochs, and all of them in the last phase, pruned.
+    tokenizer = curriculum.Tokenizer.read(spark, out)
+    assert tokenizer.vocab.count() == state.vocabulary <= 120
+    one = lambda own: ngrams.id_counts(ngrams.chunked(tokenizer.lines(own, "doc", text="text"), "doc", "lines"), "tokens")
+    parts = [(docs.where("part = 'twi'"), state.phases[0].epoch), (docs.where("part = 'english'"), english.epoch), (docs.where("text IS NOT NULL"), state.phases[2].epoch)]
+    want = ngrams.prune(ngrams.merged(*[ngrams.scaled(one(own), epochs) for own, epochs in parts]), 2)
+    assert ngrams.difference(want, model.counts(spark, out)).count() == 0 and want.count() == state.associations
+    assert model.meta(spark, out)["tokens_trained"] == sum(p.tokens_trained for p in state.phases)
+
+    loaded = service.load(spark, out)
+    asked = spark.createDataFrame([("a", "the cat "), ("b", None), ("c", "the cat ")], "id string, prompt string")
+    ids = loaded.tokenize(asked, "id", text="prompt")
+    assert {r["id"]: r["text"] for r in loaded.detokenize(ids, "id").collect()} == {"a": "the cat ", "b": "", "c": "the cat "}
+    from textloom.operators.predict import Sampler
+
+    made = {r["id"]: r for r in loaded.generate(asked, 6, Sampler(temperature=0)).collect()}
+    assert made["a"]["text"] == made["c"]["text"] != "" and made["b"]["text"] == "" and made["b"]["finish"] == "stop"
+    first = made["a"]["text"][1:3]
+    cut = {r["id"]: r for r in loaded.generate(asked, 6, Sampler(temperature=0), stop=["~~", first]).collect()}
+    assert first not in cut["a"]["text"] and made["a"]["text"].startswith(cut["a"]["text"]) and cut["a"]["finish"] == "stop"
+    talk = service.Chat(loaded, 3, Sampler(temperature=0))
+    assert talk.say("  ") == "" and talk.say("the cat") == talk.turns[0][1] and talk.said.startswith("the cat\n") and service.health(loaded)["model"] == "model"
+
+
+def test_training_stops_and_goes_on(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(curriculum, "JUDGED_TOKENS", 2)
+    docs, path = training_docs(spark), str(tmp_path / "progress.json")
+    out = str(tmp_path / "m")
+    for calls in (2, 1):  # stopped within the second phase, and before its next part
+        asked = iter(range(100))
+        state = curriculum.train(docs, "doc", "text", "part", out, path, resume=calls < 2, vocabulary=60, files_a_part=1, stop=lambda asked=asked, calls=calls: next(asked) >= calls + 3)
+        assert state.status == "stopped"
+    state = curriculum.train(docs, "doc", "text", "part", out, path, resume=True, files_a_part=1)
+    assert state.status == "converged" and state.phases[1].files_processed == 3 and curriculum.read_progress(path) == state
+    tokenizer = curriculum.Tokenizer.read(spark, out)
+    one = lambda own: ngrams.id_counts(ngrams.chunked(tokenizer.lines(own, "doc", text="text"), "doc", "lines"), "tokens")
+    parts = [docs.where("part = 'twi'"), docs.where("part = 'english'"), docs.where("text IS NOT NULL")]
+    want = ngrams.prune(ngrams.merged(*[ngrams.scaled(one(own), p.epoch) for own, p in zip(parts, state.phases)]), 2)
+    assert ngrams.difference(want, model.counts(spark, out)).count() == 0
+    assert model.meta(spark, out)["tokens_trained"] == sum(p.tokens_trained for p in state.phases)
 
 
 def test_stream_equals_batch(spark, tmp_path):

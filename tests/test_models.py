@@ -43,7 +43,7 @@ def plain_predict(model, context):
 TRAIN = [list("the cat sat on the mat the cat ran"), list("the dog sat on the log"), list("abcabcabcabd")]
 
 
-def test_interpolation_and_greedy_generation(spark):
+def test_interpolation_and_greedy_generation(spark, monkeypatch):
     model = plain_model(TRAIN)
     table = ngrams.counts(seqs(spark, TRAIN))
     prompts = [list("the "), list("a"), list("zz"), list("abc"), [], list("sat on the ")]
@@ -54,6 +54,9 @@ def test_interpolation_and_greedy_generation(spark):
     for i, p in enumerate(prompts):
         assert got[i] == [(t, round(q, 9)) for t, q in plain_predict(model, p)], p
     made = {r["id"]: r["generated"] for r in predict.greedy_chain(df, table, 12, "id").collect()}
+    monkeypatch.setattr(predict, "LISTED_CONTEXTS", 0)
+    monkeypatch.setattr(predict, "FEW_CONTEXTS", 0)
+    assert made == {r["id"]: r["generated"] for r in predict.greedy_chain(df, table, 12, "id").collect()}
     for i, p in enumerate(prompts):
         out = []
         if len(p) >= 2:
@@ -88,12 +91,14 @@ def test_sampler(spark):
     assert draws == ["10", "10", "20", "30", "30"]
 
 
-def test_generation_is_repeatable_and_stops(spark):
+def test_generation_is_repeatable_and_stops(spark, monkeypatch):
     table = ngrams.counts(seqs(spark, TRAIN))
     df = seqs(spark, [list("the "), list("zz")])
     run = lambda: {r["id"]: r["generated"] for r in predict.generate(df, table, 4, "id", seed=7).collect()}
     first = run()
     assert first == run() and len(first[0]) == 4 and first[1] == []
+    monkeypatch.setattr(predict, "LISTED_CONTEXTS", 0)
+    assert first == run()
     stopped = predict.generate(df, table, 4, "id", predict.Sampler(temperature=0), stop="c")
     assert all("c" not in r["generated"] for r in stopped.collect())
 

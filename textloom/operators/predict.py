@@ -6,15 +6,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import SEPARATOR
 from ..session import persisted, written
-from .ngrams import ORDERS, WEIGHTS, shares
+from .ngrams import ORDERS, WEIGHTS, packed_array, shares
 
 
-def suffix_contexts(queries: DataFrame, tokens: str = "tokens", orders: tuple[int, ...] = ORDERS) -> DataFrame:
-    """The columns of QUERIES but its tokens, with ord and ctx: the last 1 to 4 tokens as contexts of the orders that are long enough."""
-    options = [F.when(F.size(tokens) >= k - 1, F.struct(F.lit(k).alias("ord"), F.array_join(F.slice(tokens, -(k - 1), k - 1), SEPARATOR).alias("ctx"))) for k in orders]
+def suffix_contexts(queries: DataFrame, tokens: str = "tokens", orders: tuple[int, ...] = ORDERS, ids: bool = False) -> DataFrame:
+    """The columns of QUERIES but its tokens, with ord and ctx: the last 1 to 4 tokens as contexts of the orders that are long enough; packed where they are IDS."""
+    joined = packed_array if ids else lambda x: F.array_join(x, SEPARATOR)
+    options = [F.when(F.size(tokens) >= k - 1, F.struct(F.lit(k).alias("ord"), joined(F.slice(tokens, -(k - 1), k - 1)).alias("ctx"))) for k in orders]
     return queries.withColumn("c", F.explode(F.filter(F.array(*options), lambda x: x.isNotNull()))).select(*[c for c in queries.columns if c != tokens], "c.ord", "c.ctx")
 
 
@@ -26,8 +28,8 @@ def weight(order: Column, weights: dict[int, float] | None = None) -> Column:
 FEW_CONTEXTS, LISTED_CONTEXTS = 1_000_000, 2_000
 
 
-def _mixed(queries: DataFrame, known: DataFrame, query_id: str, tokens: str, few: bool = False) -> DataFrame:
-    asked = suffix_contexts(queries.select(query_id, tokens), tokens)
+def _mixed(queries: DataFrame, known: DataFrame, query_id: str, tokens: str, few: bool = False, ids: bool = False) -> DataFrame:
+    asked = suffix_contexts(queries.select(query_id, tokens), tokens, ids=ids)
     found = known.join(F.broadcast(asked) if few else asked, ["ord", "ctx"])
     return found.groupBy(query_id, F.col("next").alias("token")).agg(F.sum(weight(F.col("ord")) * F.col("p")).alias("prob"))
 
@@ -93,40 +95,58 @@ def drawn(chosen: DataFrame, query_id: str, u: Column) -> DataFrame:
     return chosen.withColumn("pick", F.coalesce(reached, F.max("rank").over(w))).where("rank = pick").select(query_id, "token")
 
 
-def generate(prompts: DataFrame, table: DataFrame, steps: int, query_id: str, sampler: Sampler | None = None, seed: int = 42, stop: str | None = None, recent: int = 20) -> DataFrame:
-    """query_id, tokens, generated: all prompts go on together, one token a step, until STEPS, no prediction or the stop token.
+def generate(prompts: DataFrame, table: DataFrame, steps: int, query_id: str, sampler: Sampler | None = None, seed: int = 42, stop: str | int | list | None = None, recent: int = 20, ids: bool = False) -> DataFrame:
+    """query_id, tokens, generated: all prompts go on together, one token a step, until STEPS, no prediction or a stop token (one or several). With IDS tokens are ids and the contexts of the table packed.
 
     Contexts are the last 4 tokens; the penalty looks at the last RECENT. Shares are stored once in order of their contexts. A step broadcasts the contexts it asks for where FEW_CONTEXTS bounds them,
-    so the model isn't shuffled, and where they are few enough for a list reads only the parts of the files that can hold them. The state is written to the shared checkpoint folder, so plans don't grow.
+    so the model isn't shuffled; LISTED_CONTEXTS of them are pushed down to the files as a list. The ids of the prompts differ. The state of more prompts is written to the shared checkpoint folder, so plans don't grow.
     """
     sampler = sampler or Sampler()
     known = written(shares(table).select("ord", "ctx", "next", "p").repartitionByRange("ord", "ctx").sortWithinPartitions("ord", "ctx"))
     asks = prompts.count() * len(ORDERS)
     few = asks <= FEW_CONTEXTS
-    state = prompts.select(query_id, "tokens", F.array().cast("array<string>").alias("generated"), F.lit(False).alias("done"))
-    for step in range(steps):
-        live = state.where("NOT done")
-        held = known
-        if asks <= LISTED_CONTEXTS:
-            wanted = [r["ctx"] for r in suffix_contexts(live.select(query_id, "tokens")).select("ctx").distinct().collect()]
-            if not wanted:
-                break
-            held = known.where(F.col("ctx").isin(wanted))
-        mixed = _mixed(live, held, query_id, "tokens", few)
+    stops = [] if stop is None else stop if isinstance(stop, list) else [stop]
+
+    def next_tokens(live: DataFrame, held: DataFrame, step: int) -> DataFrame:
+        """query_id, token of the queries LIVE (query_id, tokens) that have a prediction."""
+        mixed = _mixed(live, held, query_id, "tokens", few, ids)
         if sampler.greedy:
-            chosen = mixed.groupBy(query_id).agg(F.min(F.struct((-F.round("prob", 12)).alias("less"), "token"))["token"].alias("token"))
-        else:
-            seen = live.select(query_id, F.slice("tokens", F.greatest(F.lit(1), F.size("tokens") - recent + 1), recent).alias("recent"))
-            filtered = adjusted(_ranked(mixed, query_id).join(seen, query_id), sampler, query_id, F.col("recent"))
-            draw = F.pmod(F.xxhash64(query_id, F.lit(seed + step)), F.lit(1 << 53)) / float(1 << 53)
-            chosen = drawn(filtered, query_id, draw)
-        after = state.join(chosen, query_id, "left")
-        going = ~F.col("done") & F.col("token").isNotNull() & ((F.col("token") != F.lit(stop)) if stop is not None else F.lit(True))
+            return mixed.groupBy(query_id).agg(F.min(F.struct((-F.round("prob", 12)).alias("less"), "token"))["token"].alias("token"))
+        seen = live.select(query_id, F.slice("tokens", F.greatest(F.lit(1), F.size("tokens") - recent + 1), recent).alias("recent"))
+        filtered = adjusted(_ranked(mixed, query_id).join(seen, query_id), sampler, query_id, F.col("recent"))
+        return drawn(filtered, query_id, F.pmod(F.xxhash64(query_id, F.lit(seed + step)), F.lit(1 << 53)) / float(1 << 53))
+
+    empty = F.array().cast("array<int>" if ids else "array<string>").alias("generated")
+    if asks <= LISTED_CONTEXTS:
+        # So few prompts are held on the driver: a step is one job over the parts of the files that can hold their contexts.
+        spark, schema = prompts.sparkSession, prompts.select(query_id, "tokens").schema
+        held_rows = [(r[0], list(r[1])) for r in prompts.select(query_id, "tokens").collect()]
+        going = {n for n, (_, tokens) in enumerate(held_rows) if tokens}
+        made: list[list] = [[] for _ in held_rows]
+        for step in range(steps):
+            if not going:
+                break
+            live = spark.createDataFrame([(held_rows[n][0], held_rows[n][1]) for n in sorted(going)], schema)
+            wanted = [r["ctx"] for r in suffix_contexts(live, ids=ids).select("ctx").distinct().collect()]
+            chosen = {r[0]: r[1] for r in next_tokens(live, known.where(F.col("ctx").isin(wanted)), step).collect()}
+            for n in list(going):
+                token = chosen.get(held_rows[n][0])
+                if token is None or token in stops:
+                    going.discard(n)
+                else:
+                    held_rows[n][1].append(token)
+                    made[n].append(token)
+        kind = T.StructType([*schema.fields, T.StructField("generated", schema["tokens"].dataType)])
+        return spark.createDataFrame([(*row, new) for row, new in zip(held_rows, made)], kind)
+    state = prompts.select(query_id, "tokens", empty, F.lit(False).alias("done"))
+    for step in range(steps):
+        after = state.join(next_tokens(state.where("NOT done"), known, step), query_id, "left")
+        going_on = ~F.col("done") & F.col("token").isNotNull() & (~F.col("token").isin(*stops) if stops else F.lit(True))
         state = after.select(
             query_id,
-            F.when(going, F.concat("tokens", F.array("token"))).otherwise(F.col("tokens")).alias("tokens"),
-            F.when(going, F.concat("generated", F.array("token"))).otherwise(F.col("generated")).alias("generated"),
-            (~going).alias("done"),
+            F.when(going_on, F.concat("tokens", F.array("token"))).otherwise(F.col("tokens")).alias("tokens"),
+            F.when(going_on, F.concat("generated", F.array("token"))).otherwise(F.col("generated")).alias("generated"),
+            (~going_on).alias("done"),
         )
         state = persisted(state)  # each step reads it several times
         if step % 8 == 7 and state.where("NOT done").isEmpty():
@@ -134,17 +154,17 @@ def generate(prompts: DataFrame, table: DataFrame, steps: int, query_id: str, sa
     return state.select(query_id, "tokens", "generated")
 
 
-def greedy_chain(prompts: DataFrame, table: DataFrame, steps: int, query_id: str) -> DataFrame:
+def greedy_chain(prompts: DataFrame, table: DataFrame, steps: int, query_id: str, ids: bool = False) -> DataFrame:
     """query_id, generated: greedy generation of evaluation, with its stop rules.
 
     Prompts under two tokens give nothing; a generation that repeats its last four tokens, after eight at least, loses the repetition and ends.
     """
     long_enough = prompts.where(F.size("tokens") >= 2)
-    out = generate(long_enough, table, steps, query_id, Sampler(temperature=0.0))
+    out = generate(long_enough, table, steps, query_id, Sampler(temperature=0.0), ids=ids)
     repeats = F.expr(
         """array_min(filter(transform(sequence(8, greatest(size(generated), 8)),
            n -> if(size(generated) >= n AND slice(generated, n - 3, 4) = slice(generated, n - 7, 4), n, null)), n -> n is not null))"""
     )
     cut = out.withColumn("n", repeats).select(query_id, F.when(F.col("n").isNotNull(), F.expr("slice(generated, 1, n - 4)")).otherwise(F.col("generated")).alias("generated"))
-    return prompts.select(query_id).join(cut, query_id, "left").select(query_id, F.coalesce("generated", F.array().cast("array<string>")).alias("generated"))
+    return prompts.select(query_id).join(cut, query_id, "left").select(query_id, F.coalesce("generated", F.array().cast("array<int>" if ids else "array<string>")).alias("generated"))
 

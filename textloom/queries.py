@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import bpe, evaluate, ngrams, predict, prepare, retrieval, sketch
-from .session import ensure_checkpoint_dir, persisted, spread, table
+from .session import persisted, scratch_folder, spread, table
+from .sources import binary, corpus, model
 from .streaming import counts as streaming
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -640,13 +641,84 @@ def progress_monitor(spark: SparkSession, d: str) -> DataFrame:
     return last.select("run_id", "name", "updated_at", "tokens_trained", tx.trend(F.col("perplexity_history")).alias("trend"), tx.bar(F.col("files_processed"), F.col("total_files")).alias("bar"))
 
 
+# ---- sources and sinks: the code files written out as a project folder, and read again in every way a corpus is scanned
+
+_ENDINGS = {"python": ".py", "typescript": ".ts", "javascript": ".js", "rust": ".rs"}
+_FILES = (
+    f"{_CODE}, files AS (SELECT language, lpad((row_number() OVER (PARTITION BY language ORDER BY file_id) - 1)::VARCHAR, 6, '0') || CASE language "
+    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ENDINGS.items())
+    + " END AS file_name, content, octet_length(encode(content))::BIGINT AS bytes FROM code)"
+)
+_FILE_LINES = f"{_FILES}, l AS (SELECT language || '/' || file_name AS path, {_TRIM('x')} AS line FROM (SELECT language, file_name, unnest(string_split(content, chr(10))) AS x FROM files))"
+
+
+def _folder(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    root = scratch_folder(spark)
+    return root, corpus.write_numbered(_code(spark, d), "language", "content", ["file_id"], _ENDINGS, root)
+
+
+@_query(f"WITH {_FILES} SELECT language, file_name, bytes FROM files")
+def code_file_sink(spark: SparkSession, d: str) -> DataFrame:
+    return _folder(spark, d)[1]
+
+
+@_query(f"WITH {_FILES} SELECT language || '/' || file_name AS path, bytes AS size FROM files")
+def text_file_scan(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.text_files(spark, _folder(spark, d)[0])
+
+
+@_query(f"WITH {_FILE_LINES} SELECT path, count(*)::BIGINT AS lines, sum(length(line))::BIGINT AS chars FROM l WHERE line <> '' GROUP BY path")
+def line_scan(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.lines(spark, _folder(spark, d)[0]).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.char_length("line").cast("long")).alias("chars"))
+
+
+@_query(f"WITH {_FILES} SELECT language || '/' || file_name AS path, md5(content) AS digest FROM files WHERE bytes < 1000000")
+def whole_file_scan(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.whole_files(spark, _folder(spark, d)[0]).select("path", F.md5("text").alias("digest"))
+
+
+@_query(f"WITH {_FILES} SELECT language AS project, language || '/' || file_name AS path, split_part(file_name, '.', 2) AS ext, md5(content) AS digest FROM files WHERE bytes <= 100000")
+def project_scan(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.project_files(spark, _folder(spark, d)[0]).select("project", "path", "ext", F.md5("text").alias("digest"))
+
+
+@_query(f"WITH {_CODE} SELECT count(*)::BIGINT AS lines, sum(octet_length(encode(regexp_replace(content, '[\\r\\n]+', ' ', 'g'))) + 1)::BIGINT AS bytes FROM code")
+def line_sink_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Texts written one a line, and the manifest of the folder summed up."""
+    out = scratch_folder(spark)
+    corpus.write_lines(_code(spark, d), "content", out)
+    return corpus.manifest(spark, out).agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"))
+
+
+@_query("SELECT doc_id, source, coalesce(n_chars, -1)::BIGINT AS n_chars FROM documents")
+def dataset_scan(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.table_source(spark, f"{d}/documents.parquet", columns=["doc_id", "source", "n_chars"]).fillna(-1, ["n_chars"])
+
+
+@_query(f"WITH {_COUNTS} SELECT * FROM counts")
+def model_folder(spark: SparkSession, d: str) -> DataFrame:
+    """A model written as a folder, put in place by a rename, and read again."""
+    out = scratch_folder(spark)
+    model.write(out, _counts(spark, d), name="counts")
+    return model.counts(spark, out).select("ord", "ctx", "next", "cnt")
+
+
+@_query("SELECT 3 AS ord, l_linenumber || ' ' || l_quantity::INT AS ctx, (l_suppkey % 50000)::INT AS next, count(*)::BIGINT AS cnt FROM lineitem GROUP BY ALL UNION ALL SELECT 2, l_linenumber::VARCHAR, l_quantity::INT, count(*) FROM lineitem GROUP BY ALL")
+def binary_model_file(spark: SparkSession, d: str) -> DataFrame:
+    """Count tables written by the tasks as one binary file, and read again by seeking to each."""
+    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("int").alias("a"), F.col("l_quantity").cast("int").alias("b"), (F.col("l_suppkey") % 50000).cast("int").alias("c"))
+    three = rows.groupBy(F.lit(3).alias("ord"), F.array("a", "b").alias("ctx"), F.col("c").alias("next")).agg(F.count(F.lit(1)).alias("cnt"))
+    two = rows.groupBy(F.lit(2).alias("ord"), F.array("a").alias("ctx"), F.col("b").alias("next")).agg(F.count(F.lit(1)).alias("cnt"))
+    path = f"{scratch_folder(spark)}.bin"
+    binary.write_binary(three.unionByName(two), path, ["<PAD>"], [])
+    return spark.read.format("binary_model").load(path).withColumn("ctx", F.array_join(F.transform("ctx", lambda x: x.cast("string")), " "))
+
+
 # ---- streaming
 
 
 def _streamed(spark: SparkSession, d: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    out = f"{root}/stream-{spark._jvm.java.util.UUID.randomUUID()}"
+    out = scratch_folder(spark)
     batch = table(spark, d, "documents")
     schema = ", ".join(f"{n} {t}" for n, t in batch.dtypes)
     # A stream reads folders: that of the table, or the one beside which its single file stands.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -54,6 +55,13 @@ def persisted(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder, as a plain path where that is a mounted one; remove_written() deletes it."""
+    path = shared_path(spark, f"scratch-{uuid.uuid4()}")
+    _written.append(path)
+    return re.sub("^file:/+", "/", path)
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """DF as a Parquet table in the shared checkpoint folder: like persisted(), but later reads take only the columns and partitions they need. remove_written() deletes such tables."""
     spark = df.sparkSession

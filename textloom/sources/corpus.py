@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
+from ..session import persisted
 
 #: Endings of training files, and folders that a scan leaves out besides those whose names begin with a dot.
-TEXT_ENDINGS = ("txt md py rs js ts jsx tsx c h cpp hpp go java rb sh bash zsh toml yaml yml json html css").split()
+TEXT_ENDINGS = ("txt", "md", "py", "rs", "js", "ts", "jsx", "tsx", "c", "h", "cpp", "hpp", "go", "java", "rb", "sh", "bash", "zsh", "toml", "yaml", "yml", "json", "html", "css")
 SKIPPED = ("node_modules", "target", "__pycache__", ".venv")
 #: Fixed values of the scan of personal projects: endings, folders, file names, and most bytes of a file and of a JSON file.
-PROJECT_ENDINGS = ("py ts tsx js jsx rs css html sh toml yaml yml json").split()
+PROJECT_ENDINGS = ("py", "ts", "tsx", "js", "jsx", "rs", "css", "html", "sh", "toml", "yaml", "yml", "json")
 PROJECT_SKIPPED = (
-    "node_modules .git target __pycache__ dist .next build .tox .venv venv vendor .cargo .mypy_cache coverage .pytest_cache .turbo .cache .output backup migrations static public assets"
-).split()
+    "node_modules", ".git", "target", "__pycache__", "dist", ".next", "build", ".tox", ".venv", "venv", "vendor", ".cargo", ".mypy_cache", "coverage", ".pytest_cache", ".turbo", ".cache", ".output",
+    "backup", "migrations", "static", "public", "assets",
+)
 LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "cargo.lock", ".eslintcache", "tsconfig.tsbuildinfo")
 PROJECT_BYTES, JSON_BYTES = 100_000, 10_000
+BINARY = "path string, modificationTime timestamp, length long, content binary"
 #: Whole files of this size or more are left out of a whole-file scan.
 WHOLE_BYTES = 1_000_000
 
@@ -26,7 +34,7 @@ def relative(path: Column, root: str) -> Column:
     return F.regexp_replace(plain, r"^[a-z]+:/{1,3}", "/").substr(F.lit(len(root.rstrip("/")) + 2), F.lit(1 << 20))
 
 
-def _allowed(path: Column, endings: list[str], folders: tuple[str, ...] | list[str]) -> Column:
+def _allowed(path: Column, endings: tuple[str, ...], folders: tuple[str, ...]) -> Column:
     """Whether no folder on the way begins with a dot or is left out, and the ending is listed, in either case."""
     parts = F.split(path, "/")
     on_way = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
@@ -34,17 +42,31 @@ def _allowed(path: Column, endings: list[str], folders: tuple[str, ...] | list[s
     return ~skipped & F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*endings)
 
 
-def text_files(spark: SparkSession, root: str, endings: list[str] | None = None, folders: tuple[str, ...] = SKIPPED) -> DataFrame:
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """location, path, size of all files under a folder; content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(F.col("path").alias("location"), relative(F.col("path"), root).alias("path"), F.col("length").alias("size"))
+
+
+def _read(spark: SparkSession, kind: str, listed: DataFrame, schema: str, **options: str) -> DataFrame:
+    """The content of the listed files alone: what a scan leaves out is never opened. The list of files is on the driver, as that of any scan is."""
+    paths = [re.sub(r"([\\{}\[\]*?])", r"\\\1", r["location"]) for r in listed.select("location").toLocalIterator()]
+    return spark.read.format(kind).options(**options).load(paths) if paths else spark.createDataFrame([], schema)
+
+
+def text_files(spark: SparkSession, root: str, endings: tuple[str, ...] | None = None, folders: tuple[str, ...] = SKIPPED) -> DataFrame:
     """path, size of the training files under a folder; content is not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(relative(F.col("path"), root).alias("path"), F.col("length").alias("size"))
-    return files.where(_allowed(F.col("path"), endings or TEXT_ENDINGS, folders))
+    return _listed(spark, root).where(_allowed(F.col("path"), endings or TEXT_ENDINGS, folders)).select("path", "size")
 
 
-def lines(spark: SparkSession, root: str, endings: list[str] | None = None, folders: tuple[str, ...] = SKIPPED) -> DataFrame:
+def lines(spark: SparkSession, root: str, endings: tuple[str, ...] | None = None, folders: tuple[str, ...] = SKIPPED) -> DataFrame:
     """path, line: trimmed lines that aren't blank, in the order of the files; lines that are no UTF-8 are left out."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(root)
-    named = raw.select(relative(F.col("_metadata.file_path"), root).alias("path"), trimmed(F.col("value")).alias("line"))
-    return named.where(_allowed(F.col("path"), endings or TEXT_ENDINGS, folders) & (F.col("line") != "") & ~F.contains("line", F.lit("�")))
+    wanted = _listed(spark, root).where(_allowed(F.col("path"), endings or TEXT_ENDINGS, folders))
+    paths = [re.sub(r"([\\{}\[\]*?])", r"\\\1", r["location"]) for r in wanted.select("location").toLocalIterator()]
+    if not paths:
+        return spark.createDataFrame([], "path string, line string")
+    raw = spark.read.option("lineSep", "\n").text(paths).where(F.is_valid_utf8("value"))
+    return raw.select(relative(F.col("_metadata.file_path"), root).alias("path"), trimmed(F.col("value")).alias("line")).where(F.col("line") != "")
 
 
 def plain_text_files(spark: SparkSession, root: str) -> DataFrame:
@@ -54,20 +76,20 @@ def plain_text_files(spark: SparkSession, root: str) -> DataFrame:
     return named.where(~F.exists(F.split("path", "/"), lambda d: F.startswith(d, F.lit("."))))
 
 
-def whole_files(spark: SparkSession, root: str, endings: list[str] | None = None) -> DataFrame:
+def whole_files(spark: SparkSession, root: str, endings: tuple[str, ...] | None = None) -> DataFrame:
     """path, text of files under WHOLE_BYTES; larger ones and those that are no UTF-8 are left out."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") < WHOLE_BYTES)
-    named = raw.select(relative(F.col("path"), root).alias("path"), "content").where(_allowed(F.col("path"), endings or TEXT_ENDINGS, SKIPPED))
+    wanted = _listed(spark, root).where((F.col("size") < WHOLE_BYTES) & _allowed(F.col("path"), endings or TEXT_ENDINGS, SKIPPED))
+    named = _read(spark, "binaryFile", wanted, BINARY).select(relative(F.col("path"), root).alias("path"), "content")
     return named.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where("text IS NOT NULL")
 
 
 def project_files(spark: SparkSession, root: str) -> DataFrame:
     """project, path, ext, text of the source files of projects, one folder each."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    named = raw.select(relative(F.col("path"), root).alias("path"), "length", "content").withColumn("ext", F.regexp_extract("path", r"\.([^./]+)$", 1))
+    named = _listed(spark, root).withColumn("ext", F.regexp_extract("path", r"\.([^./]+)$", 1))
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    small = (F.col("length") <= PROJECT_BYTES) & ((F.col("ext") != "json") | (F.col("length") <= JSON_BYTES))
-    kept = named.where(_allowed(F.col("path"), PROJECT_ENDINGS, PROJECT_SKIPPED) & F.col("ext").isin(*PROJECT_ENDINGS) & small & ~name.isin(*LOCK_FILES))
+    small = (F.col("size") <= PROJECT_BYTES) & ((F.col("ext") != "json") | (F.col("size") <= JSON_BYTES))
+    wanted = named.where(_allowed(F.col("path"), PROJECT_ENDINGS, PROJECT_SKIPPED) & F.col("ext").isin(*PROJECT_ENDINGS) & small & ~name.isin(*LOCK_FILES))
+    kept = _read(spark, "binaryFile", wanted, BINARY).select(relative(F.col("path"), root).alias("path"), "content").withColumn("ext", F.regexp_extract("path", r"\.([^./]+)$", 1))
     return kept.select(F.element_at(F.split("path", "/"), 1).alias("project"), "path", "ext", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
 
 
@@ -99,3 +121,26 @@ def numbered_code(files: DataFrame, language: str, order: list[str], endings: di
     ending = F.create_map(*[F.lit(x) for p in endings.items() for x in p])[F.col(language)]
     number = F.row_number().over(Window.partitionBy(language).orderBy(*order)) - 1
     return files.withColumn("file_name", F.concat(F.lpad(number.cast("string"), 6, "0"), F.coalesce(ending, F.concat(F.lit("."), F.col(language)))))
+
+
+def write_numbered(files: DataFrame, language: str, content: str, order: list[str], endings: dict[str, str], root: str) -> DataFrame:
+    """language, file_name, bytes of the code files written to ROOT/language/number.ending by the tasks, each under another name first and then put in place, so a task that runs again leaves the same files.
+
+    ROOT is a folder that all executors share. Null contents are not written.
+    """
+    rows = numbered_code(files.where(F.col(content).isNotNull() & F.col(language).isNotNull()), language, order, endings).select(F.col(language).alias("language"), "file_name", F.col(content).alias("content"))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = []
+            for folder, name, text in zip(batch["language"], batch["file_name"], batch["content"]):
+                os.makedirs(f"{root}/{folder}", exist_ok=True)
+                raw = text.encode("utf-8", "surrogatepass")
+                beside = f"{root}/{folder}/.{name}.{os.getpid()}"
+                with open(beside, "wb") as f:
+                    f.write(raw)
+                os.replace(beside, f"{root}/{folder}/{name}")
+                sizes.append(len(raw))
+            yield batch[["language", "file_name"]].assign(bytes=sizes)
+
+    return persisted(rows.mapInPandas(write, "language string, file_name string, bytes long"))

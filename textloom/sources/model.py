@@ -24,9 +24,9 @@ def write(path: str, counts: DataFrame, vocab: DataFrame | None = None, merges:
     for kind, df in (("vocab", vocab), ("merges", merges)):
         if df is not None:
             df.write.parquet(f"{path}.part/{kind}")
-    written = spark.read.parquet(f"{path}.part/counts")
+    written = spark.read.schema(counts.schema).parquet(f"{path}.part/counts")
     sizes = {str(r["ord"]): [r["a"], r["o"]] for r in written.groupBy("ord").agg(F.count(F.lit(1)).alias("a"), F.sum("cnt").alias("o")).collect()}
-    described = {"name": name, "version": 1, "created_at": int(time.time()), "orders": sorted(map(int, sizes)), "associations": {k: v[0] for k, v in sizes.items()}, "observations": {k: v[1] for k, v in sizes.items()}, **more}
+    described = {"name": name, "version": 1, "created_at": int(time.time()), "schema": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema), "orders": sorted(map(int, sizes)), "associations": {k: v[0] for k, v in sizes.items()}, "observations": {k: v[1] for k, v in sizes.items()}, **more}
     spark.createDataFrame([(json.dumps(described),)], "value string").coalesce(1).write.text(f"{path}.part/meta")
     fs.delete(final, True)
     if not fs.rename(part, final):
@@ -35,7 +35,7 @@ def write(path: str, counts: DataFrame, vocab: DataFrame | None = None, merges:
 
 def counts(spark: SparkSession, path: str, order: int | None = None) -> DataFrame:
     """The count table; with an ORDER only its folder is read."""
-    df = spark.read.parquet(f"{path}/counts")
+    df = spark.read.schema(meta(spark, path)["schema"]).parquet(f"{path}/counts")
     return df if order is None else df.where(F.col("ord") == order)
 
 
