@@ -161,7 +161,7 @@ def training_docs(spark):
 
 
 def test_curriculum(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(curriculum, "JUDGED_TOKENS", 6)
+    monkeypatch.setattr(curriculum, "JUDGED_TOKENS", 4)
     docs, out, path = training_docs(spark), str(tmp_path / "m"), str(tmp_path / "progress.json")
     state = curriculum.train(docs, "doc", "text", "part", out, path, vocabulary=120)
     assert [p.name for p in state.phases] == ["Ashanti Twi 🇬🇭", "English", "Refinement (all data)"]
@@ -195,7 +195,7 @@ def test_curriculum(spark, tmp_path, monkeypatch):
 
 
 def test_training_stops_and_goes_on(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(curriculum, "JUDGED_TOKENS", 2)
+    monkeypatch.setattr(curriculum, "JUDGED_TOKENS", 1)
     docs, path = training_docs(spark), str(tmp_path / "progress.json")
     out = str(tmp_path / "m")
     for calls in (2, 1):  # stopped within the second phase, and before its next part

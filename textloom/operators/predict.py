@@ -165,6 +165,6 @@ def greedy_chain(prompts: DataFrame, table: DataFrame, steps: int, query_id: str
         """array_min(filter(transform(sequence(8, greatest(size(generated), 8)),
            n -> if(size(generated) >= n AND slice(generated, n - 3, 4) = slice(generated, n - 7, 4), n, null)), n -> n is not null))"""
     )
-    cut = out.withColumn("n", repeats).select(query_id, F.when(F.col("n").isNotNull(), F.expr("slice(generated, 1, n - 4)")).otherwise(F.col("generated")).alias("generated"))
+    cut = out.select(query_id, F.when(repeats.isNotNull(), F.slice("generated", F.lit(1), repeats - 4)).otherwise(F.col("generated")).alias("generated"))
     return prompts.select(query_id).join(cut, query_id, "left").select(query_id, F.coalesce("generated", F.array().cast("array<int>" if ids else "array<string>")).alias("generated"))
 
