@@ -214,7 +214,8 @@ def train(
     counts_of = f"{out}.counted"
     if resume:
         state = read_progress(progress) if progress and os.path.exists(progress) else Progress([PhaseProgress(p.name, p.max_epochs) for p in plan])
-        tokenizer = Tokenizer.read(spark, out)
+        kept = Tokenizer.read(spark, out)
+        tokenizer = Tokenizer(persisted(kept.vocab), persisted(kept.merges))  # the folder is replaced by each save
         table = persisted(model.counts(spark, out).select(*_empty(spark).columns))
         trained = model.meta(spark, out)["tokens_trained"]
     else:
