@@ -12,6 +12,8 @@ DEFAULT_FOLDER = os.environ.get("TEXTLOOM_TOKENIZERS", "/opt/tokenizers")
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens up to so many bytes are remembered; longer ones (rare, hardly repeated) are encoded each time.
 REMEMBERED_BYTES = 64
+#: Entries after which a worker's memory of which tokens accept each other is emptied.
+REMEMBERED_PAIRS = 2_000_000
 #: Entries after which a worker's memory of pre-tokens is emptied, so that it stays within about 100 MB.
 REMEMBERED_WORDS = 400_000
 
@@ -62,6 +64,8 @@ class BacktrackEncoder:
         key = (left, right)
         known = self.accepted.get(key)
         if known is None:
+            if len(self.accepted) >= REMEMBERED_PAIRS:
+                self.accepted.clear()
             known = self.accepted[key] = self._cut_holds(left, right)
         return known
 
