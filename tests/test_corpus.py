@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from textloom import session
 from textloom.operators import ngrams, prepare, retrieval
 from textloom.plans import curriculum, service
 from textloom.sources import binary, corpus, model
@@ -212,6 +213,28 @@ def test_training_stops_and_goes_on(spark, tmp_path, monkeypatch):
     assert model.meta(spark, out)["tokens_trained"] == sum(p.tokens_trained for p in state.phases)
 
 
+def test_small_helpers(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "a", "b", 1 << 40), (2, "a", "c", 3)], "ord int, ctx string, next string, cnt long")
+    assert ngrams.clamped(rows).agg(F.max("cnt")).first()[0] == ngrams.MOST_COUNT
+    assert [r["next"] for r in curriculum.split_by(rows, spark.createDataFrame([("c",), ("c",)], "next string")).collect()] == ["c"]
+    model.write(str(tmp_path / "m"), rows)
+    service.export_json(spark, str(tmp_path / "m"), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+    rows.withColumn("batch", F.lit(0)).write.partitionBy("batch").parquet(str(tmp_path / "counts"))
+    streaming.compact(spark, str(tmp_path / "counts"), str(tmp_path / "base"))
+    assert spark.read.parquet(str(tmp_path / "base")).count() == 2
+    ids = spark.createDataFrame([([1, 65535, 3, 40000],), ([7],)], "ids array<int>")
+    packed = ids.select("ids", ngrams.packed_array(F.col("ids")).alias("ctx"), (F.size("ids") + 1).alias("ord"))
+    assert packed.where(ngrams.unpacked(F.col("ctx"), F.col("ord")) != F.col("ids")).count() == 0 and packed.select("ctx").distinct().count() == 2
+    tables = session.written(rows, "ord")
+    assert tables.where("ord = 2").count() == 2 and session.stored_bytes(spark, session.shared_path(spark, "none")) is None
+    path = session.shared_path(spark, "some-bytes")
+    session.store_bytes(spark, path, b"abcde" * 3, part=4)
+    session.store_bytes(spark, path, b"later")
+    assert session.stored_bytes(spark, path) == b"abcde" * 3
+    session.remove_written(spark)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"doc number {i % 3} and more") for i in range(20)], "doc int, text string")
     docs.repartition(5).write.parquet(str(tmp_path / "in"))
