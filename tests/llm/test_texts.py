@@ -187,6 +187,24 @@ def test_language_cases(spark):
     assert language_id.identified(df.limit(0), "row_id", ["answer"], "lang", aliases).count() == 0
 
 
+def test_network_is_stored_and_scores_alike_in_any_batch(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = [(sentence(rng, lang), lang) for lang in WORDS for _ in range(60)]
+    network = language_id.trained([t for t, _ in texts], [x for _, x in texts])
+    again = language_id.ByteConvolution.from_bytes(network.to_bytes())
+    rows = [w for t, _ in texts for w in language_id.windows(t)]
+    x = language_id.matrix(rows)
+    want = network.log_probabilities(x)
+    assert again.languages == network.languages and np.array_equal(again.log_probabilities(x), want)
+    assert np.allclose(np.concatenate([network.log_probabilities(x[i : i + 1]) for i in range(40)]), want[:40], atol=1e-4)
+    for total, parts in language_id.judged(network, [texts[0][0], "12 + 3", texts[-1][0] + " " + texts[0][0]]):
+        assert all(p.sum() == pytest.approx(1) and 0 <= k < len(WORDS) for _, _, k, p in parts)
+    assert language_id.judged(network, ["!?"])[0][1] == []
+    made = language_id.fitted(spark, ["a b"], ["x"])
+    monkeypatch.setattr(language_id, "trained", None)  # the second time nothing is trained
+    assert np.array_equal(language_id.fitted(spark, ["a b"], ["x"]).weights["out"], made.weights["out"])
+
+
 # ---- source files
 
 
