@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom import queries
 from textloom.functions import text as tx
 from textloom.functions.text import SEPARATOR as SEP
-from textloom.operators import bpe, evaluate, ngrams, predict, sketch
+from textloom.operators import bpe, evaluate, lookups, ngrams, predict, sketch
 from textloom.operators.joins import evenly
 
 WEIGHTS = {2: 0.05, 3: 0.15, 4: 0.30, 5: 0.50}
@@ -329,3 +329,23 @@ def test_sketch(spark):
     assert half == 50 and sketch.cleared(cms).count() == 0
     assert sketch.memory_bytes() == 16 * 1024 * 1024
     assert sketch.merged(cms, cms).agg(F.sum("cnt")).first()[0] == 32
+
+
+def test_greedy_generation_counts_only_after_the_contexts_it_meets(spark, monkeypatch):
+    """The same tokens as from the whole count table, which the query doesn't make."""
+    draw = random.Random(3)
+    texts = [[draw.choice("a b c d e é ß z".split()) for _ in range(draw.randint(0, 60))] for _ in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts], "tokens array<string>").repartition(3)
+    prompts = [(i, [draw.choice("a b c d e é ß z never".split()) for _ in range(draw.randint(0, 7))]) for i in range(40)]
+    df = spark.createDataFrame([*prompts, (None, ["a", "b"])], "id int, tokens array<string>")
+    want = {r["id"]: r["generated"] for r in predict.greedy_chain(df, ngrams.counts(docs), 12, "id").collect()}
+    monkeypatch.setattr(lookups, "BLOCK", 150)
+    assert {r["id"]: r["generated"] for r in predict.greedy_chain_over(df, docs, 12, "id").collect()} == want
+    assert any(len(x) > 4 for x in want.values())
+    monkeypatch.setattr(predict, "LISTED_CONTEXTS", 3)
+    assert {r["id"]: r["generated"] for r in predict.greedy_chain_over(df, docs, 12, "id").collect()} == want
+
+
+def test_greedy_generation_makes_no_count_table(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "ngrams", lambda *a, **k: pytest.fail("n-grams of the whole corpus are made"))
+    assert queries.queries()["greedy_generation"](spark, "/root/testdata/sf0.001").count() == 314

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions.text import SEPARATOR
 from ..session import persisted, written
-from .ngrams import ORDERS, WEIGHTS, packed_array, shares
+from .lookups import Predictor, blocks
+from .ngrams import ORDERS, WEIGHTS, counts, packed_array, shares
 
 
 def suffix_contexts(queries: DataFrame, tokens: str = "tokens", orders: tuple[int, ...] = ORDERS, ids: bool = False) -> DataFrame:
@@ -168,3 +169,28 @@ def greedy_chain(prompts: DataFrame, table: DataFrame, steps: int, query_id: str
     cut = out.select(query_id, F.when(repeats.isNotNull(), F.slice("generated", F.lit(1), repeats - 4)).otherwise(F.col("generated")).alias("generated"))
     return prompts.select(query_id).join(cut, query_id, "left").select(query_id, F.coalesce("generated", F.array().cast("array<int>" if ids else "array<string>")).alias("generated"))
 
+
+def greedy_chain_over(prompts: DataFrame, sequences: DataFrame, steps: int, query_id: str) -> DataFrame:
+    """greedy_chain() by the counts of a corpus of SEQUENCES (tokens). For up to LISTED_CONTEXTS contexts a step no count table is made: the corpus is stored as ids, and a step counts what follows its new contexts in one pass."""
+    if prompts.count() * len(ORDERS) > LISTED_CONTEXTS:
+        return greedy_chain(prompts, persisted(counts(sequences)), steps, query_id)
+    kind = prompts.select(query_id, F.col("tokens").alias("generated")).schema
+    rows = [(r[0], list(r[1] or ())) for r in prompts.select(query_id, "tokens").collect()]
+    predictor = Predictor(blocks(sequences))
+    made: list[list[str]] = [[] for _ in rows]
+    going = {n for n, (key, tokens) in enumerate(rows) if key is not None and len(tokens) >= 2}
+    for _ in range(steps):
+        if not going:
+            break
+        state = {n: tuple((rows[n][1] + made[n])[-4:]) for n in going}
+        chosen = predictor.next_tokens(set(state.values()))
+        for n in list(going):
+            token = chosen[state[n]]
+            if token is not None:
+                made[n].append(token)
+            repeats = token is not None and len(made[n]) >= 8 and made[n][-4:] == made[n][-8:-4]
+            if repeats:
+                del made[n][-4:]
+            if token is None or repeats:
+                going.discard(n)
+    return prompts.sparkSession.createDataFrame([(key, new) for (key, _), new in zip(rows, made)], kind)
