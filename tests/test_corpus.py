@@ -1,5 +1,6 @@
 """Sources, sinks, preparation, retrieval, model files, curriculum, streaming."""
 
+import os
 import json
 
 import pytest
@@ -247,3 +248,20 @@ def test_stream_equals_batch(spark, tmp_path):
     docs.write.mode("append").parquet(str(tmp_path / "in"))
     streaming.count_stream(streaming.stream_files(spark, str(tmp_path / "in"), "doc int, text string"), out, log).start().awaitTermination()
     assert ngrams.difference(ngrams.scaled(batch, 2), streaming.counted(spark, out)).count() == 0
+
+
+def test_mounted_folders_are_read_by_the_tasks(spark, folder, monkeypatch):
+    """The same files and texts as by Spark's source, without a list of files on the driver; what is left out isn't opened."""
+    root = str(folder)
+    for name in ("odd [1]{x}.py", "a b+c.py", "_left/out.py", "_out.py", "k=v/in.py", "sub/ü.py"):
+        (folder / name).parent.mkdir(exist_ok=True)
+        (folder / name).write_text(name)
+    os.symlink(folder / "missing", folder / "node_modules/gone.py")
+    rows = lambda: [sorted(tuple(r) for r in f(spark, root).collect()) for f in (corpus.project_files,)]
+    with monkeypatch.context() as m:
+        m.setattr(corpus, "_read", lambda *a, **k: pytest.fail("the files are listed on the driver"))
+        m.setattr(corpus, "READ_BYTES", 10)
+        got = rows()
+    os.remove(folder / "node_modules/gone.py")
+    monkeypatch.setattr(corpus, "_mounted", lambda *a: False)
+    assert got == rows() and len(got[0]) == 7

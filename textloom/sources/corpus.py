@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +44,74 @@ def _allowed(path: Column, endings: tuple[str, ...], folders: tuple[str, ...]) -
     return ~skipped & F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*endings)
 
 
+def _mounted(spark: SparkSession, root: str) -> bool:
+    """Whether a root is a folder of a mounted file system, which tasks walk and read themselves; others are left to Spark's sources."""
+    default = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return os.path.isabs(root) and os.path.isdir(root) and default.startswith("file:") and not re.search(r"[\\{}\[\]*?]", root)
+
+
+def _walked(folder: str, deep: bool = True) -> Iterator[tuple[str, int]]:
+    """Path and size of the files under a folder, without those whose names begin with a dot or an underscore, as Spark's sources leave them out."""
+    below = [folder]
+    while below:
+        with os.scandir(below.pop()) as entries:
+            for e in entries:
+                if e.name.startswith(".") or e.name.startswith("_") and "=" not in e.name or e.name.endswith("._COPYING_"):
+                    continue
+                if e.is_dir():
+                    if deep:
+                        below.append(e.path)
+                elif e.is_file():
+                    yield e.path, e.stat().st_size
+
+
 def _listed(spark: SparkSession, root: str) -> DataFrame:
-    """location, path, size of all files under a folder; content is not read."""
+    """location, path, size of all files under a folder; content is not read. Of a mounted folder the folders in it are walked by the tasks."""
+    if _mounted(spark, root):
+        root = root.rstrip("/")
+        with os.scandir(root) as entries:
+            first = [(e.path, True) for e in entries if e.is_dir() and not e.name.startswith(".") and not (e.name.startswith("_") and "=" not in e.name)]
+
+        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for folder, deep in zip(batch["folder"], batch["deep"]):
+                    files = _walked(folder, deep)
+                    while part := list(islice(files, 10_000)):
+                        locations = [x for x, _ in part]
+                        yield pd.DataFrame({"location": locations, "path": [x[len(root) + 1 :] for x in locations], "size": [n for _, n in part]})
+
+        starts = spark.createDataFrame([(root, False), *first], "folder string, deep boolean")
+        return starts.repartition(max(1, min(len(first) + 1, spark.sparkContext.defaultParallelism))).mapInPandas(walk, "location string, path string, size long")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select(F.col("path").alias("location"), relative(F.col("path"), root).alias("path"), F.col("length").alias("size"))
 
 
+#: Bytes of files that are handed on together.
+READ_BYTES = 16 << 20
+
+
+def _contents(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
+    """path, content of the listed files alone: what a scan leaves out is never opened. Files of a mounted folder are opened by the tasks, many in each, and no list of them is on the driver."""
+    if not _mounted(spark, root):
+        return _read(spark, "binaryFile", listed, BINARY).select(relative(F.col("path"), root).alias("path"), "content")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, held, size = [], [], 0
+            for location, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with open(location, "rb") as f:
+                    held.append(f.read())
+                paths.append(path)
+                size += len(held[-1])
+                if size >= READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(held, pa.binary())], names=["path", "content"])
+                    paths, held, size = [], [], 0
+            if paths:
+                yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(held, pa.binary())], names=["path", "content"])
+
+    return listed.select("location", "path").repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(read, "path string, content binary")
+
+
 def _read(spark: SparkSession, kind: str, listed: DataFrame, schema: str, **options: str) -> DataFrame:
     """The content of the listed files alone: what a scan leaves out is never opened. The list of files is on the driver, as that of any scan is."""
     paths = [re.sub(r"([\\{}\[\]*?])", r"\\\1", r["location"]) for r in listed.select("location").toLocalIterator()]
@@ -89,7 +153,7 @@ def project_files(spark: SparkSession, root: str) -> DataFrame:
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     small = (F.col("size") <= PROJECT_BYTES) & ((F.col("ext") != "json") | (F.col("size") <= JSON_BYTES))
     wanted = named.where(_allowed(F.col("path"), PROJECT_ENDINGS, PROJECT_SKIPPED) & F.col("ext").isin(*PROJECT_ENDINGS) & small & ~name.isin(*LOCK_FILES))
-    kept = _read(spark, "binaryFile", wanted, BINARY).select(relative(F.col("path"), root).alias("path"), "content").withColumn("ext", F.regexp_extract("path", r"\.([^./]+)$", 1))
+    kept = _contents(spark, root, wanted).withColumn("ext", F.regexp_extract("path", r"\.([^./]+)$", 1))
     return kept.select(F.element_at(F.split("path", "/"), 1).alias("project"), "path", "ext", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
 
 
