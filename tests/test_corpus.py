@@ -257,11 +257,11 @@ def test_mounted_folders_are_read_by_the_tasks(spark, folder, monkeypatch):
         (folder / name).parent.mkdir(exist_ok=True)
         (folder / name).write_text(name)
     os.symlink(folder / "missing", folder / "node_modules/gone.py")
-    rows = lambda: [sorted(tuple(r) for r in f(spark, root).collect()) for f in (corpus.project_files,)]
+    rows = lambda: [sorted(tuple(r) for r in f(spark, root).collect()) for f in (corpus.whole_files, corpus.project_files)]
     with monkeypatch.context() as m:
         m.setattr(corpus, "_read", lambda *a, **k: pytest.fail("the files are listed on the driver"))
         m.setattr(corpus, "READ_BYTES", 10)
         got = rows()
     os.remove(folder / "node_modules/gone.py")
     monkeypatch.setattr(corpus, "_mounted", lambda *a: False)
-    assert got == rows() and len(got[0]) == 7
+    assert got == rows() and len(got[1]) == 7

@@ -143,7 +143,7 @@ def plain_text_files(spark: SparkSession, root: str) -> DataFrame:
 def whole_files(spark: SparkSession, root: str, endings: tuple[str, ...] | None = None) -> DataFrame:
     """path, text of files under WHOLE_BYTES; larger ones and those that are no UTF-8 are left out."""
     wanted = _listed(spark, root).where((F.col("size") < WHOLE_BYTES) & _allowed(F.col("path"), endings or TEXT_ENDINGS, SKIPPED))
-    named = _read(spark, "binaryFile", wanted, BINARY).select(relative(F.col("path"), root).alias("path"), "content")
+    named = _contents(spark, root, wanted)
     return named.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where("text IS NOT NULL")
 
 
